@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from longspan.session import materialise
+
 # Keys with more distinct values than this leave the in-memory aggregate.
 DISTINCT_LIMIT = 200_000
 
@@ -28,17 +30,22 @@ def exact_quantiles(
     The built-in ``percentile`` keeps a map of one key's distinct values in one
     task. It serves keys up to ``distinct_limit`` distinct values; larger keys
     are resolved by :func:`_digit_quantiles`, whose state per key is bounded.
+    The frequency table is written once, since it is read several times.
     """
-    freq = frequencies(df, keys, value)
+    freq = materialise(frequencies(df, keys, value))
     width = freq.groupBy(*keys).agg(
         F.count("*").alias("__width"), F.sum("n").alias("__total")
     )
-    narrow = freq.join(width.filter(F.col("__width") <= distinct_limit).select(*keys), keys)
+    wide = width.filter(F.col("__width") > distinct_limit)
+    narrow, any_wide = freq, not wide.isEmpty()
+    if any_wide:
+        narrow = freq.join(wide.select(*keys), keys, "left_anti")
     wanted = F.array(*[F.lit(float(p)) for p in probabilities])
     small = narrow.groupBy(*keys).agg(
         F.percentile(F.col(value), wanted, F.col("n")).alias("quantiles")
     )
-    wide = width.filter(F.col("__width") > distinct_limit)
+    if not any_wide:
+        return small
     return small.unionByName(_digit_quantiles(freq, wide, keys, value, probabilities))
 
 

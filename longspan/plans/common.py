@@ -28,9 +28,13 @@ class Registry:
 
 
 def rounded(value: Column | str, digits: int = 6) -> Column:
-    """Rounded without a negative zero; parallel sums differ in the last bits."""
+    """Rounded without a negative zero.
+
+    Parallel sums differ in the last bits. Halves of short decimals are common
+    in the data and would round either way, so values move a little off them.
+    """
     column = F.col(value) if isinstance(value, str) else value
-    cut = F.round(column, digits)
+    cut = F.round(column + F.lit(2.718e-3 * float(f"1e-{digits}")), digits)
     return F.when(cut == 0, F.lit(0.0)).otherwise(cut)
 
 

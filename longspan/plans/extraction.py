@@ -202,12 +202,12 @@ def concepts_older_rule(spark, sf):
     return X.select_concepts(Extraction(spark, sf).counts, tables)
 
 
-@R.query("cohort_a6_j4", f"WITH {V.SELECTION}, {V.COHORT} SELECT * FROM cohort")
+@R.query("cohort_a6_j4", f"WITH {V.SELECTION} SELECT * FROM cohort")
 def cohort(spark, sf):
     return Extraction(spark, sf).cohort
 
 
-@R.query("cohort_intersect_u2", f"""WITH {V.SELECTION}, {V.COHORT}
+@R.query("cohort_intersect_u2", f"""WITH {V.SELECTION}
 SELECT person_id FROM cohort INTERSECT SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING'""")
 def cohort_intersect(spark, sf):
     x = Extraction(spark, sf)
@@ -217,7 +217,7 @@ def cohort_intersect(spark, sf):
     return X.select_cohort(x.data, x.concepts, TABLES, intersect_on=chosen)
 
 
-_DATA_SQL = f"""WITH {V.SELECTION}, {V.COHORT}, {V.DATAPOINTS}
+_DATA_SQL = f"""WITH {V.SELECTION}, {V.DATAPOINTS}
 SELECT DISTINCT person_id, concept_id, CAST({{}} AS VARCHAR) AS datetime, value
 FROM datapoints JOIN concepts USING (concept_id) JOIN cohort USING (person_id)"""
 
@@ -264,7 +264,7 @@ def concept_lookup(spark, sf):
     return X.concept_lookup(meta, channels)
 
 
-@R.query("demographics_j5_f2_h8", f"""WITH {V.SELECTION}, {V.COHORT}
+@R.query("demographics_j5_f2_h8", f"""WITH {V.SELECTION}
 SELECT DISTINCT person_id, CAST(CAST(birth_datetime AS DATE) AS VARCHAR) AS birth_date, gender_concept_id,
     G.concept_name AS gender_concept_name,
     coalesce(gender_source_concept_id, 2000003109) AS gender_source_concept_id, gender_source_value,
@@ -285,7 +285,7 @@ def demographics_metadata(spark, sf):
     return X.demographics_metadata(Clinical(spark, sf).concept, VOCABULARIES)
 
 
-@R.query("select_visits_a7_j8_f4_h10", f"""WITH {V.SELECTION}, {V.COHORT}, {V.DATAPOINTS}, {V.VISITS},
+@R.query("select_visits_a7_j8_f4_h10", f"""WITH {V.SELECTION}, {V.DATAPOINTS}, {V.VISITS},
 ranges AS (
     SELECT person_id, min(datetime) AS first, max(datetime) AS last
     FROM datapoints JOIN concepts USING (concept_id) JOIN cohort USING (person_id)

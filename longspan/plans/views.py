@@ -215,8 +215,9 @@ SELECTION = ",".join([CLINICAL, ALL_DATA, COUNTS, CONCEPTS, COHORT])
 
 
 def rounded(expression: str, digits: int = 6) -> str:
-    """Rounded without a negative zero."""
-    return f"CASE WHEN round({expression}, {digits}) = 0 THEN 0.0 ELSE round({expression}, {digits}) END"
+    """Rounded without a negative zero, moved a little off exact halves."""
+    moved = f"round({expression} + 2.718e-3 * 1e-{digits}, {digits})"
+    return f"CASE WHEN {moved} = 0 THEN 0.0 ELSE {moved} END"
 
 
 # --- curves ---------------------------------------------------------------
