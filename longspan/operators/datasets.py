@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from longspan.operators.evaluate import drawn_positions, numbered
-from longspan.operators.running import BUCKET_ROWS, running_total
+from longspan.operators.running import bucket_count, running_total, value_bucket
 
 
 def batches(df: DataFrame, key: str, size: int = 32, shuffle: bool = True, drop_last: bool = False,
@@ -21,11 +21,9 @@ def batches(df: DataFrame, key: str, size: int = 32, shuffle: bool = True, drop_
     if not shuffle:
         placed, _ = _in_order(df, key, n)
     else:
-        spread = F.shiftrightunsigned(F.xxhash64(F.lit(seed), key), 1)
-        stretches = max(1, -(-n // BUCKET_ROWS))
-        width = (2**63 - 1) // stretches + 1
+        spread = F.shiftrightunsigned(F.xxhash64(F.lit(seed), key), 33)  # 31 bits
         rows = df.withColumns({"__h": spread, "__one": F.lit(1)}).withColumn(
-            "__bucket", (F.col("__h") / width).cast("long")
+            "__bucket", F.floor(F.col("__h") * bucket_count(n) / 2**31)
         )
         placed = running_total(rows, "__bucket", ["__h", key], {"position": "__one"}).drop(
             "__h", "__one", "__bucket"
@@ -37,8 +35,6 @@ def batches(df: DataFrame, key: str, size: int = 32, shuffle: bool = True, drop_
 
 
 def _in_order(df: DataFrame, key: str, n: int):
-    from longspan.operators.running import bucket_count, value_bucket
-
     rows = value_bucket(df.withColumn("__one", F.lit(1)).withColumn("__k", F.col(key).cast("double")),
                         "__k", bucket_count(n), "__bucket")
     placed = running_total(rows, "__bucket", [key], {"position": "__one"})

@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from longspan.operators.extract import BACKGROUND_RATE
-from longspan.operators.stats import extend_stats, pool_stats
+from longspan.operators.stats import pool_partials
 from longspan.schema import require
+from longspan.session import materialise
 
 # Fixed value: the standard concept of age, first row of every matrix.
 AGE_CONCEPT = 3022304
@@ -60,6 +61,29 @@ def background_params(rate: float = BACKGROUND_RATE) -> Mapping[str, ModeParams]
     return {**DEFAULT_PARAMS, "Condition": changed}
 
 
+def _filled(stats: DataFrame, modes: DataFrame, n_obs: int | None, applies: Column,
+            fill: Column) -> DataFrame:
+    """Statistics per label after filling to ``n_obs`` and pooling by mode.
+
+    Labels whose mode pools share one group; every other label is its own.
+    """
+    own = stats.join(modes, "label").withColumns({
+        "group": F.when(F.col("agg_mode") & applies, F.concat(F.lit("mode "), "data_mode"))
+        .otherwise(F.concat(F.lit("label "), F.col("label").cast("string"))),
+        "value": fill,
+    })
+    padded = own.filter(F.col("postfill") & applies & F.col("value").isNotNull())
+    pad = (F.lit(n_obs) - F.col("count")).cast("long")
+    value = F.col("value")
+    padding = padded.select(
+        "group", pad.alias("count"), value.alias("mean"), F.lit(0.0).alias("variance"),
+        F.when(value < 0, pad).otherwise(F.lit(0)).cast("long").alias("negative"),
+        value.alias("minval"), value.alias("maxval"),
+    )
+    pooled = pool_partials(own.select(*padding.columns).unionByName(padding), "group")
+    return own.select("label", "group").join(pooled, "group").drop("group")
+
+
 def make_scaler(
     base: DataFrame, lg10: DataFrame, modes: DataFrame, n_obs: int | None = None,
     params: Mapping[str, ModeParams] = DEFAULT_PARAMS,
@@ -69,30 +93,22 @@ def make_scaler(
     ``modes`` is (label, data_mode). All inputs have one row per label. Labels
     without log statistics keep NULL there and fall back as the rules say.
     """
-    modes = modes.select("label", "data_mode")
-    base = base.join(modes.select("label"), "label", "left_semi")
-    lg10 = lg10.join(modes.select("label"), "label", "left_semi")
-    for mode, p in params.items():
-        own = modes.filter(F.col("data_mode") == mode)
-        grouped = own.select("label", F.col("data_mode").alias("group"))
-        if p.postfill:
-            if n_obs is None:
-                raise ValueError("n_obs is required to fill after the fact")
-            base = extend_stats(base, n_obs, p.fill, own)
-            if p.log and p.fill > 0:
-                lg10 = extend_stats(lg10, n_obs, float(np.log10(p.fill)), own)
-        if p.agg_mode:
-            base = pool_stats(base, grouped)
-            if p.log:
-                lg10 = pool_stats(lg10, grouped)
-
-    fields = ("kind", "noshift", "log")
-    rows = [(mode, p.kind, p.noshift, p.log) for mode, p in params.items()]
-    spark = base.sparkSession
-    table = spark.createDataFrame(rows, "data_mode string, kind string, noshift boolean, log boolean")
-    logs = lg10.select("label", F.col("mean").alias("lmean"), F.col("variance").alias("lvariance"))
-    joined = base.join(modes, "label").join(table, "data_mode", "left").join(logs, "label", "left")
-    joined = require(joined, F.col("kind").isNotNull(), "a data mode has no standardisation")
+    rows = [(m, p.kind, p.noshift, p.log, p.postfill, float(p.fill), p.agg_mode)
+            for m, p in params.items()]
+    table = base.sparkSession.createDataFrame(
+        rows, "data_mode string, kind string, noshift boolean, log boolean, "
+        "postfill boolean, fill double, agg_mode boolean"
+    )
+    # One row per label from here on.
+    modes = materialise(modes.select("label", "data_mode").join(table, "data_mode", "left"))
+    modes = require(modes, F.col("kind").isNotNull(), "a data mode has no standardisation")
+    if n_obs is None and not modes.filter("postfill").isEmpty():
+        raise ValueError("n_obs is required to fill after the fact")
+    plain = _filled(materialise(base), modes, n_obs, F.lit(True), F.col("fill"))
+    logged = _filled(materialise(lg10), modes, n_obs, F.col("log"),
+                     F.when(F.col("fill") > 0, F.log10("fill")))
+    logs = logged.select("label", F.col("mean").alias("lmean"), F.col("variance").alias("lvariance"))
+    joined = plain.join(modes, "label").join(logs, "label", "left")
 
     sdev = F.sqrt("variance")
     flat = (F.abs("variance") <= 1e-8 + 1e-5 * F.abs("variance")) | (

@@ -8,6 +8,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from longspan.schema import STATS, finite
+from longspan.session import materialise
+
+
+def _summary(v: str) -> list[Column]:
+    return [
+        F.count(v).alias("count"),
+        F.avg(v).alias("mean"),
+        F.var_pop(v).alias("variance"),
+        F.count_if(F.col(v) < 0).alias("negative"),
+        F.min(v).alias("minval"),
+        F.max(v).alias("maxval"),
+    ]
 
 
 def collect_stats(
@@ -20,27 +32,48 @@ def collect_stats(
     """
     usable = finite(F.col(value).cast("double"))
     rows = data.select(F.col(label).alias("label"), usable.alias("v")).filter(F.col("v").isNotNull())
-    stats = rows.groupBy("label").agg(
-        F.count("v").alias("count"),
-        F.avg("v").alias("mean"),
-        F.var_pop("v").alias("variance"),
-        F.count_if(F.col("v") < 0).alias("negative"),
-        F.min("v").alias("minval"),
-        F.max("v").alias("maxval"),
-    )
+    stats = rows.groupBy("label").agg(*_summary("v"))
     if labels is None:
         return stats
     kept = labels.select("label").distinct().join(stats, "label", "left")
     return kept.fillna(0, ["count", "negative"])
 
 
+def _logarithm(value: Column) -> Column:
+    return F.when(value > 0, F.log10(value))
+
+
 def log10_stats(data: DataFrame, label: str = "label", value: str = "value", **options) -> DataFrame:
     """The same statistics of the logarithms; values without one do not count."""
-    positive = F.when(F.col(value) > 0, F.log10(value))
-    return collect_stats(data.select(label, positive.alias(value)), label, value, **options)
+    logged = data.select(label, _logarithm(F.col(value)).alias(value))
+    return collect_stats(logged, label, value, **options)
+
+
+def collect_with_log10(
+    data: DataFrame, label: str = "label", value: str = "value"
+) -> tuple[DataFrame, DataFrame]:
+    """Plain and log10 statistics in one pass over the data.
+
+    The result has one row per label and is written once, since both halves
+    are read several times.
+    """
+    usable = finite(F.col(value).cast("double"))
+    rows = data.select(F.col(label).alias("label"), usable.alias("v")).withColumn(
+        "l", _logarithm(F.col("v"))
+    )
+    plain = [c.alias(f"v_{n}") for c, n in zip(_summary("v"), STATS.names[1:])]
+    logged = [c.alias(f"l_{n}") for c, n in zip(_summary("l"), STATS.names[1:])]
+    both = materialise(rows.groupBy("label").agg(*plain, *logged))
+
+    def half(prefix: str) -> DataFrame:
+        return both.filter(F.col(f"{prefix}_count") > 0).select(
+            "label", *[F.col(f"{prefix}_{n}").alias(n) for n in STATS.names[1:]]
+        )
+
+    return half("v"), half("l")
 
 
-def _pool(partials: DataFrame, *keys: str) -> DataFrame:
+def pool_partials(partials: DataFrame, *keys: str) -> DataFrame:
     """Combine partial statistics per key.
 
     The variance uses deviations from the pooled mean, which a second small
@@ -72,7 +105,7 @@ def merge_stats(*parts: DataFrame) -> DataFrame:
     """Statistics of the concatenated data; labels are the union."""
     names = STATS.names
     merged = reduce(lambda a, b: a.unionByName(b), [p.select(*names) for p in parts])
-    return _pool(merged, "label")
+    return pool_partials(merged, "label")
 
 
 def extend_stats(
@@ -105,7 +138,7 @@ def pool_stats(stats: DataFrame, groups: DataFrame) -> DataFrame:
     """
     tagged = stats.join(groups.select("label", F.col("group")), "label", "left")
     grouped = tagged.filter(F.col("group").isNotNull())
-    joint = _pool(grouped.drop("label"), "group")
+    joint = pool_partials(grouped.drop("label"), "group")
     shared = grouped.select("label", "group").join(joint, "group").select(*STATS.names)
     return tagged.filter(F.col("group").isNull()).select(*STATS.names).unionByName(shared)
 

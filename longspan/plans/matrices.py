@@ -25,13 +25,13 @@ R = Registry()
 EHR = V.EHR
 FIELDS = ("count", "mean", "variance", "negative", "minval", "maxval")
 
-# Labelled values: what each part sells for above or below 25,000, by part.
-VALUES = "vals AS (SELECT l_partkey AS label, l_extendedprice - 25000 AS value FROM lineitem)"
+# Labelled values: thousands that each line sells for above or below 25,000, by part.
+VALUES = "vals AS (SELECT l_partkey AS label, (l_extendedprice - 25000) / 1000 AS value FROM lineitem)"
 
 
 def _values(spark, sf) -> DataFrame:
     return Clinical(spark, sf)._table("lineitem").select(
-        F.col("l_partkey").alias("label"), (F.col("l_extendedprice") - 25000).alias("value"))
+        F.col("l_partkey").alias("label"), ((F.col("l_extendedprice") - 25000) / 1000).alias("value"))
 
 
 def _stats_sql(source: str, value: str = "value") -> str:
@@ -83,7 +83,7 @@ def _curve_stats(spark, sf):
     x = Clinical(spark, sf)
     built = U.build_curves(x.ehr, x.meta, options=U.CurveOptions.windowed(TL.WINDOW))
     long = built.select(F.col("concept_id").alias("label"), "value")
-    return x, T.collect_stats(long), T.log10_stats(long)
+    return x, *T.collect_with_log10(long)
 
 
 @R.query("curve_stats_t14", f"{_CURVE_VALUES}, s AS ({_stats_sql('vals')}) {_stats_out('s', 6)}")
@@ -105,7 +105,7 @@ def stats_merged(spark, sf):
     parts = []
     for flag in ("A", "N", "R"):
         rows = lines.filter(F.col("l_returnflag") == flag).select(
-            F.col("l_partkey").alias("label"), (F.col("l_extendedprice") - 25000).alias("value"))
+            F.col("l_partkey").alias("label"), ((F.col("l_extendedprice") - 25000) / 1000).alias("value"))
         parts.append(T.collect_stats(rows))
     return _shown(T.merge_stats(*parts))
 
@@ -243,10 +243,8 @@ def impact(spark, sf):
 @R.query("dense_matrix_m1", f"""WITH {EHR}, d AS (SELECT person_id, CAST(datetime AS DATE) AS day, concept_id,
     max(value) AS value FROM ehr GROUP BY 1, 2, 3),
 obs AS (SELECT DISTINCT person_id, day FROM d), fills AS (SELECT * FROM (VALUES (1, 0.5), (2, 0.25), (3, 10.0), (4, 0.0), (5, -1.0)) AS t(label, fill))
-SELECT person_id, CAST(day AS VARCHAR) AS day, CAST(label AS BIGINT) AS label, coalesce(value, CAST(fill AS DOUBLE)) AS value
-FROM obs, fills LEFT JOIN d USING (person_id, day) WHERE false
-UNION ALL
-SELECT o.person_id, CAST(o.day AS VARCHAR), CAST(label AS BIGINT), coalesce(d.value, CAST(fill AS DOUBLE))
+SELECT o.person_id, CAST(o.day AS VARCHAR) AS day, CAST(label AS BIGINT) AS label,
+    coalesce(d.value, CAST(fill AS DOUBLE)) AS value
 FROM obs o CROSS JOIN fills f LEFT JOIN d ON d.person_id = o.person_id AND d.day = o.day AND d.concept_id = f.label""")
 def dense_matrix(spark, sf):
     daily = Clinical(spark, sf).ehr.groupBy(
@@ -266,7 +264,7 @@ age AS (SELECT avg(a) AS m, stddev_pop(a) AS s FROM (
         + unnest(generate_series(0, CAST(max(datetime) AS DATE) - CAST(min(datetime) AS DATE)))) / 365.25 AS a
     FROM ehr JOIN users USING (person_id) GROUP BY person_id)),
 fills AS (SELECT CAST(label AS BIGINT) AS label, CAST(fill AS DOUBLE) AS value FROM (VALUES {", ".join(f"({k}, {v!r})" for k, v in _FILLS.items())}) AS t(label, fill)),
-sampled AS (SELECT person_id, day, label, coalesce(c.value, f.value) AS value FROM points CROSS JOIN fills f
+sampled AS (SELECT person_id, points.day, label, coalesce(c.value, f.value) AS value FROM points CROSS JOIN fills f
     LEFT JOIN {{source}} c ON c.g = person_id AND c.day = points.day AND c.concept_id = label),
 assembled AS (
     SELECT person_id, day, label, {_SCALED} AS value FROM sampled JOIN scaler USING (label)
@@ -670,7 +668,7 @@ def online_scaler(spark, sf):
     lines = Clinical(spark, sf)._table("lineitem")
     for flag in ("A", "N", "R"):
         learner.update(lines.filter(F.col("l_returnflag") == flag).select(
-            F.col("l_partkey").alias("label"), (F.col("l_extendedprice") - 25000).alias("value")))
+            F.col("l_partkey").alias("label"), ((F.col("l_extendedprice") - 25000) / 1000).alias("value")))
     return _shown(learner.stats)
 
 
