@@ -105,14 +105,12 @@ def match_sequence(
         key, at, F.lit(None).cast(known.schema["b"].dataType).alias("b"), F.lit(True).alias("asked")
     )
     both = known.unionByName(asked)
-    upto = Window.partitionBy(key).orderBy(at, "asked").rowsBetween(Window.unboundedPreceding, 0)
-    onward = (
-        Window.partitionBy(key).orderBy(at, F.col("asked").desc())
-        .rowsBetween(0, Window.unboundedFollowing)
-    )
+    # Both directions are running frames; a frame to the end would be quadratic.
+    upward = Window.partitionBy(key).orderBy(at, "asked")
+    downward = Window.partitionBy(key).orderBy(F.desc(at), "asked")
     found = both.withColumns({
-        "prev": F.last("b", ignorenulls=True).over(upto),
-        "next": F.first("b", ignorenulls=True).over(onward),
+        "prev": F.last("b", ignorenulls=True).over(upward),
+        "next": F.last("b", ignorenulls=True).over(downward),
     }).filter("asked")
     chosen: Column = (
         F.coalesce("prev", "next") if from_prev else F.coalesce("next", "prev")

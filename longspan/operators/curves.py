@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from longspan.functions.time import day_of, midnight, years_between
+from longspan.session import materialise
 
 CURVE = ["person_id", "concept_id"]
 
@@ -123,18 +124,19 @@ def pchip_knots(daily: DataFrame, grid: DataFrame) -> DataFrame:
         })
     )
 
-    def pad(at: str, wanted: Column) -> Column:
-        return F.when(wanted, F.struct(F.col(at).alias("x"), F.col("value").alias("y")))
+    def knot(at: str, wanted: Column, pad: bool) -> Column:
+        return F.when(wanted, F.struct(F.col(at).alias("x"), F.col("value").alias("y"),
+                                       F.lit(pad).alias("pad")))
 
     padded = F.filter(
         F.array(
-            pad("lo", F.col("first") & (F.col("lo") < F.col("day"))),
-            pad("day", F.lit(True)),
-            pad("hi", F.col("last") & (F.col("hi") > F.col("day"))),
+            knot("lo", F.col("first") & (F.col("lo") < F.col("day")), True),
+            knot("day", F.lit(True), False),
+            knot("hi", F.col("last") & (F.col("hi") > F.col("day")), True),
         ),
-        lambda knot: knot.isNotNull(),
+        lambda k: k.isNotNull(),
     )
-    knots = observed.select(*CURVE, F.explode(padded).alias("k")).select(*CURVE, "k.x", "k.y")
+    knots = observed.select(*CURVE, F.explode(padded).alias("k")).select(*CURVE, "k.x", "k.y", "k.pad")
 
     w = Window.partitionBy(*CURVE).orderBy("x")
     gap = F.datediff(F.lead("x").over(w), F.col("x")).cast("double")
@@ -148,7 +150,7 @@ def pchip_knots(daily: DataFrame, grid: DataFrame) -> DataFrame:
     })
     slope = knot_derivative()
     return knots.withColumn("d", slope).withColumn("d1", F.lead("d").over(w)).select(
-        *CURVE, "x", "y", "d", "x1", "y1", "d1"
+        *CURVE, "x", "y", "d", "x1", "y1", "d1", "pad"
     )
 
 
@@ -397,11 +399,12 @@ def build_curves(
     medications binary carries. Other modes have no curve; matrix assembly
     supplies their fill value. ``bounds`` (person_id, start DATE, until DATE)
     clips the events and sets the grid; otherwise each person's grid runs from
-    the first to the last event.
+    the first to the last event. The daily rows are written once: the three
+    kinds and the grid all read them, and the events are read once.
     """
     if bounds is not None:
         data = clip_to(data, bounds)
-    daily = daily_events(data)
+    daily = materialise(daily_events(data))
     grid = day_grid(daily, bounds)
     known = daily.join(meta.select("concept_id", "data_mode"), "concept_id")
     medications = _mode(known, "Medication")

@@ -18,11 +18,11 @@ from longspan.operators.curves import (
     CURVE,
     CurveOptions,
     _end_slope,
-    daily_events,
     event_mass,
     histogram_shifts,
     pchip_knots,
 )
+from longspan.session import materialise
 
 SAMPLE = [*CURVE, "dt"]
 
@@ -47,51 +47,74 @@ def without_misses(index: DataFrame, misses: DataFrame) -> DataFrame:
     return days.join(misses, ["person_id", "day"], "left_anti").drop("day")
 
 
-def _state_before(states: DataFrame, queries: DataFrame, key: str = "day") -> DataFrame:
-    """Latest row of ``states`` strictly before each query key, as ``state``."""
-    fields = [c for c in states.columns if c not in CURVE]
-    known = states.select(*CURVE, key, F.struct(*fields).alias("state"), F.lit(False).alias("asked"))
-    asked = queries.select(
-        *CURVE, key, F.lit(None).cast(known.schema["state"].dataType).alias("state"),
-        F.lit(True).alias("asked"),
-    ).distinct()
-    w = Window.partitionBy(*CURVE).orderBy(key, F.col("asked").desc())
-    return (
-        known.unionByName(asked)
-        .withColumn("state", F.last("state", ignorenulls=True).over(w))
-        .filter("asked").drop("asked")
+def _daily_with_midnight(events: DataFrame) -> DataFrame:
+    """Daily rows of all events, and of those exactly at midnight (n0, value0).
+
+    A sample sees the full days before its own, and of its own day only what
+    carries midnight. Written once, so the events are read once.
+    """
+    day = day_of(F.col("datetime"))
+    sharp = F.col("datetime") == midnight(day)
+    seen = F.when(F.col("value").isNotNull(), F.struct("datetime", "value"))
+    rows = events.groupBy(*CURVE, "data_mode", day.alias("day")).agg(
+        F.count("*").alias("n"), F.max(seen).alias("latest"),
+        F.count_if(sharp).alias("n0"), F.max(F.when(sharp, seen)).alias("latest0"),
     )
+    return materialise(rows.select(
+        *CURVE, "data_mode", "day", "n", F.col("latest.value").alias("value"),
+        "n0", F.col("latest0.value").alias("value0"),
+    ))
 
 
-def _mass_from(states: DataFrame, queries: DataFrame) -> DataFrame:
-    """First event day whose running count reaches each queried mass."""
-    known = states.select(*CURVE, F.col("upto").cast("double").alias("mass"),
-                          F.struct("day", "n", "before").alias("state"), F.lit(False).alias("asked"))
-    asked = queries.select(
-        *CURVE, "mass", F.lit(None).cast(known.schema["state"].dataType).alias("state"),
-        F.lit(True).alias("asked"),
-    ).distinct()
-    w = (
-        Window.partitionBy(*CURVE).orderBy("mass", F.col("asked").desc())
-        .rowsBetween(0, Window.unboundedFollowing)
-    )
+def _looked_up(states: DataFrame, today: DataFrame, asked: DataFrame, keys: list[str]) -> DataFrame:
+    """State before, and midnight row of, each queried day in one window.
+
+    ``states`` is (keys, day, state), ``today`` (keys, day, today) and ``asked``
+    (keys, day, query). Within a day the midnight row comes first, then the
+    queries, then the day's full state, which a query must not see.
+    """
+    def row(df: DataFrame, kind: int) -> DataFrame:
+        def column(name: str, source: DataFrame) -> Column:
+            if name in df.columns:
+                return F.col(name)
+            return F.lit(None).cast(source.schema[name].dataType).alias(name)
+
+        return df.select(*keys, "day", F.lit(kind).alias("kind"), column("state", states),
+                         column("today", today), column("query", asked))
+
+    w = Window.partitionBy(*keys).orderBy("day", "kind")
+    midnight_row = F.last(F.when(F.col("kind") == 0, F.struct("day", "today")), ignorenulls=True).over(w)
     return (
-        known.unionByName(asked)
-        .withColumn("state", F.first("state", ignorenulls=True).over(w))
-        .filter("asked").drop("asked")
+        row(today, 0).unionByName(row(asked, 1)).unionByName(row(states, 2))
+        .withColumns({"state": F.last("state", ignorenulls=True).over(w), "m": midnight_row})
+        .filter(F.col("kind") == 1)
+        .select(*keys, "day", "query", "state",
+                F.when(F.col("m.day") == F.col("day"), F.col("m.today")).alias("today"))
     )
 
 
-def _samples_of(samples: DataFrame, daily: DataFrame) -> DataFrame:
-    """Samples with every concept of their person and the midnight events of the day."""
+def _queries(samples: DataFrame, daily: DataFrame, window: int | None) -> DataFrame:
+    """Each sample of a person with each concept: at dt and at the window start."""
     concepts = daily.select(*CURVE).distinct()
-    return samples.join(concepts, "person_id").select(*CURVE, "dt", "lo")
-
-
-def _with_midnight(queries: DataFrame, at_midnight: DataFrame, *columns: str) -> DataFrame:
-    today = at_midnight.select(*CURVE, F.col("day").alias("dt"),
-                               *[F.col(c).alias(f"today_{c}") for c in columns])
-    return queries.join(today, SAMPLE, "left")
+    start = F.greatest(F.col("lo"), F.date_sub("dt", (window or 1) - 1))
+    both = F.array(
+        F.struct(F.col("dt").alias("day"), F.lit(True).alias("own")),
+        F.struct(start.alias("day"), F.lit(False).alias("own")),
+    )
+    return samples.join(concepts, "person_id").select(
+        *CURVE, "dt", "lo", start.alias("a"), F.explode(both).alias("at")
+    ).select(*CURVE, F.col("at.day").alias("day"), F.struct("dt", "lo", "a", "at.own").alias("query"))
+
+
+def _paired(found: DataFrame) -> DataFrame:
+    """One row per sample: ``s`` and ``today`` at dt, ``b`` at the window start."""
+    own = F.col("query.own")
+    return found.groupBy(*CURVE, F.col("query.dt").alias("dt")).agg(
+        F.first("query.lo").alias("lo"), F.first("query.a").alias("a"),
+        F.max(F.when(own, F.col("state"))).alias("s"),
+        F.max(F.when(own, F.col("today"))).alias("today"),
+        F.max(F.when(~own, F.col("state"))).alias("b"),
+    )
 
 
 def _power_sums(n: Column) -> list[Column]:
@@ -113,8 +136,7 @@ def _interior_slope(h0: Column, m0: Column, h1: Column, m1: Column) -> Column:
     return F.when(m0 * m1 > 0, (before + after) / (before / m0 + after / m1)).otherwise(0.0)
 
 
-def _measured(samples: DataFrame, daily: DataFrame, at_midnight: DataFrame, grid: DataFrame,
-              window: int | None) -> DataFrame:
+def _measured(samples: DataFrame, daily: DataFrame, grid: DataFrame, window: int | None) -> DataFrame:
     """Trailing mean at dt of the interpolation of the history up to dt.
 
     A history ends in a knot at dt: the midnight value of that day, or the last
@@ -123,37 +145,29 @@ def _measured(samples: DataFrame, daily: DataFrame, at_midnight: DataFrame, grid
     """
     valued = daily.filter(F.col("value").isNotNull())
     w = Window.partitionBy(*CURVE).orderBy("x")
-    knots = pchip_knots(valued, grid)
+    knots = pchip_knots(valued.select(*CURVE, "day", "value"), grid)
     gap = F.datediff("x1", "x").cast("double")
     own = _interval_sum(gap, gap, F.col("y"), F.col("y1"), F.col("d"), F.col("d1"))
     # "sum" covers all days up to and including the knot.
-    knots = knots.withColumn("piece", F.lag(own).over(w)).withColumn(
-        "sum", F.sum(F.coalesce("piece", F.col("y"))).over(w)
-    ).withColumns({
+    knots = knots.withColumn("piece", F.lag(own).over(w)).withColumns({
+        "sum": F.sum(F.coalesce("piece", F.col("y"))).over(w),
         "k": F.row_number().over(w),
+    }).withColumns({
         "px": F.lag("x").over(w), "py": F.lag("y").over(w), "pd": F.lag("d").over(w),
         "psum": F.lag("sum").over(w),
     })
-    states = knots.withColumn("day", F.col("x"))
-    asked = _with_midnight(
-        _samples_of(samples, valued), at_midnight.filter(F.col("value").isNotNull()), "value"
-    )
-    n = _state_before(states, asked.withColumn("day", F.col("dt")))
-    now = asked.join(n.withColumnRenamed("day", "dt").withColumnRenamed("state", "s"), SAMPLE)
+    fields = ("x", "y", "d", "x1", "y1", "d1", "sum", "k", "px", "py", "pd", "psum", "pad")
+    states = knots.select(*CURVE, F.col("x").alias("day"), F.struct(*fields).alias("state"))
+    today = daily.filter(F.col("value0").isNotNull()).select(*CURVE, "day", F.col("value0").alias("today"))
+    now = _paired(_looked_up(states, today, _queries(samples, valued, window), CURVE))
     # A knot that only pads the grid start is no observation yet.
-    seen = _state_before(valued.select(*CURVE, "day", "value"), asked.withColumn("day", F.col("dt")))
-    now = now.join(seen.withColumnRenamed("day", "dt").withColumnRenamed("state", "obs"), SAMPLE)
-    now = now.filter(F.col("obs").isNotNull() | F.col("today_value").isNotNull())
+    observed = F.coalesce(~F.col("s.pad"), F.lit(False))
+    now = now.withColumn("observed", observed).filter(F.col("observed") | F.col("today").isNotNull())
     if window is None:
-        return now.select(*SAMPLE, F.coalesce("today_value", "obs.value").alias("value"))
-
-    start = F.greatest(F.col("lo"), F.date_sub("dt", window - 1))
-    now = now.withColumn("a", start)
-    before = _state_before(states, now.withColumn("day", F.col("a")))
-    now = now.join(before.withColumnRenamed("day", "a").withColumnRenamed("state", "b"), [*CURVE, "a"])
+        return now.select(*SAMPLE, F.coalesce("today", "s.y").alias("value"))
 
     s, b = F.col("s"), F.col("b")
-    y_end = F.coalesce("today_value", s["y"])
+    y_end = F.coalesce("today", s["y"])
     h = F.datediff("dt", s["x"]).cast("double")
     m = (y_end - s["y"]) / h
     ph = F.datediff(s["x"], s["px"]).cast("double")
@@ -189,87 +203,94 @@ def _measured(samples: DataFrame, daily: DataFrame, at_midnight: DataFrame, grid
     days = F.datediff("dt", "a") + 1
     smooth = (whole - outside) / days
     # Before any full-day observation the midnight value is the only one.
-    single = F.col("obs").isNull()
-    return now.select(*SAMPLE, F.when(single, F.col("today_value")).otherwise(smooth).alias("value"))
+    value = F.when(F.col("observed"), smooth).otherwise(F.col("today"))
+    return now.select(*SAMPLE, value.alias("value"))
 
 
-def _carried(samples: DataFrame, daily: DataFrame, at_midnight: DataFrame, reference: DataFrame,
-             reference_midnight: DataFrame, window: int | None) -> DataFrame:
+def _carried(samples: DataFrame, daily: DataFrame, reference: DataFrame, window: int | None) -> DataFrame:
     """Binary carry at dt: the day's own mark, the carry window, or the last mark."""
-    asked = _with_midnight(_samples_of(samples, daily), at_midnight, "n")
-    seen = _state_before(daily.select(*CURVE, "day"), asked.withColumn("day", F.col("dt")))
-    now = asked.join(seen.withColumnRenamed("day", "dt"), SAMPLE)
-    now = now.filter(F.col("state").isNotNull() | F.col("today_n").isNotNull())
-    # One pseudo concept carries the person's reference days.
-    marks = reference.select("person_id", F.lit(0).cast("long").alias("concept_id"), "day")
-    days = samples.select("person_id", F.lit(0).cast("long").alias("concept_id"),
-                          F.col("dt").alias("day"))
-    last = _state_before(marks, days).select("person_id", F.col("day").alias("dt"),
-                                             F.col("state.day").alias("reference"))
-    today = reference_midnight.select("person_id", F.col("day").alias("dt"), F.lit(True).alias("marked"))
-    now = now.join(last, ["person_id", "dt"]).join(today, ["person_id", "dt"], "left")
-    event = F.col("state.day")
-    held = F.col("marked").isNull() & (event == F.col("reference"))
-    fuzzy = F.lit(False) if window is None else F.datediff("dt", event) <= window
-    on = F.col("today_n").isNotNull() | F.coalesce(held | fuzzy, F.lit(False))
-    return now.select(*SAMPLE, on.cast("double").alias("value"))
-
-
-def _intensity(samples: DataFrame, daily: DataFrame, at_midnight: DataFrame,
-               min_count: int, iterations: int, window: int | None) -> DataFrame:
+    person = ["person_id"]
+    marks = reference.groupBy("person_id", "day").agg(F.sum("n0").alias("n0"))
+    placed = _looked_up(
+        marks.select(*person, "day", F.col("day").alias("state")),
+        marks.filter(F.col("n0") > 0).select(*person, "day", F.lit(True).alias("today")),
+        samples.select(*person, F.col("dt").alias("day"), F.col("lo").alias("query")), person,
+    ).select("person_id", F.col("day").alias("dt"), F.col("state").alias("reference"),
+             F.col("today").alias("marked"))
+    concepts = daily.select(*CURVE).distinct()
+    asked = placed.join(concepts, "person_id").select(
+        *CURVE, F.col("dt").alias("day"), F.struct("reference", "marked").alias("query"))
+    now = _looked_up(
+        daily.select(*CURVE, "day", F.col("day").alias("state")),
+        daily.filter(F.col("n0") > 0).select(*CURVE, "day", F.lit(True).alias("today")),
+        asked, CURVE,
+    ).filter(F.col("state").isNotNull() | F.col("today").isNotNull())
+    event = F.col("state")
+    held = F.col("query.marked").isNull() & (event == F.col("query.reference"))
+    fuzzy = F.lit(False) if window is None else F.datediff("day", event) <= window
+    on = F.col("today").isNotNull() | F.coalesce(held | fuzzy, F.lit(False))
+    return now.select(*CURVE, F.col("day").alias("dt"), on.cast("double").alias("value"))
+
+
+def _intensity(samples: DataFrame, daily: DataFrame, min_count: int, iterations: int,
+               window: int | None) -> DataFrame:
     """Mean intensity over the last ``window`` days of the history up to dt."""
     m, width = max(min_count, 1), window or 1
     mass = event_mass(daily)
-    asked = _with_midnight(_samples_of(samples, daily), at_midnight, "n")
-    seen = _state_before(mass.select(*CURVE, "day", "upto"), asked.withColumn("day", F.col("dt")))
-    now = asked.join(seen.withColumnRenamed("day", "dt"), SAMPLE).withColumns({
-        "full": F.coalesce("state.upto", F.lit(0)),
-        "today": F.coalesce("today_n", F.lit(0)),
-        "days": F.datediff("dt", "lo") + 1,
-    }).withColumn("n", F.col("full") + F.col("today")).filter(F.col("n") > 0).drop("state", "today_n")
+    states = mass.select(*CURVE, "day", F.col("upto").alias("state"))
+    today = daily.filter(F.col("n0") > 0).select(*CURVE, "day", F.col("n0").alias("today"))
+    now = _paired(_looked_up(states, today, _queries(samples, daily, window), CURVE)).select(
+        *SAMPLE, "lo", "a",
+        F.coalesce("s", F.lit(0)).alias("full"), F.coalesce("today", F.lit(0)).alias("today"),
+        F.coalesce("b", F.lit(0)).alias("past"), (F.datediff("dt", "lo") + 1).alias("days"),
+    ).withColumn("n", F.col("full") + F.col("today")).filter(F.col("n") > 0)
     # A history inside one window averages over everything.
     short = F.col("days") <= width if window is not None else F.lit(False)
     flat = (F.col("n") < 2 * min_count) | short
     constant = now.filter(flat).select(*SAMPLE, (F.col("n") / F.col("days")).alias("value"))
 
-    busy = now.filter(~flat).withColumn("a", F.date_sub("dt", width - 1))
-    before = _state_before(mass.select(*CURVE, "day", "upto"), busy.withColumn("day", F.col("a")))
-    busy = busy.join(before.withColumnRenamed("day", "a"), [*CURVE, "a"]).withColumn(
-        "past", F.coalesce("state.upto", F.lit(0))
-    ).drop("state")
     table = F.array(*[F.struct(F.lit(s).cast("long").alias("s"), F.lit(w).alias("w"))
                       for s, w in histogram_shifts(min_count, iterations).items()])
-    busy = busy.withColumn("shift", F.explode(table)).withColumns({
+    busy = now.filter(~flat).withColumn("shift", F.explode(table)).withColumns({
         "s": F.col("shift.s"), "w": F.col("shift.w"),
-    }).drop("shift")
+    })
     top = F.greatest(F.lit(0), F.floor((F.col("n") - m - F.col("s")) / m))
     low = F.least(top, F.greatest(F.lit(0), F.floor((F.col("past") - F.col("s")) / m)))
+    # The cuts around the window start: event masses to be placed in time.
     busy = busy.withColumns({"j": low, "top": top}).withColumns({
-        "m0": F.when(F.col("j") > 0, (F.col("s") + F.col("j") * m).cast("double")),
-        "m1": F.when(F.col("j") < F.col("top"), (F.col("s") + (F.col("j") + 1) * m).cast("double")),
+        "m0": F.when(F.col("j") > 0, F.col("s") + F.col("j") * m),
+        "m1": F.when(F.col("j") < F.col("top"), F.col("s") + (F.col("j") + 1) * m),
     })
-    levels = busy.select(*CURVE, F.explode(F.array("m0", "m1")).alias("mass")).filter(
-        F.col("mass").isNotNull()
+    sides = F.array(F.struct(F.col("m0").alias("mass"), F.lit(True).alias("before")),
+                    F.struct(F.col("m1").alias("mass"), F.lit(False).alias("before")))
+    levels = busy.select(*CURVE, F.struct("dt", "lo", "a", "full", "today", "days", "n", "s", "w").alias("q"),
+                         F.explode(sides).alias("side"))
+    asked = levels.select(*CURVE, F.coalesce("side.mass", F.lit(0)).alias("mass"), "q", "side")
+    known = mass.select(*CURVE, F.col("upto").alias("mass"), F.struct("day", "n", "before").alias("at"))
+    blank = known.withColumns({name: F.lit(None).cast(asked.schema[name].dataType) for name in ("q", "side")})
+    both = blank.unionByName(asked.withColumn("at", F.lit(None).cast(known.schema["at"].dataType)))
+    # From the largest mass down, the last day seen is the first to reach the mass.
+    downward = Window.partitionBy(*CURVE).orderBy(F.desc("mass"), F.col("q").isNotNull())
+    placed = both.withColumn("at", F.last("at", ignorenulls=True).over(downward)).filter("q is not null")
+    level, q = F.col("side.mass"), F.col("q")
+    full_day = F.datediff("at.day", "q.lo") - 0.5 + (level - F.col("at.before")) / F.col("at.n")
+    own_day = q["days"] - 1.5 + F.try_divide(level - q["full"], q["today"])
+    edge = F.when(F.col("side.before"), F.lit(-0.5)).otherwise(q["days"] - 0.5)
+    time = F.when(level.isNull(), edge).when(level > q["full"], own_day).otherwise(full_day)
+    reached = F.when(F.col("side.before"), F.coalesce(level, F.lit(0))).otherwise(F.coalesce(level, q["n"]))
+
+    def on(side: bool, value: Column) -> Column:
+        return F.max(F.when(F.col("side.before") == side, value))
+
+    cuts = placed.groupBy(*CURVE, q["dt"].alias("dt"), q["s"].alias("s")).agg(
+        F.first(q["w"]).alias("w"), F.first(q["n"]).alias("n"),
+        F.first(F.datediff("q.a", "q.lo")).alias("a"),
+        on(True, time).alias("t0"), on(True, reached).alias("q0"),
+        on(False, time).alias("t1"), on(False, reached).alias("q1"),
     )
-    found = _mass_from(mass, levels)
-
-    def located(name: str) -> DataFrame:
-        return found.select(*CURVE, F.col("mass").alias(name), F.col("state").alias(f"{name}_at"))
-
-    busy = busy.join(located("m0"), [*CURVE, "m0"], "left").join(located("m1"), [*CURVE, "m1"], "left")
-
-    def time_of(name: str) -> Column:
-        level, at = F.col(name), F.col(f"{name}_at")
-        full = F.datediff(at["day"], "lo") - 0.5 + (level - at["before"]) / at["n"]
-        own = F.datediff("dt", "lo") - 0.5 + F.try_divide(level - F.col("full"), F.col("today"))
-        return F.when(level > F.col("full"), own).otherwise(full)
-
-    t0 = F.when(F.col("m0").isNull(), F.lit(-0.5)).otherwise(time_of("m0"))
-    t1 = F.when(F.col("m1").isNull(), F.col("days") - 0.5).otherwise(time_of("m1"))
-    q0, q1 = F.coalesce("m0", F.lit(0.0)), F.coalesce("m1", F.col("n").cast("double"))
-    edge = F.datediff("a", "lo") - 0.5
-    below = q0 + (q1 - q0) * (edge - t0) / (t1 - t0)
-    smooth = busy.groupBy(*SAMPLE).agg(
+    share = (F.col("a") - 0.5 - F.col("t0")) / (F.col("t1") - F.col("t0"))
+    below = F.col("q0") + (F.col("q1") - F.col("q0")) * share
+    smooth = cuts.groupBy(*SAMPLE).agg(
         ((F.max("n") - F.sum(below * F.col("w"))) / width).alias("value")
     )
     return constant.unionByName(smooth)
@@ -285,36 +306,28 @@ def project_points(
     day. Samples not after the first event are misses and give no rows.
     """
     events = ehr.join(index.select("person_id"), "person_id", "left_semi")
-    starts = first_moments(events)
-    samples = (
+    moded = events.join(meta.select("concept_id", "data_mode"), "concept_id", "left")
+    days = _daily_with_midnight(moded)
+    # The first event decides the grid start; only its moment needs the events.
+    starts = materialise(first_moments(events))
+    samples = materialise(
         _sampled_days(index).join(starts, "person_id")
         .filter(midnight(F.col("dt")) > F.col("first"))
         .select("person_id", "dt", day_of(F.col("first")).alias("lo"))
     )
-    known = events.join(meta.select("concept_id", "data_mode"), "concept_id")
-    # Only full days before dt count, plus what carries midnight of dt itself.
-    sharp = known.filter(F.col("datetime") == midnight(day_of(F.col("datetime"))))
-
-    def of(df: DataFrame, mode: str) -> DataFrame:
-        return daily_events(df.filter(F.col("data_mode") == mode))
-
-    daily = {mode: of(known, mode) for mode in ("Condition", "Measurement", "Medication")}
-    day0 = {mode: of(sharp, mode) for mode in daily}
     # The knots start at the grid edge and are not held beyond the last value.
     edge = day_of(F.col("first"))
     grid = starts.select("person_id", edge.alias("lo"), edge.alias("hi"))
-    reference, reference0 = daily["Medication"], day0["Medication"]
-    if not options.med_dates:
-        reference, reference0 = daily_events(events), daily_events(
-            events.filter(F.col("datetime") == midnight(day_of(F.col("datetime"))))
-        )
+
+    def of(mode: str) -> DataFrame:
+        return days.filter(F.col("data_mode") == mode).drop("data_mode")
+
     parts = [
-        _intensity(samples, daily["Condition"], day0["Condition"], options.min_count,
-                   options.iterations, options.intensity_window),
-        _measured(samples, daily["Measurement"], day0["Measurement"], grid, options.pchip_window),
-        _carried(samples, daily["Medication"], day0["Medication"],
-                 reference.select("person_id", "day").distinct(),
-                 reference0.select("person_id", "day").distinct(), options.binary_window),
+        _intensity(samples, of("Condition"), options.min_count, options.iterations,
+                   options.intensity_window),
+        _measured(samples, of("Measurement"), grid, options.pchip_window),
+        _carried(samples, of("Medication"), of("Medication") if options.med_dates else days,
+                 options.binary_window),
     ]
     merged = parts[0].unionByName(parts[1]).unionByName(parts[2])
     return merged.select(*CURVE, F.col("dt").alias("day"), "value")
