@@ -44,8 +44,8 @@ PHRASES = (
 )
 # Prefix up to the last bracket, head, slash, tail, rest.
 _UNITS = r"^(.*\[)([^/]*)(/?)(.*)(\][\s\S]*)$"
-# A line may break after a space, or after a hyphen between letters.
-_BREAKS = r"(?<=\s)(?=\S)|(?<=\w[^\W\d]-)(?=\w+[^\W\d])"
+# A line may break at a space, or after a hyphen between letters.
+_BREAK = r"(?:\s|(?<=\w[^\W\d]-)(?=\w+[^\W\d]))"
 
 
 def _mapped(text: Column, mapping: dict[str, str]) -> Column:
@@ -55,20 +55,11 @@ def _mapped(text: Column, mapping: dict[str, str]) -> Column:
 
 def shorten(text: Column, width: int, placeholder: str = "...") -> Column:
     """Cut at a word boundary so that the text with placeholder fits."""
-    if width < len(placeholder.strip()):
+    if width < len(placeholder):
         raise ValueError("the placeholder is wider than the text may be")
     flat = F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
-    pieces = F.split(flat, _BREAKS)
-    start = F.struct(F.lit("").alias("text"), F.lit(True).alias("open"))
-
-    def take(state: Column, piece: Column) -> Column:
-        longer = F.concat(state["text"], piece)
-        fits = state["open"] & (F.length(F.rtrim(longer)) + len(placeholder) <= width)
-        return F.struct(
-            F.when(fits, longer).otherwise(state["text"]).alias("text"), fits.alias("open")
-        )
-
-    kept = F.rtrim(F.aggregate(pieces, start, take)["text"])
+    # The longest start that leaves room for the placeholder and ends at a break.
+    kept = F.regexp_extract(flat, f"^(.{{0,{width - len(placeholder)}}}){_BREAK}", 1)
     cut = F.when(kept == "", F.lit(placeholder.lstrip())).otherwise(F.concat(kept, F.lit(placeholder)))
     return F.when(F.length(flat) <= width, flat).otherwise(cut)
 

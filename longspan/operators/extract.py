@@ -15,7 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from longspan.operators.quantiles import exact_quantiles
+from longspan.operators.quantiles import frequencies, frequency_moments, frequency_quantiles
 
 # Concept ids and codes of the public vocabularies.
 EGFR_CONCEPT = 44806420
@@ -163,9 +163,9 @@ def medications(
 def measurement_stats(measurement: DataFrame, concept: DataFrame, **limits) -> DataFrame:
     """Distribution of each measured concept.
 
-    Moments come from one map-side combined aggregate. Percentiles come from
-    the frequency table, so a concept with a third of all rows spreads over
-    its values instead of landing in one task.
+    Everything comes from one frequency table per concept and value, so the
+    measurements are read once and a concept with a third of all rows spreads
+    over its values instead of landing in one task.
     """
     labs = concept.filter(
         F.col("concept_class_id").isin("Lab Test", "Clinical Observation")
@@ -175,14 +175,10 @@ def measurement_stats(measurement: DataFrame, concept: DataFrame, **limits) -> D
         F.col("measurement_concept_id").alias("concept_id"),
         F.col("value_as_number").alias("value"),
     ).join(labs.select("concept_id"), "concept_id", "left_semi")
-    moments = rows.groupBy("concept_id").agg(
-        F.count("*").alias("count"),
-        F.min("value").alias("min_value"),
-        F.max("value").alias("max_value"),
-        F.stddev_samp("value").alias("std_value"),
-    )
-    quantiles = exact_quantiles(
-        rows, ["concept_id"], "value", list(PERCENTILES.values()), **limits
+    freq = frequencies(rows, ["concept_id"], "value")
+    moments = frequency_moments(freq, ["concept_id"], "value")
+    quantiles = frequency_quantiles(
+        freq, ["concept_id"], "value", list(PERCENTILES.values()), **limits
     ).select("concept_id", *[F.col("quantiles")[i].alias(name) for i, name in enumerate(PERCENTILES)])
     p = F.col
     return (

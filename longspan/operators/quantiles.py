@@ -14,8 +14,11 @@ DISTINCT_LIMIT = 200_000
 
 
 def frequencies(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """Rows per (key, value); a hot key spreads over its values."""
-    return df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("n"))
+    """Rows per (key, value), NULL included; a hot key spreads over its values.
+
+    Written once, since it is far smaller than the rows and read several times.
+    """
+    return materialise(df.groupBy(*keys, value).agg(F.count("*").alias("n")))
 
 
 def exact_quantiles(
@@ -25,14 +28,45 @@ def exact_quantiles(
     probabilities: list[float],
     distinct_limit: int = DISTINCT_LIMIT,
 ) -> DataFrame:
-    """One row per key with ``quantiles ARRAY<DOUBLE>`` in the given order.
+    """One row per key with ``quantiles ARRAY<DOUBLE>`` in the given order."""
+    return frequency_quantiles(frequencies(df, keys, value), keys, value, probabilities, distinct_limit)
+
+
+def frequency_moments(freq: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """Rows, extremes and sample deviation per key from a frequency table.
+
+    The deviation is summed around the mean, which is joined back, so large
+    means do not cancel it. ``count`` includes rows without a value.
+    """
+    held = F.when(F.col(value).isNotNull(), F.col("n"))
+    first = freq.groupBy(*keys).agg(
+        F.sum("n").alias("count"), F.min(value).alias("min_value"), F.max(value).alias("max_value"),
+        F.sum(held).alias("__held"), (F.sum(held * F.col(value)) / F.sum(held)).alias("__mean"),
+    )
+    gap = F.col(value) - F.col("__mean")
+    spread = freq.join(first.select(*keys, "__mean"), keys).groupBy(*keys).agg(
+        F.sum(F.col("n") * gap * gap).alias("__spread")
+    )
+    deviation = F.sqrt(F.try_divide(F.col("__spread"), F.col("__held") - 1))
+    return first.join(spread, keys).select(
+        *keys, "count", "min_value", "max_value", deviation.alias("std_value")
+    )
+
+
+def frequency_quantiles(
+    freq: DataFrame,
+    keys: list[str],
+    value: str,
+    probabilities: list[float],
+    distinct_limit: int = DISTINCT_LIMIT,
+) -> DataFrame:
+    """Quantiles from a frequency table.
 
     The built-in ``percentile`` keeps a map of one key's distinct values in one
     task. It serves keys up to ``distinct_limit`` distinct values; larger keys
     are resolved by :func:`_digit_quantiles`, whose state per key is bounded.
-    The frequency table is written once, since it is read several times.
     """
-    freq = materialise(frequencies(df, keys, value))
+    freq = freq.filter(F.col(value).isNotNull())
     width = freq.groupBy(*keys).agg(
         F.count("*").alias("__width"), F.sum("n").alias("__total")
     )

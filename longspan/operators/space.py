@@ -143,8 +143,8 @@ def permuted(position: Column, size: int, seed: int) -> Column:
     A four-round Feistel network permutes a square of at least ``size`` cells;
     cells beyond ``size`` are walked on until they fall inside. The square has
     at most 2 * sqrt(size) spare cells, which also bounds the walk. Below 1,024
-    cells the 64 steps cover that bound; above, one step misses with chance
-    under 1/16, so 64 steps miss with chance under 16**-64.
+    points 64 steps cover that bound; above, one step misses with chance under
+    1/15, so 32 steps miss with chance under 1e-37.
     """
     side = max(1, int(size**0.5))
     while side * side < size:
@@ -164,7 +164,7 @@ def permuted(position: Column, size: int, seed: int) -> Column:
 
     limit = F.lit(size).cast("long")
     return F.aggregate(
-        F.sequence(F.lit(1), F.lit(64)),
+        F.sequence(F.lit(1), F.lit(64 if size < 1024 else 32)),
         shuffle(position),
         lambda cell, _: F.when(cell < limit, cell).otherwise(shuffle(cell)),
     )

@@ -54,11 +54,12 @@ class Extraction(Clinical):
 
     @cached_property
     def data(self) -> dict[str, DataFrame]:
+        """Tables of their own: counts, cohort, data and visits all read them."""
         return {
-            "conditions_daily": self.conditions(True),
-            "measurements_daily": self.measurements(True),
-            "medications_daily": self.medications(True),
-            "procedures": self.procedures(False),
+            "conditions_daily": materialise(self.conditions(True)),
+            "measurements_daily": materialise(self.measurements(True)),
+            "medications_daily": materialise(self.medications(True)),
+            "procedures": materialise(self.procedures(False)),
         }
 
     @cached_property
