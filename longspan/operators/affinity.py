@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 # Features handled together in one task.
 SLICE = 4096
 # Rows per component set; their product is the size of the answer.
-MAX_COMPONENTS = 10_000
+MAX_COMPONENTS = 4_000
 
 
 def dot(a: Column, b: Column) -> Column:

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from longspan.functions.time import SECONDS_PER_DAY, day_of, recency, second_number
+from longspan.session import materialise
 
 # Decay in days of the recency curve.
 CONDITION_TAU = 30.0
@@ -26,7 +27,7 @@ def latest_per_concept(index: DataFrame, ehr: DataFrame) -> DataFrame:
     """Backward as-of join: per sample and concept the last event not after it.
 
     Returns (person_id, target, concept_id, datetime, value); concepts without
-    an earlier event are absent.
+    an earlier event are absent. The daily rows are written once.
     """
     targets = index.select(
         "person_id",
@@ -36,7 +37,7 @@ def latest_per_concept(index: DataFrame, ehr: DataFrame) -> DataFrame:
     events = ehr.join(targets.select("person_id"), "person_id", "left_semi").withColumn(
         "day", day_of(F.col("datetime"))
     )
-    daily = _latest(events, "person_id", "concept_id", "day")
+    daily = materialise(_latest(events, "person_id", "concept_id", "day"))
 
     # Up to the day before: carry the last day with events forward.
     concepts = daily.select("person_id", "concept_id").distinct()
@@ -52,8 +53,10 @@ def latest_per_concept(index: DataFrame, ehr: DataFrame) -> DataFrame:
         .select("person_id", "concept_id", "day", "before")
     )
 
-    # On the day itself: only events up to the moment of the sample.
-    moments = _latest(events.withColumn("at", F.col("datetime")), "person_id", "concept_id", "day", "at")
+    # On the day itself: only events up to the moment of the sample. Events of
+    # days without a sample drop out before they are shuffled.
+    sampled = events.join(targets.select("person_id", "day"), ["person_id", "day"], "left_semi")
+    moments = _latest(sampled.withColumn("at", F.col("datetime")), "person_id", "concept_id", "day", "at")
     active = daily.select("person_id", "concept_id", "day")
     asked_at = targets.join(active, ["person_id", "day"]).select(
         "person_id", "concept_id", "day", F.col("target").alias("at"),

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from longspan.operators.running import bucket_count, hash_bucket, running_total, value_bucket
+from longspan.session import materialise
 
 THRESHOLDS = (1, 10, 100, 500, 1000, 2000)
 
@@ -204,7 +205,7 @@ def auc_bootstrap(scored: DataFrame, key: str, n: int = 100, seed: int = 0,
     Replicates without a positive are drawn again under a new seed.
     """
     placed, size = numbered(scored.select(key, "label", "score"), key)
-    placed = placed.persist()
+    placed = materialise(placed)
     pending, parts = list(range(n)), []
     for attempt in range(max_attempts):
         draws = drawn_positions(scored.sparkSession, size, size, seed + attempt, pending)
@@ -239,7 +240,8 @@ def cross_validated_forest(data: DataFrame, key: str, features: str = "features"
     for value in (0.0, 1.0):
         part, _ = numbered(prepared.filter(F.col("label") == value), key)
         placed.append(part)
-    folded = placed[0].unionByName(placed[1]).withColumn("fold", F.col("position") % folds).persist()
+    folded = placed[0].unionByName(placed[1]).withColumn("fold", F.col("position") % folds)
+    folded = materialise(folded)  # every fold and tree level reads it
     models, scores, predictions = [], [], []
     for fold in range(folds):
         train = folded.filter(F.col("fold") != fold)

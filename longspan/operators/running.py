@@ -12,10 +12,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BUCKET_ROWS = 50_000
+# The bucket totals share one task, so beyond this the buckets grow instead.
+MAX_BUCKETS = 10_000
 
 
 def bucket_count(rows: int) -> int:
-    return max(1, -(-rows // BUCKET_ROWS))
+    return max(1, min(MAX_BUCKETS, -(-rows // BUCKET_ROWS)))
 
 
 def hash_bucket(buckets: int, *columns: str) -> Column:

