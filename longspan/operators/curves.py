@@ -90,6 +90,17 @@ def fractional_time(grid: DataFrame, start: Column | None = None) -> DataFrame:
     ).select("person_id", "day", years_between(F.col("origin"), F.col("day")).alias("value"))
 
 
+def with_grid(rows: DataFrame, grid: DataFrame) -> DataFrame:
+    """Attach the person's grid ends to the rows of each curve.
+
+    Only one row per curve is joined on the person. The rows themselves move by
+    (person, concept), the key of all later windows, so a person with very many
+    rows is spread over its concepts and the windows need no further exchange.
+    """
+    curves = rows.select(*CURVE).distinct().join(grid, "person_id")
+    return rows.join(curves, CURVE)
+
+
 def trailing_mean(curve: DataFrame, window: int | None) -> DataFrame:
     """Mean over the last ``window`` days; over all days so far at the start."""
     if window is None:
@@ -116,8 +127,7 @@ def pchip_knots(daily: DataFrame, grid: DataFrame) -> DataFrame:
     """
     by_day = Window.partitionBy(*CURVE).orderBy("day")
     observed = (
-        daily.filter(F.col("value").isNotNull())
-        .join(grid, "person_id")
+        with_grid(daily.filter(F.col("value").isNotNull()), grid)
         .withColumns({
             "first": F.lag("day").over(by_day).isNull(),
             "last": F.lead("day").over(by_day).isNull(),
@@ -234,7 +244,7 @@ def _density_steps(mass: DataFrame, min_count: int, iterations: int) -> DataFram
     table = F.array(*[F.struct(F.lit(s).cast("long").alias("s"), F.lit(w).alias("w"))
                       for s, w in shifts.items()])
     rows = mass.withColumn("shift", F.explode(table)).select(
-        *CURVE, "lo", "hi", "total", "day", "n", "before", "upto",
+        *CURVE, "lo", "hi", "flat", "total", "day", "n", "before", "upto",
         F.col("shift.s").alias("s"), F.col("shift.w").alias("w"),
     )
     # Levels s + j*m with before < level <= upto, 1 <= j and level <= total - m.
@@ -251,7 +261,7 @@ def _density_steps(mass: DataFrame, min_count: int, iterations: int) -> DataFram
         rows.withColumns({"j0": first, "j1": last})
         .filter(F.col("j1") >= F.col("j0"))
         .withColumn("c", F.explode(F.array_distinct(F.array(cut("j0"), cut("j1")))))
-        .select(*CURVE, "lo", "hi", "total", "s", "w", "c.t", "c.mass")
+        .select(*CURVE, "lo", "hi", "flat", "total", "s", "w", "c.t", "c.mass")
     )
     w = Window.partitionBy(*CURVE, "s").orderBy("mass")
     end = F.datediff("hi", "lo") + 0.5
@@ -269,8 +279,8 @@ def _density_steps(mass: DataFrame, min_count: int, iterations: int) -> DataFram
         F.struct(F.col("t"), ((right - left) * F.col("w")).alias("change")),
     )
     return (
-        steps.select(*CURVE, "lo", "hi", "total", "w", "s", F.explode(changes).alias("c"))
-        .select(*CURVE, "lo", "hi", "total", "w", "s", "c.t", "c.change")
+        steps.select(*CURVE, "lo", "hi", "flat", F.explode(changes).alias("c"))
+        .select(*CURVE, "lo", "hi", "flat", "c.t", "c.change")
         .filter(F.col("t").isNotNull())
     )
 
@@ -308,31 +318,33 @@ def intensity_curve(
     mass = event_mass(daily.join(busy, CURVE))
     steps = _density_steps(mass, min_count, iterations)
     # A change at t raises its own day by the part after t and all later days.
+    # Every curve has a change at its first day, where the first bins open.
     offset = F.greatest(F.lit(0), F.floor(F.col("t") + 0.5)).cast("int")
-    per_day = steps.groupBy(*CURVE, F.date_add("lo", offset).alias("day")).agg(
+    changes = steps.groupBy(*CURVE, F.date_add("lo", offset).alias("day")).agg(
+        F.first("hi").alias("hi"), F.first("flat").alias("flat"),
         F.sum("change").alias("later"),
         F.sum(F.col("change") * (offset + 0.5 - F.col("t"))).alias("now"),
     )
-    filled = busy.select(*CURVE, "flat", F.explode(F.sequence("lo", "hi")).alias("day")).join(
-        per_day, [*CURVE, "day"], "left"
-    )
-    past = Window.partitionBy(*CURVE).orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
-    zero = F.lit(0.0)
-    value = (
-        F.coalesce(F.sum(F.coalesce("later", zero)).over(past), zero)
-        + F.coalesce("now", zero)
-        + F.col("flat")
+    w = Window.partitionBy(*CURVE).orderBy("day")
+    level = changes.withColumns({
+        "level": F.sum("later").over(w) + F.col("flat"),
+        "next": F.lead("day").over(w),
+    })
+    days = level.withColumn("at", F.explode(F.sequence("day", F.coalesce(F.date_sub("next", 1), "hi"))))
+    value = F.when(F.col("at") == F.col("day"), F.col("level") - F.col("later") + F.col("now")).otherwise(
+        F.col("level")
     )
-    varied = filled.select(*CURVE, "day", F.greatest(value, zero).alias("value"))
+    varied = days.select(*CURVE, F.col("at").alias("day"),
+                         F.greatest(value, F.lit(0.0)).alias("value"))
     return trailing_mean(varied, window).unionByName(constant)
 
 
 # --- binary carry ---------------------------------------------------------
 
 
-def marked_days(daily: DataFrame, reference: DataFrame) -> DataFrame:
-    """Each concept's 0/1 mark on every reference day of its person."""
-    concepts = daily.select(*CURVE).distinct()
+def marked_days(daily: DataFrame, reference: DataFrame, grid: DataFrame) -> DataFrame:
+    """Each concept's 0/1 mark on every reference day of its person, with the grid."""
+    concepts = daily.select(*CURVE).distinct().join(grid, "person_id")
     events = daily.select(*CURVE, "day", F.lit(1).alias("mark"))
     return (
         concepts.join(reference, "person_id")
@@ -352,8 +364,7 @@ def binary_curve(
     w = Window.partitionBy(*CURVE).orderBy("day")
     event_day = F.when(F.col("mark") == 1, F.col("day"))
     spans = (
-        marked_days(daily, reference)
-        .join(grid, "person_id")
+        marked_days(daily, reference, grid)
         .withColumns({
             "next_day": F.lead("day").over(w),
             "next_mark": F.lead("mark").over(w),
