@@ -34,10 +34,12 @@ def latest_per_concept(index: DataFrame, ehr: DataFrame) -> DataFrame:
         F.col("datetime").cast("timestamp_ntz").alias("target"),
         day_of(F.col("datetime")).alias("day"),
     ).distinct()
-    events = ehr.join(targets.select("person_id"), "person_id", "left_semi").withColumn(
-        "day", day_of(F.col("datetime"))
+    # Aggregated before the person joins, so a hot person is combined early.
+    events = ehr.withColumn("day", day_of(F.col("datetime")))
+    daily = materialise(
+        _latest(events, "person_id", "concept_id", "day")
+        .join(targets.select("person_id"), "person_id", "left_semi")
     )
-    daily = materialise(_latest(events, "person_id", "concept_id", "day"))
 
     # Up to the day before: carry the last day with events forward.
     concepts = daily.select("person_id", "concept_id").distinct()
@@ -53,10 +55,10 @@ def latest_per_concept(index: DataFrame, ehr: DataFrame) -> DataFrame:
         .select("person_id", "concept_id", "day", "before")
     )
 
-    # On the day itself: only events up to the moment of the sample. Events of
-    # days without a sample drop out before they are shuffled.
-    sampled = events.join(targets.select("person_id", "day"), ["person_id", "day"], "left_semi")
-    moments = _latest(sampled.withColumn("at", F.col("datetime")), "person_id", "concept_id", "day", "at")
+    # On the day itself: only events up to the moment of the sample.
+    moments = _latest(
+        events.withColumn("at", F.col("datetime")), "person_id", "concept_id", "day", "at"
+    ).join(targets.select("person_id", "day"), ["person_id", "day"], "left_semi")
     active = daily.select("person_id", "concept_id", "day")
     asked_at = targets.join(active, ["person_id", "day"]).select(
         "person_id", "concept_id", "day", F.col("target").alias("at"),

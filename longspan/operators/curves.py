@@ -49,14 +49,6 @@ class CurveOptions:
 # --- grid and daily rows -------------------------------------------------
 
 
-def clip_to(data: DataFrame, bounds: DataFrame) -> DataFrame:
-    """Keep events from ``start`` up to midnight of the ``until`` day."""
-    inside = (F.col("datetime") >= midnight(F.col("start"))) & (
-        F.col("datetime") <= midnight(F.col("until"))
-    )
-    return data.join(bounds, "person_id").filter(inside).drop("start", "until")
-
-
 def daily_events(data: DataFrame) -> DataFrame:
     """Events per day and the day's last value (ties: the larger value)."""
     latest = F.max(F.when(F.col("value").isNotNull(), F.struct("datetime", "value")))
@@ -65,6 +57,37 @@ def daily_events(data: DataFrame) -> DataFrame:
     ).select(*CURVE, "day", "n", F.col("latest.value").alias("value"))
 
 
+def daily_with_midnight(events: DataFrame) -> DataFrame:
+    """Daily rows of all events, and of those exactly at midnight (n0, value0).
+
+    A history that ends on a day sees the full days before it, and of that day
+    only what carries midnight. Written once, so the events are read once.
+    """
+    day = day_of(F.col("datetime"))
+    sharp = F.col("datetime") == midnight(day)
+    seen = F.when(F.col("value").isNotNull(), F.struct("datetime", "value"))
+    rows = events.groupBy(*CURVE, day.alias("day")).agg(
+        F.count("*").alias("n"), F.max(seen).alias("latest"),
+        F.count_if(sharp).alias("n0"), F.max(F.when(sharp, seen)).alias("latest0"),
+    )
+    return materialise(rows.select(
+        *CURVE, "day", "n", F.col("latest.value").alias("value"),
+        "n0", F.col("latest0.value").alias("value0"),
+    ))
+
+
+def clip_daily(daily: DataFrame, bounds: DataFrame) -> DataFrame:
+    """Daily rows from ``start`` up to midnight of the ``until`` day."""
+    ends = F.col("day") == F.col("until")
+    return (
+        daily.join(bounds.select("person_id", "start", "until"), "person_id")
+        .filter((F.col("day") >= F.col("start")) & (F.col("day") <= F.col("until")))
+        .select(*CURVE, "day", F.when(ends, F.col("n0")).otherwise(F.col("n")).alias("n"),
+                F.when(ends, F.col("value0")).otherwise(F.col("value")).alias("value"))
+        .filter(F.col("n") > 0)
+    )
+
+
 def day_grid(daily: DataFrame, bounds: DataFrame | None = None) -> DataFrame:
     """First and last grid day per person, both inclusive."""
     seen = daily.groupBy("person_id").agg(F.min("day").alias("lo"), F.max("day").alias("hi"))
@@ -413,9 +436,10 @@ def build_curves(
     the first to the last event. The daily rows are written once: the three
     kinds and the grid all read them, and the events are read once.
     """
-    if bounds is not None:
-        data = clip_to(data, bounds)
-    daily = materialise(daily_events(data))
+    if bounds is None:
+        daily = materialise(daily_events(data))
+    else:
+        daily = clip_daily(daily_with_midnight(data), bounds)
     grid = day_grid(daily, bounds)
     known = daily.join(meta.select("concept_id", "data_mode"), "concept_id")
     medications = _mode(known, "Medication")

@@ -4,6 +4,11 @@ Every function takes DataFrames and returns a lazy DataFrame; Catalyst pushes
 the date filters and column lists into the scans. Dimension joins carry no
 broadcast hint: Spark broadcasts them while they stay under the session's size
 threshold and falls back to a shuffle join beyond it.
+
+Rows are deduplicated or aggregated before they are joined on the person. The
+other way round, the join's partitioning by person would also serve the
+aggregate, and all rows of a hot person would stay in one task. With the join
+last, adaptive execution may split that person.
 """
 
 from __future__ import annotations
@@ -100,10 +105,10 @@ def conditions(
     return (
         occurrence.filter(_since(moment, startdate))
         .join(coded, "condition_concept_id")
-        .join(_eligible(person, birthdate), "person_id")
         .select("person_id", F.col("condition_concept_id").alias("concept_id"),
                 F.col(moment).alias("datetime"))
         .distinct()
+        .join(_eligible(person, birthdate), "person_id", "left_semi")
     )
 
 
@@ -119,10 +124,10 @@ def procedures(
     return (
         occurrence.filter(_since(moment, startdate))
         .join(coded, "procedure_concept_id")
-        .join(_eligible(person, birthdate), "person_id")
         .select("person_id", F.col("procedure_concept_id").alias("concept_id"),
                 F.col(moment).alias("datetime"))
         .distinct()
+        .join(_eligible(person, birthdate), "person_id", "left_semi")
     )
 
 
@@ -153,10 +158,10 @@ def medications(
     return (
         exposure.filter(_since(moment, startdate) & F.col("route_source_value").isNotNull())
         .join(documented, "drug_exposure_id", "left_semi")
-        .join(_eligible(person, birthdate), "person_id")
         .join(rolled, "drug_concept_id")
         .select("person_id", "concept_id", F.col(moment).alias("datetime"))
         .distinct()
+        .join(_eligible(person, birthdate), "person_id", "left_semi")
     )
 
 
@@ -210,20 +215,21 @@ def measurements(
         measurement.filter(_since("measurement_datetime", startdate) & value.isNotNull())
         .join(usable, "measurement_concept_id")
         .filter(((F.col("p01") <= 0) | (value > 0)) & (value < F.col("high_threshold")))
-        .join(_eligible(person, birthdate), "person_id")
     )
+    eligible = _eligible(person, birthdate)
     concept = F.col("measurement_concept_id").alias("concept_id")
     if not daily:
         return kept.select(
             "person_id", concept, F.col("measurement_datetime").alias("datetime"),
             value.alias("value"),
-        ).distinct()
+        ).distinct().join(eligible, "person_id", "left_semi")
     latest = F.max(F.struct("measurement_datetime", "value_as_number"))
     return (
         kept.groupBy("person_id", concept, F.col("measurement_date").alias("datetime"))
         .agg(latest.alias("latest"))
         .select("person_id", "concept_id", "datetime",
                 F.col("latest.value_as_number").alias("value"))
+        .join(eligible, "person_id", "left_semi")
     )
 
 
@@ -239,10 +245,10 @@ def visits(
     )
     return (
         occurrence.filter(stay)
-        .join(_eligible(person, birthdate), "person_id")
         .select("person_id", F.col("visit_start_datetime").alias("start_datetime"),
                 F.col("visit_end_datetime").alias("end_datetime"))
         .distinct()
+        .join(_eligible(person, birthdate), "person_id", "left_semi")
     )
 
 
@@ -314,10 +320,9 @@ def select_data(
         return _valued(kept, t)
 
     merged = reduce(lambda a, b: a.unionByName(b), [part(t) for t in tables])
-    kept = merged.join(cohort, "person_id", "left_semi")
     if date_convert:
-        kept = kept.withColumn("datetime", F.col("datetime").cast("date"))
-    return kept.distinct()
+        merged = merged.withColumn("datetime", F.col("datetime").cast("date"))
+    return merged.distinct().join(cohort, "person_id", "left_semi")
 
 
 def concept_metadata(
@@ -401,10 +406,10 @@ def select_visits(
 
     seen = reduce(lambda a, b: a.unionByName(b), [moments(t) for t in tables])
     ranges = (
-        seen.join(cohort, "person_id", "left_semi")
-        .groupBy("person_id")
+        seen.groupBy("person_id")
         .agg(F.min("datetime").alias("first"), F.max("datetime").alias("last"))
         .filter(F.col("first") < F.col("last"))
+        .join(cohort, "person_id", "left_semi")
     )
     return (
         stays.join(ranges, "person_id")

@@ -18,6 +18,7 @@ from longspan.operators.curves import (
     CURVE,
     CurveOptions,
     _end_slope,
+    daily_with_midnight,
     event_mass,
     histogram_shifts,
     pchip_knots,
@@ -47,25 +48,6 @@ def without_misses(index: DataFrame, misses: DataFrame) -> DataFrame:
     return days.join(misses, ["person_id", "day"], "left_anti").drop("day")
 
 
-def _daily_with_midnight(events: DataFrame) -> DataFrame:
-    """Daily rows of all events, and of those exactly at midnight (n0, value0).
-
-    A sample sees the full days before its own, and of its own day only what
-    carries midnight. Written once, so the events are read once.
-    """
-    day = day_of(F.col("datetime"))
-    sharp = F.col("datetime") == midnight(day)
-    seen = F.when(F.col("value").isNotNull(), F.struct("datetime", "value"))
-    rows = events.groupBy(*CURVE, "data_mode", day.alias("day")).agg(
-        F.count("*").alias("n"), F.max(seen).alias("latest"),
-        F.count_if(sharp).alias("n0"), F.max(F.when(sharp, seen)).alias("latest0"),
-    )
-    return materialise(rows.select(
-        *CURVE, "data_mode", "day", "n", F.col("latest.value").alias("value"),
-        "n0", F.col("latest0.value").alias("value0"),
-    ))
-
-
 def _looked_up(states: DataFrame, today: DataFrame, asked: DataFrame, keys: list[str]) -> DataFrame:
     """State before, and midnight row of, each queried day in one window.
 
@@ -305,11 +287,12 @@ def project_points(
     sampled day, from events up to that day's midnight, and reading the last
     day. Samples not after the first event are misses and give no rows.
     """
-    events = ehr.join(index.select("person_id"), "person_id", "left_semi")
-    moded = events.join(meta.select("concept_id", "data_mode"), "concept_id", "left")
-    days = _daily_with_midnight(moded)
-    # The first event decides the grid start; only its moment needs the events.
-    starts = materialise(first_moments(events))
+    # Aggregated before the person joins, so a hot person is combined early.
+    sampled = index.select("person_id").distinct()
+    days = daily_with_midnight(ehr).join(sampled, "person_id", "left_semi").join(
+        meta.select("concept_id", "data_mode"), "concept_id", "left"
+    )
+    starts = materialise(first_moments(ehr).join(sampled, "person_id", "left_semi"))
     samples = materialise(
         _sampled_days(index).join(starts, "person_id")
         .filter(midnight(F.col("dt")) > F.col("first"))

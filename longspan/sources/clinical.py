@@ -53,9 +53,13 @@ class Clinical:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark = spark
         self.folder = folder
+        self._schemas: dict = {}
 
     def _table(self, name: str) -> DataFrame:
-        return table(self.spark, self.folder, name)
+        """A fresh scan; the footer is read for the schema only once."""
+        found = table(self.spark, self.folder, name, self._schemas.get(name))
+        self._schemas.setdefault(name, found.schema)
+        return found
 
     # --- event log -------------------------------------------------------
 

@@ -8,8 +8,11 @@ from pyspark.sql import types as T
 from longspan.schema import conform
 
 
-def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+def table(
+    spark: SparkSession, folder: str, name: str, schema: T.StructType | None = None
+) -> DataFrame:
+    reader = spark.read if schema is None else spark.read.schema(schema)
+    return reader.parquet(f"{folder}/{name}.parquet")
 
 
 def read_conformed(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
