@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from longspan.llm import exact_dedup, mixing, sharding
+from longspan.llm import exact_dedup, mixing, sharding, token_counts, warc
 from longspan.llm.common import documents
 from longspan.plans.common import Registry
 
@@ -74,3 +74,29 @@ def mix(spark, folder):
 def shards(spark, folder):
     placed = sharding.shard_documents(documents(spark, folder), 40)
     return placed.withColumns({"law": F.lit("rows"), "grown_shard": F.lit(None).cast("int")})
+
+
+WARC_SQL = r"""
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages
+), r AS (
+  SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes, h, min(page_id) OVER (PARTITION BY html) AS first FROM p
+)
+SELECT page_id, payload_bytes,
+  array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    1 + ((CAST('0x' || substr(h, 1 + 5 * (i // 4), 5) AS BIGINT) >> (15 - 5 * (i % 4))) & 31), 1)
+    for i in range(32)], '') AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> first THEN first END AS refers_to
+FROM r
+"""
+
+
+@R.query("op6_warc_chunks", WARC_SQL)
+def archives(spark, folder):
+    return warc.round_trip(spark.read.parquet(f"{folder}/pages.parquet"))
+
+
+@R.query("op1_token_histogram")
+def token_histogram(spark, folder):
+    return token_counts.length_table(token_counts.encoded_lengths(documents(spark, folder)))
