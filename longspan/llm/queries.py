@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from longspan.llm import exact_dedup, mixing, sharding, token_counts, warc
-from longspan.llm.common import documents
+from longspan.llm import exact_dedup, language, mixing, sharding, token_counts, toxicity, warc
+from longspan.llm.common import documents, held_out_row
 from longspan.plans.common import Registry
 
 R = Registry()
@@ -100,3 +100,18 @@ def archives(spark, folder):
 @R.query("op1_token_histogram")
 def token_histogram(spark, folder):
     return token_counts.length_table(token_counts.encoded_lengths(documents(spark, folder)))
+
+
+@R.query("op7_toxicity_compression")
+def toxic(spark, folder):
+    docs, labels = documents(spark, folder), spark.read.parquet(f"{folder}/labels.parquet")
+    scored = toxicity.score(docs, toxicity.fit(docs, labels))
+    return scored.withColumns({
+        "held_out": held_out_row(), "predicted": (F.col("score") >= 0.3).cast("int"),
+    })
+
+
+@R.query("op8_language_paths")
+def languages(spark, folder):
+    docs = documents(spark, folder)
+    return language.identify(docs, language.fit(docs)).withColumn("held_out", held_out_row())
