@@ -174,7 +174,7 @@ def best_paths(scores: np.ndarray, text: np.ndarray, penalty: float = PENALTY) -
     return path
 
 
-def _identify(model: Model, penalty: float, spans: bool):
+def _identify(model: Model, penalty: float, spans: bool, kept: list[str]):
     span_type = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string())]))
 
     def identify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,7 +182,7 @@ def _identify(model: Model, penalty: float, spans: bool):
         names = np.array([*model.languages, UNKNOWN], object)
         for batch in batches:
             n = batch.num_rows
-            points, starts = _join(batch.column("text").to_pylist())
+            points, starts = _join(batch.column("text__").to_pylist())
             counts = np.zeros((n, k), np.int64)
             found: list[list[dict]] = [[] for _ in range(n)]
             if k:
@@ -197,14 +197,14 @@ def _identify(model: Model, penalty: float, spans: bool):
             total = counts.sum(1)
             label = np.where(total > 0, counts.argmax(1) if k else 0, k)
             share = np.where(total > 0, counts.max(1, initial=0) / np.maximum(total, 1), 0.0)
-            columns = {"doc_id": batch.column("doc_id"), "lang_pred": pa.array(names[label], pa.string()), "score": pa.array(share)}
+            columns = {c: batch.column(c) for c in kept} | {"lang_pred": pa.array(names[label], pa.string()), "score": pa.array(share)}
             yield pa.RecordBatch.from_pydict(columns | ({"spans": pa.array(found, span_type)} if spans else {}))
     return identify
 
 
 def identify(
     docs: DataFrame, model: Model, id_column: str = "doc_id", text_column: str = "text", penalty: float = PENALTY,
-    spans: bool = False,
+    spans: bool = False, keep: list[str] | None = None,
 ) -> DataFrame:
     """doc_id, lang_pred, score of every whole text, and on request its spans (start, end, lang) in code points.
 
@@ -212,9 +212,15 @@ def identify(
     all letters. Null, empty and letterless texts are ``und`` with score 0, and so
     is every text if the model knows no language. Offsets are those of the text in
     lower case, which a few special letters lengthen. Rows keep their number.
+    ``keep`` names columns to carry along instead of the id.
     """
-    rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), text_of(text_column).alias("text"))
-    schema = "doc_id long, lang_pred string, score double"
+    if keep is None:
+        rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), text_of(text_column).alias("text__"))
+    else:
+        rows = docs.select(*keep, text_of(text_column).alias("text__"))
+    columns = [c for c in rows.columns if c != "text__"]
+    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "text__")
+    schema = f"{kept}, lang_pred string, score double"
     if spans:
         schema += ", spans array<struct<start:int,end:int,lang:string>>"
-    return rows.mapInArrow(_identify(model, penalty, spans), schema)
+    return rows.mapInArrow(_identify(model, penalty, spans, columns), schema)

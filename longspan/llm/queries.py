@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from longspan.llm import exact_dedup, language, mixing, sharding, token_counts, toxicity, warc
+from longspan.llm import (
+    decontamination, exact_dedup, language, mixing, near_join, sharding, token_counts, toxicity, warc,
+)
 from longspan.llm.common import documents, held_out_row
 from longspan.plans.common import Registry
 
@@ -115,3 +117,13 @@ def toxic(spark, folder):
 def languages(spark, folder):
     docs = documents(spark, folder)
     return language.identify(docs, language.fit(docs)).withColumn("held_out", held_out_row())
+
+
+@R.query("op9_spaced_seeds")
+def benchmark_passages(spark, folder):
+    return decontamination.contaminated(documents(spark, folder), spark.read.parquet(f"{folder}/benchmark.parquet"))
+
+
+@R.query("op4_jaccard_bayes")
+def near_copies(spark, folder):
+    return near_join.near_duplicates(documents(spark, folder))

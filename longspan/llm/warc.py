@@ -100,18 +100,28 @@ def _head(row: dict, date: str) -> bytes:
     return b"\r\n".join(lines) + b"\r\n\r\n" + HTTP_HEAD
 
 
-def _archive_writer(folder: str, date: str, level: int):
+def _archive_writer(folder: str, date: str, level: int, archive_bytes: int):
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, base = pafs.FileSystem.from_uri(folder)
         files.create_dir(base, recursive=True)
-        # A name of its own for each attempt; only the names of finished tasks reach the manifest.
-        name = f"part-{TaskContext.get().partitionId():05d}-{uuid.uuid4().hex}.warc.gz"
-        out, member, records = None, None, 0
+        out, member, name, records = None, None, "", 0
+
+        def finished() -> pa.RecordBatch:
+            size = out.tell()
+            out.close()
+            return pa.RecordBatch.from_pydict({"path": [f"{folder}/{name}"], "records": [records], "bytes": [size]})
+
         for batch in batches:
             for i in range(batch.num_rows):
                 row = {c: batch.column(c)[i].as_py() for c in batch.schema.names}
-                out = out or files.open_output_stream(f"{base}/{name}", compression=None)
                 if row["chunk"] == 0:  # every record is a gzip member
+                    if out and out.tell() >= archive_bytes:
+                        yield finished()
+                        out, records = None, 0
+                    if out is None:
+                        # A name of its own for each attempt; only those of finished tasks reach the manifest.
+                        name = f"part-{TaskContext.get().partitionId():05d}-{uuid.uuid4().hex}.warc.gz"
+                        out = files.open_output_stream(f"{base}/{name}", compression=None)
                     member = zlib.compressobj(level, zlib.DEFLATED, 31)
                     out.write(member.compress(_head(row, date)))
                     records += 1
@@ -119,9 +129,7 @@ def _archive_writer(folder: str, date: str, level: int):
                 if row["last"]:
                     out.write(member.compress(b"\r\n\r\n") + member.flush())
         if out:
-            size = out.tell()
-            out.close()
-            yield pa.RecordBatch.from_pydict({"path": [f"{folder}/{name}"], "records": [records], "bytes": [size]})
+            yield finished()
     return write
 
 
@@ -131,13 +139,14 @@ def write_archives(
 ) -> DataFrame:
     """Write the records as .warc.gz files into ``folder``; returns the manifest of finished files.
 
-    A retried task writes a new file under a new name and only finished files are
-    listed, so lost executors leave no half archive in the result. ``date`` is
+    ``chunks`` must have each record's chunks one after the other, as
+    ``chunk_table`` cuts them; they are written where they are, without another
+    shuffle. A file past ``archive_bytes`` is followed by a new one. A retried task
+    writes new files under new names and only finished ones are listed, so lost
+    executors leave no half archive in the result. ``date`` is
     every record's WARC-Date. No records, no files.
     """
-    total = chunks.agg(F.sum(F.octet_length("piece"))).first()[0] or 0
-    ordered = chunks.repartition(max(1, -(-total // archive_bytes)), "row").sortWithinPartitions("row", "chunk")
-    return stored(ordered.mapInArrow(_archive_writer(_uri(folder), date, level), MANIFEST))
+    return stored(chunks.mapInArrow(_archive_writer(_uri(folder), date, level, archive_bytes), MANIFEST))
 
 
 def _records(stream, chunk_bytes: int) -> Iterator[dict]:
