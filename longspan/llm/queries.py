@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from longspan.llm import (
-    decontamination, exact_dedup, language, mixing, near_join, sharding, token_counts, toxicity, warc,
+    decontamination, exact_dedup, language, mixing, near_join, repeats, sharding, token_counts, toxicity, warc,
 )
 from longspan.llm.common import documents, held_out_row
 from longspan.plans.common import Registry
@@ -127,3 +127,8 @@ def benchmark_passages(spark, folder):
 @R.query("op4_jaccard_bayes")
 def near_copies(spark, folder):
     return near_join.near_duplicates(documents(spark, folder))
+
+
+@R.query("op2_column_suffixes")
+def without_repeats(spark, folder):
+    return repeats.remove_repeats(documents(spark, folder))
