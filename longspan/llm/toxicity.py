@@ -26,7 +26,7 @@ LEVEL = 3
 TAIL = b" ........"
 STEPS = tuple(range(3, 11))
 # Least z of a toxic word's class contrast: the best on the second half of the fit rows is taken.
-CANDIDATES = (4.0, 6.0, 8.0, 10.0, 14.0)
+CANDIDATES = (3.0, 5.0, 7.0, 10.0, 14.0, 20.0)
 LEAST_WORDS, MOST_WORDS, ORDINARY_WORDS = 10, 2_000, 500
 DICTIONARY_BYTES = 16_384
 CACHED_WINDOWS = 500_000
@@ -194,7 +194,7 @@ def fit(
         distances = _dictionaries(word_contrast(first), (by_class[1] // 2, by_class[0] // 2), candidates)
         y, x = _features(second, distances)
         ranks = [_ranked(d, x[:, i], y) for i, d in enumerate(distances)]
-        choice = candidates[int(np.argmax(ranks))]
+        choice = candidates[int(np.argmax(ranks))] * np.sqrt(2)  # twice the rows: z of the same contrast grows so
     [distance] = _dictionaries(word_contrast(sample), (by_class[1], by_class[0]), [choice])
     y, x = _features(sample, [distance])
     return _calibrated(distance, x[:, 0], y)
