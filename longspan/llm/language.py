@@ -25,6 +25,8 @@ PENALTY = 6.0
 SMOOTHING = 0.5
 SCRIPT_SHARE = 0.001
 BLOCK = 1 << 20
+# Bytes of text whose words are held at once; a longer text is held alone.
+SLICE_BYTES = 8 << 20
 UNKNOWN = "und"
 # First code points of the blocks of larger scripts (Unicode).
 SCRIPTS = (
@@ -174,13 +176,23 @@ def best_paths(scores: np.ndarray, text: np.ndarray, penalty: float = PENALTY) -
     return path
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of bounded text."""
+    for batch in batches:
+        sizes = np.array([len(t.as_buffer()) for t in batch.column("text__")], np.int64)
+        part = np.cumsum(sizes) // SLICE_BYTES
+        starts = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1]))) if len(part) else []
+        for low, high in zip(starts, [*starts[1:], batch.num_rows], strict=False):
+            yield batch.slice(low, high - low)
+
+
 def _identify(model: Model, penalty: float, spans: bool, kept: list[str]):
     span_type = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string())]))
 
     def identify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         k = len(model.languages)
         names = np.array([*model.languages, UNKNOWN], object)
-        for batch in batches:
+        for batch in _slices(batches):
             n = batch.num_rows
             points, starts = _join(batch.column("text__").to_pylist())
             counts = np.zeros((n, k), np.int64)
