@@ -77,11 +77,14 @@ def daily_with_midnight(events: DataFrame) -> DataFrame:
 
 
 def clip_daily(daily: DataFrame, bounds: DataFrame) -> DataFrame:
-    """Daily rows from ``start`` up to midnight of the ``until`` day."""
+    """Daily rows from ``start`` up to midnight of the ``until`` day.
+
+    A NULL bound is open. Persons without a row in ``bounds`` are left out.
+    """
     ends = F.col("day") == F.col("until")
     return (
         daily.join(bounds.select("person_id", "start", "until"), "person_id")
-        .filter((F.col("day") >= F.col("start")) & (F.col("day") <= F.col("until")))
+        .filter((F.col("day") >= F.coalesce("start", "day")) & (F.col("day") <= F.coalesce("until", "day")))
         .select(*CURVE, "day", F.when(ends, F.col("n0")).otherwise(F.col("n")).alias("n"),
                 F.when(ends, F.col("value0")).otherwise(F.col("value")).alias("value"))
         .filter(F.col("n") > 0)

@@ -7,6 +7,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from longspan.schema import require
 from longspan.operators.running import bucket_count, hash_bucket, running_total, value_bucket
 from longspan.session import materialise
 
@@ -232,8 +233,10 @@ def cross_validated_forest(data: DataFrame, key: str, features: str = "features"
     """Balanced random forest per fold; returns models, fold AUCs, predictions.
 
     Folds split each class evenly by a seeded hash order. Predictions are out of
-    fold: each row is scored by the model that did not see it.
+    fold: each row is scored by the model that did not see it. Labels other
+    than 0 and 1 raise.
     """
+    require(data, F.col(label).cast("double").isin(0.0, 1.0), "labels must be 0 or 1")
     prepared = data.select(key, array_to_vector(F.col(features)).alias("features"),
                            F.col(label).cast("double").alias("label"))
     placed = []

@@ -209,3 +209,16 @@ def test_hot_person_gives_the_same_curves(spark):
     ehr, meta = frames(spark, rows + hot)
     found = collected(U.build_curves(ehr, meta, options=U.CurveOptions.windowed(None)))
     assert_same(found, expected(sorted(rows + hot, key=lambda r: r[:3]), None))
+
+
+def test_one_sided_bounds_are_open(spark):
+    from longspan.operators.curves import CURVE, clip_daily
+
+    rows = [("p", "c", d) for d in range(1, 6)]
+    daily = spark.createDataFrame(rows, "person_id string, concept_id string, d int").selectExpr(
+        *[c if c in ("person_id", "concept_id") else f"CAST(NULL AS string) AS {c}" for c in CURVE],
+        "date_add(DATE'2020-01-01', d) AS day", "1L AS n", "1.0D AS value", "1L AS n0", "1.0D AS value0")
+    for start, until, left in (("2020-01-03", None, 4), (None, "2020-01-03", 2), (None, None, 5)):
+        bounds = spark.createDataFrame([("p", start, until)], "person_id string, start string, until string").selectExpr(
+            "person_id", "CAST(start AS date) AS start", "CAST(until AS date) AS until")
+        assert clip_daily(daily, bounds).count() == left
