@@ -491,8 +491,14 @@ def legacy_curves(
 # --- use of curves --------------------------------------------------------
 
 
-def cross_section(curves: DataFrame, index: DataFrame) -> DataFrame:
-    """Curve values on the sampled days."""
+def cross_section(curves: DataFrame, index: DataFrame, grid: DataFrame | None = None) -> DataFrame:
+    """Curve values on the sampled days.
+
+    Samples off their person's days have no values. With ``grid`` such samples
+    raise; without it they are left out, and :func:`outside_grid` lists them.
+    """
+    if grid is not None and not outside_grid(grid, index).isEmpty():
+        raise ValueError("samples lie outside the days of their person")
     asked = index.select("person_id", day_of(F.col("datetime")).alias("day")).distinct()
     return curves.join(asked, ["person_id", "day"]).select(*CURVE, "day", "value")
 

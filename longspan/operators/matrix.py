@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from longspan.operators.extract import BACKGROUND_RATE
-from longspan.operators.stats import pool_partials
+from longspan.operators.stats import padding_count, pool_partials
 from longspan.schema import require
 from longspan.session import materialise
 
@@ -73,7 +73,7 @@ def _filled(stats: DataFrame, modes: DataFrame, n_obs: int | None, applies: Colu
         "value": fill,
     })
     padded = own.filter(F.col("postfill") & applies & F.col("value").isNotNull())
-    pad = (F.lit(n_obs) - F.col("count")).cast("long")
+    pad = padding_count(F.lit(n_obs))
     value = F.col("value")
     padding = padded.select(
         "group", pad.alias("count"), value.alias("mean"), F.lit(0.0).alias("variance"),
@@ -151,14 +151,22 @@ def unscaled(value: Column) -> Column:
     return F.when(F.col("log10"), F.pow(F.lit(10.0), level) - F.col("eps")).otherwise(level)
 
 
+def _converted(data: DataFrame, scaler: DataFrame, value: str, change: Column) -> DataFrame:
+    """``change`` of each value beside its scaler; a label that has none raises."""
+    absent = F.raise_error(F.concat(F.lit("no scaler for label "), F.col("label").cast("string")))
+    joined = data.join(scaler.withColumn("__known", F.lit(True)), "label", "left")
+    checked = F.when(F.col("__known").isNull(), absent.cast("double")).otherwise(change)
+    return joined.withColumn(value, checked).select(*data.columns)
+
+
 def apply_scaler(data: DataFrame, scaler: DataFrame, value: str = "value") -> DataFrame:
-    names = data.columns
-    return data.join(scaler, "label").withColumn(value, scaled(F.col(value))).select(*names)
+    """Scaled values; a label without a scaler raises."""
+    return _converted(data, scaler, value, scaled(F.col(value)))
 
 
 def invert_scaler(data: DataFrame, scaler: DataFrame, value: str = "value") -> DataFrame:
-    names = data.columns
-    return data.join(scaler, "label").withColumn(value, unscaled(F.col(value))).select(*names)
+    """Values in their original units; a label without a scaler raises."""
+    return _converted(data, scaler, value, unscaled(F.col(value)))
 
 
 def impact(

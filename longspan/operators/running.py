@@ -1,8 +1,9 @@
 """Prefix sums over a whole table without a one-task window.
 
 A window without PARTITION BY moves every row to one task. Here rows fall into
-buckets, one small window runs over the bucket totals, and a second window runs
-inside each bucket.
+buckets and buckets into blocks: one window runs over the block totals, one over
+the bucket totals of each block, and one inside each bucket. With 5e11 rows the
+block totals are a few thousand numbers.
 """
 
 from __future__ import annotations
@@ -12,12 +13,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BUCKET_ROWS = 50_000
-# The bucket totals share one task, so beyond this the buckets grow instead.
-MAX_BUCKETS = 10_000
+BLOCK_BUCKETS = 4_096
+# Cuts of a value order pass through the driver; beyond this many its buckets grow instead.
+MAX_CUTS = 10_000
 
 
 def bucket_count(rows: int) -> int:
-    return max(1, min(MAX_BUCKETS, -(-rows // BUCKET_ROWS)))
+    return max(1, -(-rows // BUCKET_ROWS))
 
 
 def hash_bucket(buckets: int, *columns: str) -> Column:
@@ -31,6 +33,7 @@ def value_bucket(df: DataFrame, column: str, buckets: int, target: str) -> DataF
     The cuts are numbers fixed on the driver (one per bucket), so a recomputed
     task puts every row in the same bucket; they only balance the load.
     """
+    buckets = min(buckets, MAX_CUTS)
     cuts: list[float] = []
     if buckets > 1:
         probabilities = [i / buckets for i in range(1, buckets)]
@@ -44,7 +47,8 @@ def value_bucket(df: DataFrame, column: str, buckets: int, target: str) -> DataF
 
 
 def running_total(
-    df: DataFrame, bucket: str, order: list[str], amounts: dict[str, str], by: tuple[str, ...] = ()
+    df: DataFrame, bucket: str, order: list[str], amounts: dict[str, str], by: tuple[str, ...] = (),
+    block_buckets: int = BLOCK_BUCKETS,
 ) -> DataFrame:
     """Add, per entry of ``amounts``, the sum of all rows that come before.
 
@@ -53,14 +57,18 @@ def running_total(
     """
     keys = [*by, bucket]
     totals = df.groupBy(*keys).agg(*[F.sum(src).alias(f"__t_{dst}") for dst, src in amounts.items()])
-    ahead = (
-        Window.partitionBy(*(by or (F.lit(0),)))
-        .orderBy(bucket)
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-    offsets = totals.select(
-        *keys, *[F.coalesce(F.sum(f"__t_{dst}").over(ahead), F.lit(0)).alias(f"__o_{dst}") for dst in amounts]
-    )
+    totals = totals.withColumn("__block", F.floor(F.col(bucket) / block_buckets))
+    blocks = totals.groupBy(*by, "__block").agg(*[F.sum(f"__t_{dst}").alias(f"__b_{dst}") for dst in amounts])
+
+    def ahead(within: tuple[str, ...], place: str, column: str) -> Column:
+        window = Window.partitionBy(*(within or (F.lit(0),))).orderBy(place)
+        return F.coalesce(F.sum(column).over(window.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+
+    block_offsets = blocks.select(
+        *by, "__block", *[ahead(by, "__block", f"__b_{dst}").alias(f"__p_{dst}") for dst in amounts])
+    offsets = totals.join(block_offsets, [*by, "__block"]).select(*keys, *[
+        (F.col(f"__p_{dst}") + ahead((*by, "__block"), bucket, f"__t_{dst}")).alias(f"__o_{dst}")
+        for dst in amounts])
     inside = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     joined = df.join(offsets, keys)
     for dst, src in amounts.items():

@@ -108,17 +108,25 @@ def merge_stats(*parts: DataFrame) -> DataFrame:
     return pool_partials(merged, "label")
 
 
+def padding_count(size: Column) -> Column:
+    """Values missing to ``size``; raises where there are more already."""
+    pad = (size - F.col("count")).cast("long")
+    too_many = F.raise_error(F.lit("statistics cannot be filled to fewer values than they have"))
+    return F.when(pad < 0, too_many.cast("long")).otherwise(pad)
+
+
 def extend_stats(
     stats: DataFrame, count: int | Column, fill: float | Column = 0.0, labels: DataFrame | None = None
 ) -> DataFrame:
     """As if the labels' data had been padded to ``count`` values of ``fill``.
 
-    Minimum and maximum take in the fill even when nothing is padded.
+    Minimum and maximum take in the fill even when nothing is padded. Labels
+    that already have more than ``count`` values raise.
     """
     chosen = stats if labels is None else stats.join(labels.select("label"), "label", "left_semi")
     size = count if isinstance(count, Column) else F.lit(count)
     value = (fill if isinstance(fill, Column) else F.lit(float(fill))).cast("double")
-    pad = (size - F.col("count")).cast("long")
+    pad = padding_count(size)
     padding = chosen.select(
         "label",
         pad.alias("count"),

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from longspan.operators.stats import collect_stats, merge_stats
+from longspan.schema import STATS
 from longspan.session import checkpoint_dir
 
 EPS = 1e-5
@@ -18,19 +20,39 @@ class OnlineScaler:
     table; the variance is held at ``eps`` or more after every batch. A frozen
     scaler only applies. ``update`` fits ``foreachBatch``: a batch number seen
     before is not merged again, so a replayed batch does no harm.
+
+    ``folder`` is where the versions are kept; a new object goes on from the last
+    one there. Give a durable folder beside a stream's own checkpoint. Without
+    one they lie in the session's checkpoint folder and end with the session.
     """
 
-    def __init__(self, spark: SparkSession, name: str, eps: float = EPS, fill: float | None = None):
+    def __init__(self, spark: SparkSession, name: str, eps: float = EPS, fill: float | None = None,
+                 folder: str | None = None):
         self.spark = spark
-        self.folder = f"{checkpoint_dir(spark)}/online/{name}"
+        self.folder = f"{folder or checkpoint_dir(spark) + '/online'}/{name}"
         self.eps = eps
         self.fill = fill
         self.frozen = False
-        self.version = -1
+        self.version = self._last_version()
 
     def _path(self, version: int) -> str:
         return f"{self.folder}/v{version:08d}"
 
+    def _last_version(self) -> int:
+        """The highest version whose one file was committed, or -1."""
+        files = (
+            self.spark.read.format("binaryFile")
+            .option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet")
+        )
+        try:
+            paths = files.load(self.folder).select("path")
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return -1
+        number = F.regexp_extract("path", r"/v(\d{8,})/[^/]+$", 1)
+        return paths.agg(F.coalesce(F.max(number.cast("int")), F.lit(-1))).first()[0]
+
     @property
     def stats(self) -> DataFrame:
         if self.version < 0:
@@ -43,7 +65,9 @@ class OnlineScaler:
         self.version = version
 
     def reset(self) -> None:
-        self.version = -1
+        """Forget what was seen; later batches keep counting from here."""
+        if self.version >= 0:
+            self.set_stats(self.spark.createDataFrame([], STATS), self.version)
 
     def update(self, batch: DataFrame, batch_id: int | None = None) -> None:
         """Merge one batch of (label, value) rows."""
