@@ -149,15 +149,21 @@ def _measured(samples: DataFrame, daily: DataFrame, grid: DataFrame, window: int
         return now.select(*SAMPLE, F.coalesce("today", "s.y").alias("value"))
 
     s, b = F.col("s"), F.col("b")
-    y_end = F.coalesce("today", s["y"])
-    h = F.datediff("dt", s["x"]).cast("double")
-    m = (y_end - s["y"]) / h
-    ph = F.datediff(s["x"], s["px"]).cast("double")
-    pm = (s["y"] - s["py"]) / ph
+    y_end, h, m, ph, pm, d_last, d_end, d_prev = map(F.col, ("y_end", "h", "m", "ph", "pm", "d_last", "d_end", "d_prev"))
     alone, pair = s["k"] == 1, s["k"] == 2
-    d_last = F.when(alone, m).otherwise(_interior_slope(ph, pm, h, m))
-    d_end = F.when(alone, m).otherwise(_end_slope(h, ph, m, pm))
-    d_prev = F.when(pair, _end_slope(ph, h, pm, m)).otherwise(s["pd"])
+    # Columns used often are computed in steps; nested, their code outgrows what can be compiled.
+    now = now.withColumns({
+        "y_end": F.coalesce("today", s["y"]),
+        "h": F.datediff("dt", s["x"]).cast("double"),
+        "ph": F.datediff(s["x"], s["px"]).cast("double"),
+    }).withColumns({
+        "m": (y_end - s["y"]) / h,
+        "pm": (s["y"] - s["py"]) / ph,
+    }).withColumns({
+        "d_last": F.when(alone, m).otherwise(_interior_slope(ph, pm, h, m)),
+        "d_end": F.when(alone, m).otherwise(_end_slope(h, ph, m, pm)),
+        "d_prev": F.when(pair, _end_slope(ph, h, pm, m)).otherwise(s["pd"]),
+    })
 
     def tail(upto_day: Column) -> Column:
         return _interval_sum(upto_day, h, s["y"], y_end, d_last, d_end)

@@ -146,7 +146,9 @@ def stats_pooled_over_all(spark, sf):
 
 # --- standardisation -----------------------------------------------------------
 
-N_OBS = 5_000_000
+# Curves are filled up to twice the person-days of the log, as if as many days had no events:
+# a curve that never changes keeps a scale, and no label can have more days than that.
+N_OBS = "(SELECT 2 * sum(date_diff('day', lo, hi) + 1) FROM grid)"
 _SCALER = f"""{_CURVE_VALUES},
 b AS ({_stats_sql('vals')}),
 logs AS (SELECT label, CASE WHEN value > 0 THEN log10(value) END AS value FROM vals),
@@ -183,7 +185,8 @@ scaler AS (SELECT label,
 def _scaler(spark, sf):
     x, base, lg10 = _curve_stats(spark, sf)
     modes = x.meta.withColumnRenamed("concept_id", "label")
-    return x, M.make_scaler(base, lg10, modes, N_OBS)
+    days = S.space_totals(S.by_day(S.sample_space(x.ehr))).first()["ndates"]
+    return x, M.make_scaler(base, lg10, modes, 2 * days)
 
 
 @R.query("scaler_m3", f"""{_SCALER} SELECT label, {V.rounded('shift', 8)} AS shift, {V.rounded('scale', 8)} AS scale,
@@ -205,10 +208,9 @@ def scaled_values(spark, sf):
 
 
 def _labelled_events(x: Clinical) -> DataFrame:
-    from longspan.sources.clinical import EVENT_CONCEPTS, _lookup
+    from longspan.sources.clinical import event_concept
 
-    return x._table("events").select(
-        "event_id", _lookup(F.col("event_type"), EVENT_CONCEPTS).cast("long").alias("label"), "value")
+    return x._table("events").select("event_id", event_concept(F.col("event_type")).alias("label"), "value")
 
 
 @R.query("scaled_back_m4_f7", """SELECT event_id, CAST(CASE event_type WHEN 'click' THEN 1

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -46,6 +47,12 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def materialise(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: fixes the rows and cuts the lineage."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
+    """Write the rows once to the shared checkpoint folder and read them back.
+
+    Parquet, unlike a checkpoint's row files, keeps the columns prunable and tells
+    the optimizer the true size, so small tables are broadcast from the start.
+    The folders ``table-*`` are the cluster's to clean, like checkpoints.
+    """
+    path = f"{checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -25,8 +25,10 @@ EVENT_MODES = {
     "signup": "Medication",
     "view": "Measurement",
 }
-# Part types in alphabetical order.
-PART_TYPES = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]
+# Part types in alphabetical order, order priorities, return flags and their numbers.
+PART_TYPES = {"ECONOMY": 1, "LARGE": 2, "MEDIUM": 3, "PROMO": 4, "SMALL": 5, "STANDARD": 6}
+PRIORITIES = {"1-URGENT": 1, "2-HIGH": 2, "3-MEDIUM": 3, "4-NOT SPECIFIED": 4, "5-LOW": 5}
+RETURN_FLAGS = {"A": 65, "N": 78, "R": 82}
 
 CONDITION_BASE = 1000
 MEASUREMENT_BASE = 2000
@@ -43,6 +45,16 @@ def _lookup(column: Column, mapping: dict) -> Column:
     return F.create_map(*pairs)[column]
 
 
+def _concept(column: Column, numbers: dict[str, int], base: int = 0) -> Column:
+    """Concept id of a text: a number from the base on, or a negative hash if it is none of the known ones."""
+    other = -F.shiftrightunsigned(F.xxhash64(column), 1) - 1
+    return F.when(column.isNotNull(), F.coalesce(base + _lookup(column, numbers).cast("long"), other))
+
+
+def event_concept(kind: Column) -> Column:
+    return _concept(kind, EVENT_CONCEPTS)
+
+
 def birth_date(person_id: Column) -> Column:
     return F.date_add(F.lit("1950-01-01").cast("date"), (person_id * 97 % 15000).cast("int"))
 
@@ -68,7 +80,7 @@ class Clinical:
         kind = F.col("event_type")
         return self._table("events").select(
             F.col("user_id").alias("person_id"),
-            _lookup(kind, EVENT_CONCEPTS).cast("long").alias("concept_id"),
+            event_concept(kind).alias("concept_id"),
             whole_second(F.col("ts")).alias("datetime"),
             F.when(_lookup(kind, EVENT_MODES) == "Measurement", F.col("value")).alias("value"),
         )
@@ -149,11 +161,11 @@ class Clinical:
                  F.lit("Clinical Finding"), F.col("o_orderpriority")),
             rows(brands, MEASUREMENT_BASE + number, F.col("p_brand"), "Measurement", "LOINC",
                  lab, F.col("p_brand")),
-            rows(types, INGREDIENT_BASE + _type_number(F.col("p_type")), F.col("p_type"), "Drug",
+            rows(types, _concept(F.col("p_type"), PART_TYPES, INGREDIENT_BASE), F.col("p_type"), "Drug",
                  "RxNorm", F.lit("Ingredient"), F.col("p_type")),
             rows(part, DRUG_BASE + F.col("p_partkey"), F.col("p_name"), "Drug", "RxNorm",
                  F.lit("Clinical Drug"), F.col("p_partkey")),
-            rows(flags, PROCEDURE_BASE + F.ascii("l_returnflag"), F.col("l_returnflag"),
+            rows(flags, _flag_concept(), F.col("l_returnflag"),
                  "Procedure", "CPT4", F.lit("CPT4"), F.col("l_returnflag")),
             rows(self._table("nation"), GENDER_BASE + F.col("n_nationkey"), F.col("n_name"),
                  "Gender", "Local Gender", F.lit("Gender"), F.col("n_nationkey")),
@@ -219,7 +231,7 @@ class Clinical:
     @cached_property
     def concept_ancestor(self) -> DataFrame:
         return self._table("part").select(
-            (INGREDIENT_BASE + _type_number(F.col("p_type"))).alias("ancestor_concept_id"),
+            _concept(F.col("p_type"), PART_TYPES, INGREDIENT_BASE).alias("ancestor_concept_id"),
             (DRUG_BASE + F.col("p_partkey")).alias("descendant_concept_id"),
         )
 
@@ -227,7 +239,7 @@ class Clinical:
     def procedure_occurrence(self) -> DataFrame:
         return self._items.select(
             F.col("o_custkey").alias("person_id"),
-            (PROCEDURE_BASE + F.ascii("l_returnflag")).cast("long").alias("procedure_concept_id"),
+            _flag_concept().alias("procedure_concept_id"),
             F.col("l_shipdate").alias("procedure_datetime"),
             F.col("l_shipdate").cast("date").alias("procedure_date"),
         )
@@ -260,12 +272,12 @@ class Clinical:
 
 
 def _priority_concept() -> Column:
-    return CONDITION_BASE + F.substring("o_orderpriority", 1, 1).cast("long")
+    return _concept(F.col("o_orderpriority"), PRIORITIES, CONDITION_BASE)
 
 
-def _brand_number(brand: Column) -> Column:
-    return F.regexp_replace(brand, "Brand#", "").cast("long")
+def _flag_concept() -> Column:
+    return _concept(F.col("l_returnflag"), RETURN_FLAGS, PROCEDURE_BASE)
 
 
-def _type_number(kind: Column) -> Column:
-    return _lookup(kind, {name: i + 1 for i, name in enumerate(PART_TYPES)}).cast("long")
+def _brand_number(brand: Column) -> Column:
+    return F.regexp_replace(brand, "Brand#", "").cast("long")

@@ -57,6 +57,21 @@ def test_range_join_forms_no_pairs(spark):
     assert "CartesianProduct" not in plan and "NestedLoopJoin" not in plan
 
 
+def test_small_dimensions_are_broadcast_from_the_start(spark):
+    df = entry.queries()["select_data_j6_o1"](spark, FOLDER)
+    plan = df._jdf.queryExecution().sparkPlan().toString()
+    assert "BroadcastHashJoin" in plan
+
+
+@pytest.mark.parametrize("name", ["projection_points_t15", "assembled_matrix_m2_m5_m6"])
+def test_generated_code_compiles(spark, name):
+    spark.conf.set("spark.sql.codegen.fallback", "false")
+    try:
+        entry.queries()[name](spark, FOLDER).write.format("noop").mode("overwrite").save()
+    finally:
+        spark.conf.unset("spark.sql.codegen.fallback")
+
+
 def test_filters_and_columns_reach_the_scan(spark):
     df = entry.queries()["conditions_p1_a8"](spark, FOLDER)
     plan = df._jdf.queryExecution().executedPlan().toString()
