@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from longspan.llm.common import stored, text_of
 
-# Fixed masks over eight words: 1 is hashed, 0 may be substituted.
-MASKS = ("11011011", "11100111", "10111101")
+# Fixed masks over eight words: 1 is hashed, 0 may be substituted. Any two changes among 13 words leave a seed.
+MASKS = ("11011011", "11100111", "10111101", "10101111")
 SPAN = 8
 WINDOW = 13
 LEAST_EQUAL = 11
@@ -38,14 +38,18 @@ def _seeds(rows: DataFrame, *keep: str) -> DataFrame:
     return placed.select(*keep, "words", "at", F.explode(F.array(*hashes)).alias("hash"))
 
 
-def _equal_words(start: Column) -> Column:
-    """Equal words in the item's window from ``start``, aligned by the hit; words off the document differ."""
-    low = F.greatest(F.lit(0), F.least(start, F.size("item") - WINDOW))
-    size = F.least(F.lit(WINDOW), F.size("item"))
-    same = F.filter(
-        F.sequence(low, low + size - 1),
+def _equal_words() -> Column:
+    """Most equal words of the item's windows that hold the hit's seed, aligned by it; words off either text differ.
+
+    A shorter item is one window, and its missing words count as equal.
+    """
+    same = F.transform(
+        F.sequence(F.col("item_at") - LEAD, F.col("item_at") + WINDOW - 1),
         lambda i: F.get("item", i) == F.get("near", i - F.col("item_at") + F.col("offset")))
-    return F.size(same) + F.greatest(F.lit(0), WINDOW - F.size("item"))
+    # A transform of one value, so that the words are compared once for all windows.
+    most = F.transform(F.array(same), lambda flags: F.greatest(*[
+        F.size(F.filter(F.slice(flags, 1 + start, WINDOW), lambda equal: equal)) for start in range(LEAD + 1)]))[0]
+    return most + F.greatest(F.lit(0), WINDOW - F.size("item"))
 
 
 def contaminated(
@@ -55,8 +59,8 @@ def contaminated(
     """doc_id, item_id, hits and matched for each document that holds a passage of an item.
 
     Of 13 words of the item (all of a shorter one) at most 2 may differ in the
-    document, at the same places: windows that begin with a hit's seed or end with it
-    are compared. ``hits`` counts the verified seeds, ``matched`` is the most equal
+    document, at the same places: all windows of 13 words that hold a hit's seed are
+    compared, and every such passage of an item of 13 or more words has a seed. ``hits`` counts the verified seeds, ``matched`` is the most equal
     words of a window. Words are lower-case runs of letters and digits. Items of
     fewer than 8 words have no seed and match nothing; nor do null or empty texts.
     Rows that share an id are judged together. Empty tables give no rows.
@@ -76,8 +80,7 @@ def contaminated(
     hits = _seeds(rows, "doc_id").join(hashes, "hash", "left_semi").select(
         "hash", "doc_id", "at", (F.col("at") - first).alias("offset"),
         F.slice("words", first + 1, F.lit(2 * WINDOW + SPAN)).alias("near"))
-    verified = hits.join(seeds, "hash").withColumn(
-        "matched", F.greatest(_equal_words(F.col("item_at")), _equal_words(F.col("item_at") - LEAD)))
+    verified = hits.join(seeds, "hash").withColumn("matched", _equal_words())
     return (
         verified.where(F.col("matched") >= LEAST_EQUAL)
         .groupBy("doc_id", "item_id")

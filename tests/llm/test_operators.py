@@ -198,3 +198,31 @@ def test_benchmark_passages_equal_brute_force(spark, odd, none):
     assert decontamination.contaminated(odd, bench).count() == 0
     assert decontamination.contaminated(none, bench).count() == 0
     assert decontamination.contaminated(df, bench.limit(0)).count() == 0
+
+
+def test_every_passage_within_the_tolerance_is_found(spark):
+    from itertools import combinations
+    r = random.Random(8)
+    words = [f"w{i}" for i in range(900)]
+    item = r.sample(words, 40)
+    docs, wanted = [], set()
+    for size, changes in ((13, 2), (14, 2), (16, 3)):
+        for places in combinations(range(size), changes):
+            start = r.randrange(len(item) - size + 1)
+            passage = [f"x{i}" if i in places else w for i, w in enumerate(item[start:start + size])]
+            if any(sum(i in places for i in range(s, s + 13)) <= 2 for s in range(size - 12)):
+                wanted.add(len(docs))
+            # Some passages stand at an end of the document.
+            pad = [["y"] * r.choice((0, 3, 20)) for _ in range(2)]
+            docs.append((len(docs), " ".join(pad[0] + passage + pad[1])))
+    for cut in (1, 2):  # the document begins or ends inside the window
+        for place in range(cut, 13) if cut == 1 else [None]:
+            passage = ["x" if i == place else w for i, w in enumerate(item[9:22])]
+            for text in (passage[cut:], passage[::-1][cut:][::-1]):
+                if place is None or text.count("x"):
+                    wanted.add(len(docs))
+                    docs.append((len(docs), " ".join(text)))
+    bench = spark.createDataFrame([(0, " ".join(item))], "item_id long, text string")
+    found = decontamination.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()
+    assert {x["doc_id"] for x in found} == wanted
+    assert all(11 <= x["matched"] <= 13 for x in found)
