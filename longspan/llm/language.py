@@ -148,7 +148,7 @@ def _word_scores(points: np.ndarray, starts: np.ndarray, model: Model):
 
 def best_paths(scores: np.ndarray, text: np.ndarray, penalty: float = PENALTY) -> np.ndarray:
     """Language of each word on the best path of its text; ties go to the earlier language and to staying."""
-    path = np.zeros(len(scores), np.int8)
+    path = np.zeros(len(scores), np.int32)
     if not len(scores):
         return path
     offsets = np.flatnonzero(np.concatenate(([True], text[1:] != text[:-1])))
@@ -156,9 +156,9 @@ def best_paths(scores: np.ndarray, text: np.ndarray, penalty: float = PENALTY) -
     order = np.argsort(-lengths, kind="stable")
     offsets, lengths = offsets[order], lengths[order]
     active = len(lengths) - np.searchsorted(np.sort(lengths), np.arange(lengths[0]), "right")  # longer than t
-    came = np.zeros((len(scores), scores.shape[1]), np.int8)
+    came = np.zeros((len(scores), scores.shape[1]), np.min_scalar_type(scores.shape[1]))
     best = scores[offsets].astype(np.float64)
-    every = np.arange(scores.shape[1], dtype=np.int8)
+    every = np.arange(scores.shape[1], dtype=np.int32)
     for t in range(1, lengths[0]):
         n = active[t]
         before, at = best[:n], offsets[:n] + t
@@ -167,7 +167,7 @@ def best_paths(scores: np.ndarray, text: np.ndarray, penalty: float = PENALTY) -
         stay = before >= other
         came[at] = np.where(stay, every, leader[:, None])
         best[:n] = np.where(stay, before, other) + scores[at]
-    state = best.argmax(1).astype(np.int8)
+    state = best.argmax(1).astype(np.int32)
     for t in range(lengths[0] - 1, -1, -1):
         n = active[t]
         at = offsets[:n] + t

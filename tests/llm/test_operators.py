@@ -146,6 +146,25 @@ def test_paths_equal_brute_force():
         assert abs(value(path[text == t].tolist()) - best) < 1e-5
 
 
+def test_many_languages(spark):
+    import numpy as np
+    for k in (150, 300):
+        wanted = np.repeat([0, k - 1, 126, 140, 130], 4)
+        scores = np.zeros((len(wanted), k))
+        scores[np.arange(len(wanted)), wanted] = 10.0
+        assert language.best_paths(scores, np.zeros(len(wanted), int)).tolist() == wanted.tolist()
+        assert language.best_paths(scores, np.arange(len(wanted))).tolist() == wanted.tolist()
+    r = random.Random(11)
+    names = [f"l{i:03}" for i in range(150)]
+    words = {n: ["".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=8)) for _ in range(8)] for n in names}
+    docs = spark.createDataFrame(
+        [(i, " ".join(r.choices(words[n], k=20)), n) for i, n in enumerate(names * 10)], "doc_id long, text string, lang string")
+    model = language.fit(docs)
+    assert model.languages == names
+    rows = language.identify(docs, model, spans=True).join(docs, "doc_id").collect()
+    assert all(x["lang"] == x["lang_pred"] == x["spans"][0]["lang"] for x in rows)
+
+
 def test_toxicity(spark, odd, none):
     r = random.Random(4)
     plain = ["".join(r.choices("aeioulnrst", k=r.randint(2, 8))) for _ in range(300)]
