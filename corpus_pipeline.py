@@ -36,10 +36,14 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a passage of a benchmark item go."""
+    """Documents that hold a passage of a benchmark item go; others of the same id, or of no id, stay."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    found = decontamination.contaminated(docs, benchmark).select(F.col("doc_id").alias("found_id")).distinct()
-    return docs.join(found, docs["doc_id"].eqNullSafe(F.col("found_id")), "left_anti")
+    found = decontamination.contaminated(docs, benchmark, by_text=True).select(
+        F.col("doc_id").alias("found_id"), F.col("text_digest").alias("found_digest")).distinct()
+    return docs.join(
+        found,
+        docs["doc_id"].eqNullSafe(F.col("found_id")) & (decontamination.digest("text") == F.col("found_digest")),
+        "left_anti")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

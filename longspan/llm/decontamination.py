@@ -27,6 +27,11 @@ def words(column: str) -> Column:
     return F.array_remove(F.split(F.lower(text_of(column)), r"[^\p{L}\p{N}]+"), "")
 
 
+def digest(column: str) -> Column:
+    """Tells texts apart where ids do not."""
+    return F.md5(text_of(column).cast("binary"))
+
+
 def _seeds(rows: DataFrame, *keep: str) -> DataFrame:
     """One row per position and mask: hash, at, the kept columns and words."""
     long_enough = rows.where(F.size("words") >= SPAN)
@@ -54,7 +59,7 @@ def _equal_words() -> Column:
 
 def contaminated(
     docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text_column: str = "text",
-    item_column: str = "item_id", item_text_column: str = "text",
+    item_column: str = "item_id", item_text_column: str = "text", by_text: bool = False,
 ) -> DataFrame:
     """doc_id, item_id, hits and matched for each document that holds a passage of an item.
 
@@ -63,7 +68,8 @@ def contaminated(
     compared, and every such passage of an item of 13 or more words has a seed. ``hits`` counts the verified seeds, ``matched`` is the most equal
     words of a window. Words are lower-case runs of letters and digits. Items of
     fewer than 8 words have no seed and match nothing; nor do null or empty texts.
-    Rows that share an id are judged together. Empty tables give no rows.
+    Rows that share an id are judged together; with ``by_text`` those of equal text are,
+    and the column text_digest (``digest`` of the text) follows doc_id. Empty tables give no rows.
 
     The benchmark's distinct hashes are broadcast only up to ``BROADCAST_SEEDS``;
     beyond that the join shuffles. Each hit carries only the words near it, so a
@@ -75,14 +81,15 @@ def contaminated(
     hashes = seeds.select("hash").distinct()
     if hashes.count() <= BROADCAST_SEEDS:
         hashes = F.broadcast(hashes)
-    rows = docs.select(F.col(id_column).alias("doc_id"), words(text_column).alias("words"))
+    keys = {"doc_id": F.col(id_column)} | ({"text_digest": digest(text_column)} if by_text else {})
+    rows = docs.select(*[c.alias(k) for k, c in keys.items()], words(text_column).alias("words"))
     first = F.greatest(F.col("at") - WINDOW, F.lit(0))
-    hits = _seeds(rows, "doc_id").join(hashes, "hash", "left_semi").select(
-        "hash", "doc_id", "at", (F.col("at") - first).alias("offset"),
+    hits = _seeds(rows, *keys).join(hashes, "hash", "left_semi").select(
+        "hash", *keys, "at", (F.col("at") - first).alias("offset"),
         F.slice("words", first + 1, F.lit(2 * WINDOW + SPAN)).alias("near"))
     verified = hits.join(seeds, "hash").withColumn("matched", _equal_words())
     return (
         verified.where(F.col("matched") >= LEAST_EQUAL)
-        .groupBy("doc_id", "item_id")
+        .groupBy(*keys, "item_id")
         .agg(F.count(F.lit(1)).alias("hits"), F.max("matched").alias("matched"))
     )

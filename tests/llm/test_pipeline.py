@@ -28,3 +28,12 @@ def test_empty(spark, tmp_path):
     spark.read.parquet(f"{FOLDER}/documents.parquet").limit(0).write.parquet(f"{tmp_path}/documents.parquet")
     spark.read.parquet(f"{FOLDER}/benchmark.parquet").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_benchmark_stage_keeps_clean_rows_of_the_same_id(spark, tmp_path):
+    passage = " ".join(f"w{i}" for i in range(20))
+    spark.createDataFrame([(0, passage)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(None, f"a {passage}"), (None, "clean one"), (None, None), (7, f"{passage} b"), (7, "clean two"), (8, passage), (9, "clean three")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = pipeline.drop_benchmark(spark, docs, str(tmp_path)).collect()
+    assert sorted((r["text"] or "") for r in kept) == ["", "clean one", "clean three", "clean two"]
