@@ -57,19 +57,27 @@ def _equal_words() -> Column:
     return most + F.greatest(F.lit(0), WINDOW - F.size("item"))
 
 
+def _changes() -> Column:
+    """Words of a window that may differ: 2 of 13, 1 of a shorter item, none of one seed's length."""
+    size = F.size("item")
+    return F.when(size >= WINDOW, WINDOW - LEAST_EQUAL).when(size > SPAN, 1).otherwise(0)
+
+
 def contaminated(
     docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text_column: str = "text",
     item_column: str = "item_id", item_text_column: str = "text", by_text: bool = False,
 ) -> DataFrame:
     """doc_id, item_id, hits and matched for each document that holds a passage of an item.
 
-    Of 13 words of the item (all of a shorter one) at most 2 may differ in the
-    document, at the same places: all windows of 13 words that hold a hit's seed are
-    compared, and every such passage of an item of 13 or more words has a seed. ``hits`` counts the verified seeds, ``matched`` is the most equal
-    words of a window. Words are lower-case runs of letters and digits. Items of
-    fewer than 8 words have no seed and match nothing; nor do null or empty texts.
-    Rows that share an id are judged together; with ``by_text`` those of equal text are,
-    and the column text_digest (``digest`` of the text) follows doc_id. Empty tables give no rows.
+    Of 13 words of the item at most 2 may differ in the document, at the same places;
+    of all words of an item of 9 to 12 one, of an item of 8 none. All windows that
+    hold a hit's seed are compared, and every such passage has a seed. ``hits`` counts
+    the verified seeds, ``matched`` is the most equal words of a window, where what an
+    item lacks of 13 words counts as equal. Words are lower-case runs of letters and
+    digits. Items of fewer than 8 words have no seed and match nothing; nor do null or
+    empty texts. Rows that share an id are judged together, with ``by_text`` only those
+    of equal texts: the column text_digest (``digest`` of the text) then follows doc_id.
+    Empty tables give no rows.
 
     The benchmark's distinct hashes are broadcast only up to ``BROADCAST_SEEDS``;
     beyond that the join shuffles. Each hit carries only the words near it, so a
@@ -89,7 +97,7 @@ def contaminated(
         F.slice("words", first + 1, F.lit(2 * WINDOW + SPAN)).alias("near"))
     verified = hits.join(seeds, "hash").withColumn("matched", _equal_words())
     return (
-        verified.where(F.col("matched") >= LEAST_EQUAL)
+        verified.where(F.col("matched") >= WINDOW - _changes())
         .groupBy(*keys, "item_id")
         .agg(F.count(F.lit(1)).alias("hits"), F.max("matched").alias("matched"))
     )

@@ -245,3 +245,18 @@ def test_every_passage_within_the_tolerance_is_found(spark):
     found = decontamination.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()
     assert {x["doc_id"] for x in found} == wanted
     assert all(11 <= x["matched"] <= 13 for x in found)
+
+
+def test_tolerance_of_short_items(spark):
+    from itertools import combinations
+    items = {n: [f"w{n}x{i}" for i in range(n)] for n in range(8, 13)}
+    docs, wanted = [], set()
+    for n, item in items.items():
+        for changes in (0, 1, 2):
+            for places in combinations(range(n), changes):
+                if changes <= (0 if n == 8 else 1):
+                    wanted.add((len(docs), n))
+                docs.append((len(docs), "a b " * (len(docs) % 2) + " ".join("y" if i in places else w for i, w in enumerate(item)) + " c" * (len(docs) % 3)))
+    bench = spark.createDataFrame([(n, " ".join(x)) for n, x in items.items()], "item_id long, text string")
+    found = decontamination.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()
+    assert {(x["doc_id"], x["item_id"]) for x in found} == wanted
