@@ -12,16 +12,15 @@ from pyspark.sql import functions as F
 from longspan.llm import decontamination, language, mixing, near_join, sharding
 from longspan.llm.common import stored
 
-LEAST_SHARE = 0.4
 SHARDS = 40
 # Languages and scripts are learned here too; no SQL says that.
 ORACLE_SQL = None
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter, or without a language for two fifths of their letters, go."""
+    """Documents without a known language go; those that mix several stay, however their letters are shared."""
     found = language.identify(docs, language.fit(docs), keep=docs.columns)
-    return found.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_SHARE)).select(*docs.columns)
+    return found.where(F.col("lang_pred") != language.UNKNOWN).select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -37,3 +37,12 @@ def test_benchmark_stage_keeps_clean_rows_of_the_same_id(spark, tmp_path):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     kept = pipeline.drop_benchmark(spark, docs, str(tmp_path)).collect()
     assert sorted((r["text"] or "") for r in kept) == ["", "clean one", "clean three", "clean two"]
+
+
+def test_language_stage_keeps_mixed_documents(spark):
+    words = {"aa": "the and with house", "bb": "der und mit schloß", "cc": "дом река это город"}
+    rows = [(i, " ".join([w] * 5), k) for i, (k, w) in enumerate(list(words.items()) * 20)]
+    mixed = " ".join(f"{w} {w} {w}" for w in words.values())
+    docs = spark.createDataFrame([*rows, (100, mixed, None), (101, "12 - 34", None)], "doc_id long, text string, lang string")
+    kept = {r["doc_id"] for r in pipeline.identify_language(spark, docs, "").collect()}
+    assert kept == {r[0] for r in rows} | {100}
