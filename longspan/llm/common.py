@@ -54,3 +54,10 @@ def held_out_row(column: str = "doc_id", parts: int = 4, held_out: int = 2) -> C
     """A null id counts as the empty text."""
     identity = F.coalesce(F.col(column).cast("string"), F.lit(""))
     return F.crc32(identity.cast("binary")) % parts == held_out
+
+
+def drawn(docs: DataFrame, text: str, total: int, wanted: int) -> DataFrame:
+    """About ``wanted`` of ``total`` different texts, with all their rows, by 63 bits of a hash of the text."""
+    if total <= wanted:
+        return docs
+    return docs.where(F.shiftrightunsigned(F.xxhash64(text), 1) < F.lit((wanted << 63) // total))

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from longspan.llm.common import text_of, training_row
+from longspan.llm.common import drawn, text_of, training_row
 
 FIT_ROWS = 40_000
 BUCKETS = 1 << 16
@@ -103,15 +103,14 @@ def fit(
 ) -> Model:
     """Learn trigram and script counts from training rows with a language.
 
-    At most about ``fit_rows`` rows, drawn by the hash of their text, are counted; the
-    driver gets at most one number per bucket and language. Without such rows
+    Equal texts of a language are one. At most about ``fit_rows`` of the different
+    texts, drawn by their hash, are counted; the driver gets at most one number per bucket and language. Without such rows
     the model knows no language and calls every text undetermined.
     """
     labelled = docs.where(training_row(id_column) & F.col(lang_column).isNotNull()).select(
         text_of(text_column).alias("text"), F.col(lang_column).cast("string").alias("lang"))
-    total = labelled.count()
-    keep = F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < int(1e6 * min(1.0, fit_rows / max(total, 1)))
-    counts = labelled.where(keep).mapInArrow(_count, "lang string, feature long, n long")
+    total = labelled.select(F.xxhash64("text").alias("hash"), "lang").distinct().count()
+    counts = drawn(labelled, "text", total, fit_rows).distinct().mapInArrow(_count, "lang string, feature long, n long")
     rows = counts.groupBy("lang", "feature").agg(F.sum("n").alias("n")).collect()
     languages = sorted({r["lang"] for r in rows})
     table = np.zeros((BUCKETS + len(SCRIPT_NAMES) + 1, len(languages)))

@@ -18,7 +18,7 @@ import zstandard as zstd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from longspan.llm.common import stored, text_of, training_row
+from longspan.llm.common import drawn, stored, text_of, training_row
 
 FIT_ROWS = 20_000
 LEVEL = 3
@@ -173,17 +173,17 @@ def fit(
 ) -> Model | None:
     """Learn from the training rows that have a label 0 or 1.
 
-    At most about ``fit_rows`` of them, drawn by the hash of their text, are used:
-    words and features of these come to the driver, no texts. Without any
-    labelled row of each class there is no model (None).
+    Equal texts are one, toxic if a row of theirs is. At most about ``fit_rows`` of
+    the different texts, drawn by their hash, are used: words and features of these
+    come to the driver, no texts. Without any labelled row of each class there is
+    no model (None).
     """
     named = labels.select(F.col(id_column).alias("id"), F.col(label_column).cast("int").alias("toxic")).where(
         "toxic in (0, 1)").groupBy("id").agg(F.max("toxic").alias("toxic"))
     rows = docs.where(training_row(id_column)).select(
-        F.col(id_column).alias("id"), text_of(text_column).alias("text")).join(named, "id")
-    total = named.count()
-    keep = F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < int(1e6 * min(1.0, fit_rows / max(total, 1)))
-    sample = stored(rows.where(keep).select("text", "toxic"))
+        F.col(id_column).alias("id"), text_of(text_column).alias("text"))
+    total = rows.select("id", F.xxhash64("text").alias("hash")).join(named, "id").select("hash").distinct().count()
+    sample = stored(drawn(rows, "text", total, fit_rows).join(named, "id").groupBy("text").agg(F.max("toxic").alias("toxic")))
     by_class = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
     if len(by_class) < 2:
         return None

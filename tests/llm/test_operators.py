@@ -184,6 +184,32 @@ def test_toxicity(spark, odd, none):
     assert toxicity.score(none, None).count() == 0
 
 
+def test_training_draws_different_texts(spark, monkeypatch):
+    from longspan.llm.common import drawn
+    texts = [f"text {i} {'vile' if i % 3 else 'kind'} word{i % 7}" for i in range(2000)]
+    rows = [(i, t, "aa", int(i % 3 > 0)) for i, t in enumerate(texts)] + [(2000 + i, f"text {i % 2} copy", "aa", i % 2) for i in range(4000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, toxic int")
+    sizes = []
+    measured = toxicity._features
+
+    def counted(sample, distances):
+        found = measured(sample, distances)
+        sizes.append((len(found[0]), sample.select("text").distinct().count()))
+        return found
+
+    monkeypatch.setattr(toxicity, "_features", counted)
+    for wanted in (10_000, 400):
+        sizes.clear()
+        assert toxicity.fit(docs.drop("toxic"), docs.select("doc_id", "toxic"), fit_rows=wanted) is not None
+        assert all(n == different for n, different in sizes) and sizes[-1][0] <= 1.3 * wanted
+    # Both copies' texts count once for the language too: its letters are those of different texts.
+    once, often = (language.fit(d).scores for d in (docs.dropDuplicates(["text"]).withColumn("doc_id", F.lit(1)), docs.withColumn("doc_id", F.lit(1))))
+    assert (once == often).all()
+    # A rate far below one in a million still draws.
+    some = spark.range(3_000_000).select(F.col("id").cast("string").alias("text"))
+    assert 0 < drawn(some, "text", 3 * 10**11, 3 * 10**6).count() < 100
+
+
 def test_benchmark_passages_equal_brute_force(spark, odd, none):
     r = random.Random(6)
     words = [f"w{i}" for i in range(500)]
