@@ -12,6 +12,8 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from longspan.session import materialise
+
 BUCKET_ROWS = 50_000
 BLOCK_BUCKETS = 4_096
 # Cuts of a value order pass through the driver; beyond this many its buckets grow instead.
@@ -46,6 +48,43 @@ def value_bucket(df: DataFrame, column: str, buckets: int, target: str) -> DataF
     return model.transform(df).withColumn(target, F.col(target).cast("long"))
 
 
+def range_bucket(df: DataFrame, order: list[Column | str], target: str = "bucket", partitions: int | None = None) -> DataFrame:
+    """Monotone buckets of any sort keys: the partitions of a range shuffle, written once.
+
+    ``order`` holds names or sort expressions of any type. Spark samples the cuts;
+    writing keeps a lost executor or a second read from drawing them anew. Rows that
+    are equal in all of ``order`` share a bucket, so end it with columns that tell
+    rows apart.
+    """
+    count = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return materialise(df.repartitionByRange(count, *order).withColumn(target, F.spark_partition_id().cast("long")))
+
+
+def ranked(
+    df: DataFrame, order: list[Column | str], by: tuple[str, ...] = (), target: str = "rank", partitions: int | None = None
+) -> DataFrame:
+    """Add the 1-based row number in ``order`` within each ``by`` key, nulls being a key.
+
+    No key meets in one task: rows are range-partitioned by key and order, numbered
+    inside each partition, and moved on by the rows of the key in the partitions
+    before. A partition continues at most one key, so those offsets are at most
+    as many as partitions and are broadcast.
+    """
+    placed = range_bucket(df, [*by, *order], "__part", partitions)
+    counts = placed.groupBy(*by, "__part").agg(F.count(F.lit(1)).alias("__rows"))
+    earlier = Window.partitionBy(*(by or (F.lit(0),))).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(
+        F.col("__part").alias("__at"), *[F.col(c).alias(f"__k_{c}") for c in by],
+        F.sum("__rows").over(earlier).alias("__before")).where("__before > 0")
+    met = F.col("__part") == F.col("__at")
+    for c in by:
+        met = met & F.col(c).eqNullSafe(F.col(f"__k_{c}"))
+    inside = F.row_number().over(Window.partitionBy(*by, "__part").orderBy(*order))
+    numbered = placed.withColumn("__inside", inside).join(F.broadcast(offsets), met, "left")
+    return numbered.withColumn(target, (F.col("__inside") + F.coalesce("__before", F.lit(0))).cast("long")).select(
+        *df.columns, target)
+
+
 def running_total(
     df: DataFrame, bucket: str, order: list[str], amounts: dict[str, str], by: tuple[str, ...] = (),
     block_buckets: int = BLOCK_BUCKETS,
