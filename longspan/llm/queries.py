@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from longspan.llm import (
-    decontamination, exact_dedup, language, mixing, near_join, repeats, sharding, token_counts, toxicity, warc,
+    decontamination, exact_dedup, language, mixing, near_join, prefix_trie, repeats, sharding, token_counts, toxicity,
+    warc,
 )
 from longspan.llm.common import documents, held_out_row
 from longspan.plans.common import Registry
@@ -132,3 +133,55 @@ def near_copies(spark, folder):
 @R.query("op2_column_suffixes")
 def without_repeats(spark, folder):
     return repeats.remove_repeats(documents(spark, folder))
+
+
+TRIE_SQL = r"""
+WITH t AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS place
+  FROM conversations WHERE conv_id IS NOT NULL
+), c AS (
+  SELECT conv_id, conv_id - conv_id % 100 AS base, xor(list_reduce(
+      list_concat([4294967295::BIGINT], list_transform(range(length(conv_id::VARCHAR)),
+        lambda i: ascii(substr(conv_id::VARCHAR, i::INT + 1, 1))::BIGINT)),
+      lambda a, b: list_reduce(list_concat([xor(a, b)], range(8)),
+        lambda x, i: xor(x >> 1, 3988292384::BIGINT * (x & 1)))), 4294967295::BIGINT) % 6 AS h
+  FROM (SELECT DISTINCT conv_id FROM t)
+), r AS (
+  SELECT c.conv_id, 0 AS part, t.place, t.role, t.text FROM c JOIN t ON t.conv_id = c.base AND t.place <= c.h
+  UNION ALL
+  SELECT c.conv_id, 1, t.place, t.role, t.text FROM c JOIN t ON t.conv_id = c.conv_id AND t.place > c.h
+), d AS (
+  SELECT conv_id, length(text) AS points,
+    row_number() OVER (PARTITION BY conv_id ORDER BY part, place) AS depth,
+    string_agg(md5(role) || md5(text), '') OVER (PARTITION BY conv_id ORDER BY part, place) AS path
+  FROM r
+), p AS (
+  SELECT conv_id, points, depth, md5(path) AS node, lag(md5(path), 1, '') OVER (PARTITION BY conv_id ORDER BY depth) AS above
+  FROM d
+  UNION ALL SELECT conv_id, 0, 0, '', NULL FROM c
+), n AS (
+  SELECT node, depth, any_value(above) AS above, any_value(points) AS points, min(conv_id) AS conv_id, count(*) AS n_convs
+  FROM p GROUP BY node, depth
+), k AS (
+  SELECT above, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY above
+), e AS (
+  SELECT node, sha256(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id)) AS ends
+  FROM (SELECT conv_id, arg_max(node, depth) AS node FROM p GROUP BY conv_id) GROUP BY node
+), v AS (
+  SELECT n.*, coalesce(k.n_children, 0) AS n_children, (n_convs - 1) * points AS saved
+  FROM n LEFT JOIN k ON k.above = n.node
+), s AS (
+  SELECT a.node, sum(v.saved) AS saved_tokens, count(*) FILTER (v.n_children = 0) AS n_leaves
+  FROM (SELECT DISTINCT a.node, b.node AS under FROM p a JOIN p b ON a.conv_id = b.conv_id AND a.depth <= b.depth) a
+  JOIN v ON v.node = a.under GROUP BY a.node
+)
+SELECT v.conv_id, CAST(v.depth AS BIGINT) AS depth, q.conv_id AS parent_conv_id, v.n_convs, v.n_children, s.n_leaves,
+  CAST(s.saved_tokens AS BIGINT) AS saved_tokens, coalesce(e.ends, sha256('')) AS ends_sha256
+FROM v JOIN s USING (node) LEFT JOIN e USING (node) LEFT JOIN n q ON q.node = v.above
+"""
+
+
+@R.query("op11_prefix_trie", TRIE_SQL)
+def prefixes(spark, folder):
+    return prefix_trie.prefix_trie(spark.read.parquet(f"{folder}/conversations.parquet"))
