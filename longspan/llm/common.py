@@ -13,6 +13,8 @@ from longspan.session import checkpoint_dir
 WHITE_SPACE = " \t\n\x0b\f\r"
 # A word is a maximal run of other characters.
 WORD = r"[^\x20\x09-\x0D]+"
+# A key with more than one in HOT of all rows is hot, so fewer than HOT keys are.
+HOT = 1_000
 
 
 def documents(spark: SparkSession, folder: str) -> DataFrame:
@@ -61,3 +63,17 @@ def drawn(docs: DataFrame, text: str, total: int, wanted: int) -> DataFrame:
     if total <= wanted:
         return docs
     return docs.where(F.shiftrightunsigned(F.xxhash64(text), 1) < F.lit((wanted << 63) // total))
+
+
+def lookup(rows: DataFrame, table: DataFrame, on: list[str], hot: Column) -> DataFrame:
+    """Inner join with a table that is unique in ``on``.
+
+    The table's ``hot`` keys, at most 1,000 by their definition, are broadcast, so
+    their many rows stay where they are; all others meet by shuffle.
+    """
+    few = table.where(hot)
+    if few.isEmpty():
+        return rows.join(table, on)
+    few = F.broadcast(few)
+    rest = rows.join(few.select(*on), on, "left_anti").join(table, on)
+    return rows.join(few, on).unionByName(rest)

@@ -14,33 +14,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from longspan.llm.common import stored, text_of
+from longspan.llm.common import HOT, lookup, stored, text_of
 from longspan.operators.running import ranked
 
 BLOCK = 8
 # Windows over the turns of one conversation hold at most this many rows; a multiple of BLOCK.
 CHUNK = 4_096
-# A key with more than this share of all rows is hot, so at most 1,000 keys are.
-HOT = 1_000
 PIECE_IDS = 50_000
 GROUP, MOST_SHARED = 100, 6
 NODE = ["depth", "x1", "x2"]
 
 
-def lookup(rows: DataFrame, table: DataFrame, on: list[str], hot: Column) -> DataFrame:
-    """Inner join with a table that is unique in ``on``.
-
-    The table's ``hot`` keys, at most 1,000 by their definition, are broadcast, so
-    their many rows stay where they are; all others meet by shuffle.
-    """
-    few = table.where(hot)
-    if few.isEmpty():
-        return rows.join(table, on)
-    few = F.broadcast(few)
-    rest = rows.join(few.select(*on), on, "left_anti").join(table, on)
-    return rows.join(few, on).unionByName(rest)
-
-
 def running(rows: DataFrame, key: str, place: str, deep: bool, totals: dict[str, tuple], backwards: bool = False) -> DataFrame:
     """Inclusive running aggregates of each key by place, in chunks of places.
 

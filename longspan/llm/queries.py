@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from longspan.llm import (
-    decontamination, exact_dedup, language, mixing, near_join, prefix_trie, repeats, sharding, token_counts, toxicity,
+    collocations, decontamination, exact_dedup, language, mixing, near_join, prefix_trie, repeats, sharding, token_counts, toxicity,
     warc,
 )
 from longspan.llm.common import documents, held_out_row
@@ -185,3 +185,53 @@ FROM v JOIN s USING (node) LEFT JOIN e USING (node) LEFT JOIN n q ON q.node = v.
 @R.query("op11_prefix_trie", TRIE_SQL)
 def prefixes(spark, folder):
     return prefix_trie.prefix_trie(spark.read.parquet(f"{folder}/conversations.parquet"))
+
+
+COLLOCATION_SQL = r"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents
+), w AS (
+  SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS words FROM p
+), o AS (
+  SELECT lang, piece, unnest(words) AS w1, generate_subscripts(words, 1) AS i
+  FROM (SELECT lang, words, row_number() OVER () AS piece FROM w)
+), q AS (
+  SELECT lang, w1, lead(w1, 1) OVER x AS w2, lead(w1, 2) OVER x AS w3, lead(w1, 3) OVER x AS w4
+  FROM o WINDOW x AS (PARTITION BY piece ORDER BY i)
+), f AS MATERIALIZED (
+  SELECT lang, 1 AS size, w1 AS phrase, count(*) AS a FROM q GROUP BY lang, w1
+  UNION ALL SELECT lang, 2, w1 || ' ' || w2 AS phrase, count(*) FROM q WHERE w2 IS NOT NULL GROUP BY lang, phrase
+    HAVING count(*) >= 30
+  UNION ALL SELECT lang, 3, w1 || ' ' || w2 || ' ' || w3 AS phrase, count(*) FROM q WHERE w3 IS NOT NULL
+    GROUP BY lang, phrase HAVING count(*) >= 30
+  UNION ALL SELECT lang, 4, w1 || ' ' || w2 || ' ' || w3 || ' ' || w4 AS phrase, count(*) FROM q WHERE w4 IS NOT NULL
+    GROUP BY lang, phrase HAVING count(*) >= 30
+), n AS (
+  SELECT lang, CAST(sum(a) AS BIGINT) AS n FROM f WHERE size = 1 GROUP BY lang
+), c AS (
+  SELECT *, string_split(phrase, ' ') AS parts FROM f WHERE size > 1
+), u AS (
+  SELECT lang, list_aggregate(parts[i:i + m - 1], 'string_agg', ' ') AS phrase, max(a) AS a
+  FROM (SELECT lang, parts, a, m, unnest(range(1, size - m + 2)) AS i FROM c, range(2, 4) AS t(m) WHERE m < size)
+  GROUP BY 1, 2
+), k AS (
+  SELECT c.lang, c.phrase, c.a, k, x.a AS l, y.a AS r,
+    CAST(2000000::HUGEINT * c.a // (x.a + y.a) AS BIGINT) AS score
+  FROM (SELECT c.*, unnest(range(1, size)) AS k FROM c) c
+  JOIN f x ON x.lang = c.lang AND x.phrase = list_aggregate(c.parts[1:k], 'string_agg', ' ')
+  JOIN f y ON y.lang = c.lang AND y.phrase = list_aggregate(c.parts[k + 1:], 'string_agg', ' ')
+  WHERE NOT EXISTS (SELECT 1 FROM u WHERE u.lang = c.lang AND u.phrase = c.phrase AND 100 * u.a >= 80 * c.a)
+), b AS (
+  SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+), z AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM b
+)
+SELECT lang, rank, phrase, a, l, r, n, score FROM z JOIN n USING (lang) WHERE rank <= 2000
+"""
+
+
+@R.query("op13_collocations", COLLOCATION_SQL)
+def phrases(spark, folder):
+    return collocations.collocations(documents(spark, folder))
