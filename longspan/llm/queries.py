@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from longspan.llm import (
-    collocations, decontamination, exact_dedup, language, mixing, near_join, prefix_trie, repeats, sharding, token_counts, toxicity,
-    warc,
+    collocations, decontamination, exact_dedup, language, mixing, near_join, prefix_trie, quality, repeats, sharding,
+    token_counts, toxicity, warc,
 )
 from longspan.llm.common import documents, held_out_row
 from longspan.plans.common import Registry
@@ -235,3 +235,12 @@ SELECT lang, rank, phrase, a, l, r, n, score FROM z JOIN n USING (lang) WHERE ra
 @R.query("op13_collocations", COLLOCATION_SQL)
 def phrases(spark, folder):
     return collocations.collocations(documents(spark, folder))
+
+
+@R.query("op12_factor_quality")
+def good(spark, folder):
+    docs, labels = documents(spark, folder), spark.read.parquet(f"{folder}/labels.parquet")
+    scored = quality.score(docs, quality.fit(docs, labels))
+    return scored.select(
+        "doc_id", held_out_row(parts=3, held_out=1).alias("held_out"), "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"))
