@@ -25,7 +25,9 @@ COVERED = 80
 TOP = 2_000
 # Bytes of text in one shard's trie, windows in one range of prefixes.
 SHARD_BYTES = 8_000_000
-RANGE_WINDOWS = 1_000_000
+RANGE_WINDOWS = 500_000
+# A trie of this many windows has fewer than 2**15 words, so its labels take two bytes.
+TRIE_WINDOWS = 8_000
 SAMPLES_PER_RANGE = 16
 # What ends a piece, what ends a word inside it; A-Z in lower case.
 PIECE_ENDS = b".,;:!?\x0a\x0b\x0c\x0d"
@@ -34,15 +36,15 @@ _LETTERS = bytes(range(65, 91))
 _CLEAN = bytes.maketrans(PIECE_ENDS + WORD_ENDS + _LETTERS, b"\n" * len(PIECE_ENDS) + b"  " + _LETTERS.lower())
 
 BLOCKS = pa.schema([
-    ("range", pa.int64()), ("lang", pa.string()), ("words", pa.list_(pa.binary())),
-    *[(f"label{i}", pa.list_(pa.int32())) for i in range(1, MOST_WORDS + 1)],
-    *[(f"arcs{i}", pa.list_(pa.int32())) for i in range(1, MOST_WORDS)],
-    ("weight", pa.list_(pa.int64())),
+    ("range", pa.int64()), ("lang", pa.string()), ("words", pa.binary()),
+    *[(f"label{i}", pa.list_(pa.int16())) for i in range(1, MOST_WORDS + 1)],
+    *[(f"arcs{i}", pa.list_(pa.int16())) for i in range(1, MOST_WORDS)],
+    ("weight", pa.list_(pa.int32())),
 ])
 COUNTS = pa.schema([("lang", pa.string()), ("size", pa.int32()), ("phrase", pa.string()), ("count", pa.int64())])
-_BLOCKS_DDL = "range long, lang string, words array<binary>, " + ", ".join(
-    [f"label{i} array<int>" for i in range(1, MOST_WORDS + 1)] + [f"arcs{i} array<int>" for i in range(1, MOST_WORDS)]
-) + ", weight array<long>"
+_BLOCKS_DDL = "range long, lang string, words binary, " + ", ".join(
+    [f"label{i} array<short>" for i in range(1, MOST_WORDS + 1)] + [f"arcs{i} array<short>" for i in range(1, MOST_WORDS)]
+) + ", weight array<int>"
 _COUNTS_DDL = "lang string, size int, phrase string, count long"
 
 
@@ -145,15 +147,18 @@ def _states(columns: np.ndarray) -> list[np.ndarray]:
 
 
 def trie(columns: np.ndarray, weights: np.ndarray, words: pa.Array) -> dict:
-    """The weighted trie of sorted windows: labels of the states by depth, arcs that leave each, weights of the leaves."""
+    """The weighted trie of sorted windows: labels of the states by depth, arcs that leave each, weights of the leaves.
+
+    Words are joined by line ends, which none holds.
+    """
     used, labels = np.unique(columns, return_inverse=True)
     labels = labels.reshape(columns.shape) + int(used[0] != 0)
     states = _states(columns)
-    row = {"words": words.take(pa.array(used[used > 0] - 1)), "weight": weights}
+    row = {"words": b"\n".join(words.take(pa.array(used[used > 0] - 1)).to_pylist()), "weight": weights.astype(np.int32)}
     for i, at in enumerate(states):
-        row[f"label{i + 1}"] = labels[i, at].astype(np.int32)
+        row[f"label{i + 1}"] = labels[i, at].astype(np.int16)
         if i:
-            row[f"arcs{i}"] = np.diff(np.append(np.searchsorted(at, states[i - 1]), len(at))).astype(np.int32)
+            row[f"arcs{i}"] = np.diff(np.append(np.searchsorted(at, states[i - 1]), len(at))).astype(np.int16)
     return row
 
 
@@ -178,8 +183,9 @@ def _shard(parts: list[tuple[bytes, int, bool]], langs: list[str], splitters: li
             places.append(start + np.searchsorted(low[start:stop], b, "left"))
         places.append(len(weights))
         for i, (start, stop) in enumerate(zip(places, places[1:])):
-            if start < stop:
-                rows.append({"range": before + i, "lang": name, **trie(columns[:, start:stop], weights[start:stop], words)})
+            for at in range(start, stop, TRIE_WINDOWS):
+                end = min(at + TRIE_WINDOWS, stop)
+                rows.append({"range": before + i, "lang": name, **trie(columns[:, at:end], weights[at:end], words)})
     return pa.RecordBatch.from_pylist(rows, BLOCKS)
 
 
@@ -237,15 +243,16 @@ def _decoded(group: pa.Table) -> tuple[np.ndarray, np.ndarray, pa.Array]:
         found = found if isinstance(found, pa.ListArray) else found.chunk(0)
         return found.flatten(), found.value_lengths().to_numpy()
 
-    words, sizes = column("words")
-    ids, order, rank = _ranks(words)
+    words = [held.as_py().split(b"\n") for held in group.column("words")]
+    sizes = [len(held) for held in words]
+    ids, order, rank = _ranks(pa.array([w for held in words for w in held], pa.binary()))
     ranks = rank[ids]
     bases = np.concatenate(([0], np.cumsum(sizes)[:-1]))
-    columns, weights = [], column("weight")[0].to_numpy()
+    columns, weights = [], column("weight")[0].to_numpy().astype(np.int64)
     for i in range(1, MOST_WORDS + 1):
         labels, lengths = column(f"label{i}")
         labels = labels.to_numpy()
-        at = np.repeat(bases, lengths) + labels - 1
+        at = np.repeat(bases, lengths) + labels.astype(np.int64) - 1
         columns.append(np.where(labels > 0, ranks[np.maximum(at, 0)], 0))
         if i < MOST_WORDS:
             arcs = column(f"arcs{i}")[0].to_numpy()

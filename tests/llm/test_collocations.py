@@ -76,12 +76,13 @@ def test_splitters_cut_one_frequent_prefix(spark):
 
 
 def test_products_beyond_64_bits(spark):
-    frequent = 20_000_000_000_000
+    frequent, many = 2_000_000_000, 5_000
     words = pa.array([b"a", b"b"], pa.binary())
     import numpy as np
     columns, weights = np.array([[1, 2], [2, 0], [0, 0], [0, 0]], np.int32), np.array([frequent, frequent])
     row = {"range": 0, "lang": "en", **collocations.trie(columns, weights, words)}
-    table = collocations._union(pa.Table.from_pylist([row], collocations.BLOCKS), 30)
+    table = collocations._union(pa.Table.from_pylist([row] * many, collocations.BLOCKS), 30)
+    frequent *= many
     counts = {(r["size"], r["phrase"]): r["count"] for r in table.to_pylist()}
     assert counts[2, "a b"] == frequent and counts[0, ""] == 2 * frequent
     score = spark.sql(
