@@ -151,12 +151,12 @@ def unscaled(value: Column) -> Column:
     return F.when(F.col("log10"), F.pow(F.lit(10.0), level) - F.col("eps")).otherwise(level)
 
 
-def _converted(data: DataFrame, scaler: DataFrame, value: str, change: Column) -> DataFrame:
-    """``change`` of each value beside its scaler; a label that has none raises."""
+def _converted(data: DataFrame, scaler: DataFrame, target: str, change: Column, kind: str = "double") -> DataFrame:
+    """``change`` of each row beside its scaler as ``target``; a label that has none raises."""
     absent = F.raise_error(F.concat(F.lit("no scaler for label "), F.col("label").cast("string")))
     joined = data.join(scaler.withColumn("__known", F.lit(True)), "label", "left")
-    checked = F.when(F.col("__known").isNull(), absent.cast("double")).otherwise(change)
-    return joined.withColumn(value, checked).select(*data.columns)
+    checked = F.when(F.col("__known").isNull(), absent.cast(kind)).otherwise(change)
+    return joined.withColumn(target, checked).select(*data.columns, *({target} - set(data.columns)))
 
 
 def apply_scaler(data: DataFrame, scaler: DataFrame, value: str = "value") -> DataFrame:
@@ -175,17 +175,23 @@ def impact(
     """What a change of ``delta`` means in the original units, as text.
 
     Additive labels give a signed difference. Log labels give a factor with
-    the prefix x (increase) or / (decrease).
+    the prefix x (increase) or / (decrease). The number is rounded before it is
+    printed: floor(|number| 10^digits + 1/2) / 10^digits with the number's sign, so
+    halves go away from zero whatever prints them. A label without a scaler raises.
     """
+    def shown(form: str, number: Column) -> Column:
+        unit = F.lit(float(10**digits))
+        return F.format_string(form, F.signum(number) * (F.floor(F.abs(number) * unit + 0.5) / unit))
+
     low = unscaled(F.lit(anchor))
     high = unscaled(F.lit(anchor) + F.col(delta))
     factor = F.when(low < high, high / low).otherwise(low / high)
     plain, signed = f"%.{digits}f", f"%+.{digits}f"
     text = F.when(
         F.col("log10"),
-        F.concat(F.when(low < high, "x").otherwise("/"), F.format_string(plain, factor)),
-    ).otherwise(F.format_string(signed, high - low))
-    return data.join(scaler, "label").select(*data.columns, text.alias("impact"))
+        F.concat(F.when(low < high, "x").otherwise("/"), shown(plain, factor)),
+    ).otherwise(shown(signed, high - low))
+    return _converted(data, scaler, "impact", text, "string")
 
 
 # --- dense matrices ---------------------------------------------------------

@@ -146,15 +146,17 @@ def stats_pooled_over_all(spark, sf):
 
 # --- standardisation -----------------------------------------------------------
 
-# Curves are filled up to twice the person-days of the log, as if as many days had no events:
-# a curve that never changes keeps a scale, and no label can have more days than that.
-N_OBS = "(SELECT 2 * sum(date_diff('day', lo, hi) + 1) FROM grid)"
-_SCALER = f"""{_CURVE_VALUES},
+# Curves are filled up to the time points of the sample space: seconds from each person's first event to the last.
+N_OBS = "(SELECT sum(n) FROM (SELECT date_diff('second', min(ts), max(ts)) + 1 AS n FROM events GROUP BY user_id))"
+
+
+def _scaler_sql(condition_fill: str) -> str:
+    return f"""{_CURVE_VALUES},
 b AS ({_stats_sql('vals')}),
 logs AS (SELECT label, CASE WHEN value > 0 THEN log10(value) END AS value FROM vals),
 l AS ({_stats_sql('logs')}),
 modes AS (SELECT concept_id AS label, data_mode FROM meta),
-pads AS (SELECT * FROM (VALUES ('Condition', 1e-6, -6.0), ('Medication', 0.0, NULL)) AS t(data_mode, fill, lfill)),
+pads AS (SELECT * FROM (VALUES ('Condition', {condition_fill}, log10({condition_fill})), ('Medication', 0.0, NULL)) AS t(data_mode, fill, lfill)),
 weighted AS (
     SELECT label, count AS n, mean AS m, variance AS v, negative, minval, maxval FROM b
     UNION ALL SELECT label, {N_OBS} - count, fill, 0, 0, fill, fill FROM b JOIN modes USING (label) JOIN pads USING (data_mode)),
@@ -182,11 +184,14 @@ scaler AS (SELECT label,
     data_mode = 'Condition' AND NOT flat AND NOT many AS log10, 1e-6 AS eps FROM joint)"""
 
 
-def _scaler(spark, sf):
+_SCALER = _scaler_sql("1e-6")
+
+
+def _scaler(spark, sf, params=M.DEFAULT_PARAMS):
     x, base, lg10 = _curve_stats(spark, sf)
     modes = x.meta.withColumnRenamed("concept_id", "label")
-    days = S.space_totals(S.by_day(S.sample_space(x.ehr))).first()["ndates"]
-    return x, M.make_scaler(base, lg10, modes, 2 * days)
+    points = S.space_totals(S.sample_space(x.ehr)).first()["ntimepoints"]
+    return x, M.make_scaler(base, lg10, modes, points, params)
 
 
 @R.query("scaler_m3", f"""{_SCALER} SELECT label, {V.rounded('shift', 8)} AS shift, {V.rounded('scale', 8)} AS scale,
@@ -196,6 +201,14 @@ def scaler(spark, sf):
                                         rounded("scale", 8).alias("scale"), "log10", "eps")
 
 
+@R.query("scaler_background_m3_m6", f"""{_scaler_sql('(1 / (20 * 365.25))')} SELECT label, {V.rounded('shift', 8)} AS shift,
+    {V.rounded('scale', 8)} AS scale, log10, CAST(eps AS DOUBLE) AS eps FROM scaler""")
+def scaler_background(spark, sf):
+    """Conditions filled at their background rate."""
+    return _scaler(spark, sf, M.background_params())[1].select(
+        "label", rounded("shift", 8).alias("shift"), rounded("scale", 8).alias("scale"), "log10", "eps")
+
+
 _SCALED = "(CASE WHEN log10 THEN log10(greatest(value, 1e-300) + eps) ELSE value END - shift) / scale"
 
 
@@ -231,8 +244,9 @@ ends AS (SELECT event_id, label, delta, log10,
     CASE WHEN log10 THEN power(10, (1 + delta) * scale + shift) - eps ELSE (1 + delta) * scale + shift END AS high
     FROM d JOIN scaler USING (label))
 SELECT event_id, label, {V.rounded('delta', 9)} AS delta, CASE
-    WHEN log10 AND low < high THEN 'x' || printf('%.3f', high / low)
-    WHEN log10 THEN '/' || printf('%.3f', low / high) ELSE printf('%+.3f', high - low) END AS impact FROM ends""")
+    WHEN log10 AND low < high THEN 'x' || printf('%.3f', floor(high / low * 1000 + 0.5) / 1000)
+    WHEN log10 THEN '/' || printf('%.3f', floor(low / high * 1000 + 0.5) / 1000)
+    ELSE printf('%+.3f', sign(high - low) * (floor(abs(high - low) * 1000 + 0.5) / 1000)) END AS impact FROM ends""")
 def impact(spark, sf):
     x, made = _scaler(spark, sf)
     deltas = _labelled_events(x).select("event_id", "label", (F.col("value") / 1000 - 0.2).alias("delta"))
