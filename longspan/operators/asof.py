@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from longspan.functions.time import SECONDS_PER_DAY, day_of, recency, second_number
+from longspan.operators.running import carried
 from longspan.session import materialise
 
 # Decay in days of the recency curve.
@@ -101,21 +102,15 @@ def match_sequence(
     """Match each point to a base of its sequence: exact, else next (or previous).
 
     Points beyond the ends take the first or last base. ``bases`` must be
-    unique per (key, at).
+    unique per (key, at). A sequence may hold any share of the rows: it is
+    scanned in parts.
     """
     known = bases.select(key, at, F.struct(F.col(at).alias("at"), F.col(payload).alias("base")).alias("b"),
                          F.lit(False).alias("asked"))
     asked = points.select(key, at).distinct().select(
         key, at, F.lit(None).cast(known.schema["b"].dataType).alias("b"), F.lit(True).alias("asked")
     )
-    both = known.unionByName(asked)
-    # Both directions are running frames; a frame to the end would be quadratic.
-    upward = Window.partitionBy(key).orderBy(at, "asked")
-    downward = Window.partitionBy(key).orderBy(F.desc(at), "asked")
-    found = both.withColumns({
-        "prev": F.last("b", ignorenulls=True).over(upward),
-        "next": F.last("b", ignorenulls=True).over(downward),
-    }).filter("asked")
+    found = carried(known.unionByName(asked), (key,), [at], "b", "prev", "next").filter("asked")
     chosen: Column = (
         F.coalesce("prev", "next") if from_prev else F.coalesce("next", "prev")
     )

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from longspan.operators.evaluate import drawn_positions, numbered
-from longspan.operators.running import bucket_count, running_total, value_bucket
+from longspan.operators.running import bucket_count, ranked, running_total
 
 
 def batches(df: DataFrame, key: str, size: int = 32, shuffle: bool = True, drop_last: bool = False,
@@ -19,7 +19,7 @@ def batches(df: DataFrame, key: str, size: int = 32, shuffle: bool = True, drop_
     """
     n = df.count()
     if not shuffle:
-        placed, _ = _in_order(df, key, n)
+        placed = _in_order(df, key)
     else:
         spread = F.shiftrightunsigned(F.xxhash64(F.lit(seed), key), 33)  # 31 bits
         rows = df.withColumns({"__h": spread, "__one": F.lit(1)}).withColumn(
@@ -34,20 +34,22 @@ def batches(df: DataFrame, key: str, size: int = 32, shuffle: bool = True, drop_
     return out
 
 
-def _in_order(df: DataFrame, key: str, n: int):
-    rows = value_bucket(df.withColumn("__one", F.lit(1)).withColumn("__k", F.col(key).cast("double")),
-                        "__k", bucket_count(n), "__bucket")
-    placed = running_total(rows, "__bucket", [key], {"position": "__one"})
-    return placed.drop("__one", "__bucket", "__k"), n
+def _in_order(df: DataFrame, key: str | list[str]) -> DataFrame:
+    """Add ``position``, from 0, in the order of keys of any type, nulls first."""
+    keys = [key] if isinstance(key, str) else list(key)
+    return ranked(df, keys, target="position").withColumn("position", F.col("position") - 1)
 
 
 def batch_count(n: int, size: int, drop_last: bool = False) -> int:
     return n // size if drop_last else -(-n // size)
 
 
-def contiguous_parts(df: DataFrame, key: str, parts: int) -> DataFrame:
-    """Add ``part``: ``parts`` near-equal runs of rows in key order."""
-    placed, n = _in_order(df, key, df.count())
+def contiguous_parts(df: DataFrame, key: str | list[str], parts: int) -> DataFrame:
+    """Add ``part``: ``parts`` near-equal runs of rows in the order of one or several keys of any type.
+
+    Together the keys tell rows apart.
+    """
+    placed, n = _in_order(df, key), df.count()
     small, extra = divmod(n, parts)
     edge = extra * (small + 1)
     at = F.col("position")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from longspan.schema import require
-from longspan.operators.running import bucket_count, hash_bucket, running_total, value_bucket
+from longspan.operators.running import bucket_count, hash_bucket, range_bucket, running_total
 from longspan.session import materialise
 
 THRESHOLDS = (1, 10, 100, 500, 1000, 2000)
@@ -162,17 +162,16 @@ def auc(scored: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """Area under the ROC curve of (label 0/1, score), ties counted half.
 
     Rows shrink to one per score; the negatives below each score come from a
-    bucketed running total, so no task sees all scores. With ``by`` one value
-    per key; all keys share the score buckets.
+    running total over the partitions of a range shuffle, so no task sees all
+    scores and scores may be of any type with an order. With ``by`` one value per
+    key; all keys share the partitions.
     """
     weight = F.col("weight") if "weight" in scored.columns else F.lit(1)
     groups = scored.groupBy(*by, "score").agg(
         F.sum(F.when(F.col("label") == 1, weight).otherwise(0)).cast("double").alias("pos"),
         F.sum(F.when(F.col("label") == 1, 0).otherwise(weight)).cast("double").alias("neg"),
     )
-    rows = groups.count()
-    placed = value_bucket(groups, "score", bucket_count(rows), "bucket")
-    ranked = running_total(placed, "bucket", ["score"], {"below": "neg"}, by)
+    ranked = running_total(range_bucket(groups, ["score"]), "bucket", ["score"], {"below": "neg"}, by)
     wins = F.sum(F.col("pos") * (F.col("below") + 0.5 * F.col("neg")))
     pairs = F.sum("pos") * F.sum("neg")
     if not by:

@@ -3,12 +3,12 @@
 A window without PARTITION BY moves every row to one task. Here rows fall into
 buckets and buckets into blocks: one window runs over the block totals, one over
 the bucket totals of each block, and one inside each bucket. With 5e11 rows the
-block totals are a few thousand numbers.
+block totals are a few thousand numbers. Orders by value use the partitions of a range
+shuffle as buckets.
 """
 
 from __future__ import annotations
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,8 +16,6 @@ from longspan.session import materialise
 
 BUCKET_ROWS = 50_000
 BLOCK_BUCKETS = 4_096
-# Cuts of a value order pass through the driver; beyond this many its buckets grow instead.
-MAX_CUTS = 10_000
 
 
 def bucket_count(rows: int) -> int:
@@ -29,25 +27,6 @@ def hash_bucket(buckets: int, *columns: str) -> Column:
     return F.pmod(F.xxhash64(*columns), F.lit(buckets)).cast("long")
 
 
-def value_bucket(df: DataFrame, column: str, buckets: int, target: str) -> DataFrame:
-    """Monotone buckets of a numeric column, cut at its approximate quantiles.
-
-    The cuts are numbers fixed on the driver (one per bucket), so a recomputed
-    task puts every row in the same bucket; they only balance the load.
-    """
-    buckets = min(buckets, MAX_CUTS)
-    cuts: list[float] = []
-    if buckets > 1:
-        probabilities = [i / buckets for i in range(1, buckets)]
-        found = df.approxQuantile(column, probabilities, 0.25 / buckets)
-        cuts = sorted(set(found))
-    if not cuts:
-        return df.withColumn(target, F.lit(0).cast("long"))
-    splits = [-float("inf"), *cuts, float("inf")]
-    model = Bucketizer(splits=splits, inputCol=column, outputCol=target)
-    return model.transform(df).withColumn(target, F.col(target).cast("long"))
-
-
 def range_bucket(df: DataFrame, order: list[Column | str], target: str = "bucket", partitions: int | None = None) -> DataFrame:
     """Monotone buckets of any sort keys: the partitions of a range shuffle, written once.
 
@@ -85,6 +64,42 @@ def ranked(
         *df.columns, target)
 
 
+def carried(
+    df: DataFrame, by: tuple[str, ...], order: list[str], value: str, previous: str = "previous", following: str = "following",
+    partitions: int | None = None,
+) -> DataFrame:
+    """Add the last value up to each row and the first from it on, nulls skipped, within each ``by`` key.
+
+    Rows equal in ``order`` see each other's value; at most one of them has one. A
+    scan in two levels: inside the parts of a range partition, and over one summary row
+    per key and part. Only keys that go on over a cut need what other parts say; a
+    part holds at most two of those, so that table is broadcast.
+    """
+    placed = range_bucket(df, [*by, *order], "__part", partitions)
+    place = F.when(F.col(value).isNotNull(), F.struct(*order))
+    summary = placed.groupBy(*by, "__part").agg(
+        F.max_by(value, place).alias("__last"), F.min_by(value, place).alias("__first"))
+    key = by or (F.lit(0),)
+    earlier = Window.partitionBy(*key).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    later = Window.partitionBy(*key).orderBy(F.desc("__part")).rowsBetween(Window.unboundedPreceding, -1)
+    known = summary.select(
+        F.col("__part").alias("__at"), *[F.col(c).alias(f"__k_{c}") for c in by],
+        F.last("__last", ignorenulls=True).over(earlier).alias("__earlier"),
+        F.last("__first", ignorenulls=True).over(later).alias("__later"),
+    ).where(F.col("__earlier").isNotNull() | F.col("__later").isNotNull())
+    met = F.col("__part") == F.col("__at")
+    for c in by:
+        met = met & F.col(c).eqNullSafe(F.col(f"__k_{c}"))
+    # Both directions are running frames; a frame to the end would be quadratic.
+    inside = Window.partitionBy(*by, "__part")
+    found = placed.withColumns({
+        "__up": F.last(value, ignorenulls=True).over(inside.orderBy(*order)),
+        "__down": F.last(value, ignorenulls=True).over(inside.orderBy(*[F.desc(c) for c in order])),
+    }).join(F.broadcast(known), met, "left")
+    return found.select(
+        *df.columns, F.coalesce("__up", "__earlier").alias(previous), F.coalesce("__down", "__later").alias(following))
+
+
 def running_total(
     df: DataFrame, bucket: str, order: list[str], amounts: dict[str, str], by: tuple[str, ...] = (),
     block_buckets: int = BLOCK_BUCKETS,

@@ -660,6 +660,13 @@ def contiguous_parts(spark, sf):
     return D.contiguous_parts(Clinical(spark, sf)._table("orders").select("o_orderkey"), "o_orderkey", 7)
 
 
+@R.query("contiguous_parts_text_o10", """SELECT c_custkey, ntile(11) OVER (ORDER BY c_mktsegment DESC, c_name) - 1 AS part FROM customer""")
+def contiguous_parts_text(spark, sf):
+    """Runs in the order of two text keys."""
+    rows = Clinical(spark, sf)._table("customer").select("c_custkey", "c_mktsegment", "c_name")
+    return D.contiguous_parts(rows, [F.col("c_mktsegment").desc(), "c_name"], 11).select("c_custkey", "part")
+
+
 @R.query("resampled_o6")
 def resampled(spark, sf):
     return D.resample(Clinical(spark, sf)._table("events").select("event_id", "value"), "event_id", 0.2, 4)

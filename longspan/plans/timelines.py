@@ -205,8 +205,8 @@ def last_of_group(spark, sf):
 
 SEQUENCE = """seq AS (SELECT user_id AS sequence_id, CAST(date_diff('hour', TIMESTAMP '2024-01-01', ts) AS DOUBLE) AS pos,
     max(value) AS base FROM events GROUP BY 1, 2),
-points AS (SELECT sequence_id, floor(min(pos)) + i * (ceil(max(pos)) - floor(min(pos))) / 49 AS pos
-    FROM seq, (SELECT unnest(generate_series(0, 49)) AS i) GROUP BY sequence_id, i)"""
+points AS (SELECT sequence_id, floor(min(pos)) + i * (ceil(max(pos)) - floor(min(pos))) / 999 AS pos
+    FROM seq, (SELECT unnest(generate_series(0, 999)) AS i) GROUP BY sequence_id, i)"""
 
 
 def _sequence(spark, sf) -> DataFrame:
@@ -228,7 +228,7 @@ FROM m JOIN seq s ON s.sequence_id = m.sequence_id AND s.pos = base_at"""
 
 def _matched(spark, sf, from_prev: bool) -> DataFrame:
     bases = _sequence(spark, sf)
-    points = A.linspace(bases, "sequence_id", "pos", 50)
+    points = A.linspace(bases, "sequence_id", "pos", 1000)
     found = A.match_sequence(points, bases, "sequence_id", "pos", "base", from_prev)
     return found.withColumn("pos", rounded("pos"))
 
@@ -255,7 +255,7 @@ def sequence_interpolated(spark, sf):
     def model(base, at):
         return F.struct((base + 0.01 * at).alias("mean"), (1 + 0.5 * base).alias("variance"))
 
-    out = A.interpolate_sequence(_sequence(spark, sf), model, at="pos", n_points=50)
+    out = A.interpolate_sequence(_sequence(spark, sf), model, at="pos")
     return out.select("sequence_id", "kind", *[rounded(c).alias(c) for c in ("pos", "mean", "variance")])
 
 

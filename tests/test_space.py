@@ -70,7 +70,8 @@ def test_running_total_over_many_buckets(spark):
     rng = np.random.default_rng(1)
     values = rng.integers(0, 100, 500)
     df = spark.createDataFrame([(i, float(i), int(v)) for i, v in enumerate(values)], "k long, x double, v long")
-    placed = N.value_bucket(df, "x", 7, "bucket")
+    placed = N.range_bucket(df, ["x"], partitions=7)
+    assert placed.select("bucket").distinct().count() == 7
     found = N.running_total(placed, "bucket", ["k"], {"before": "v"}).orderBy("k").collect()
     assert [r.before for r in found] == [int(x) for x in np.concatenate([[0], np.cumsum(values)[:-1]])]
 
@@ -106,3 +107,37 @@ def test_empty_index_gives_no_rows(spark):
     meta = spark.createDataFrame([(1, "Condition")], "concept_id long, data_mode string")
     assert A.recency_features(index, ehr, meta).count() == 0
     assert S.fit_index_into_space(index, S.sample_space(ehr)).count() == 0
+
+
+def test_ranks_of_text_and_null_keys_with_one_large_key(spark):
+    rng = np.random.default_rng(4)
+    rows = [(None if i % 7 == 0 else "hot" if i % 3 else f"k{i % 5}", None if i % 11 == 0 else f"{int(rng.integers(0, 40))}", i)
+            for i in range(600)]
+    df = spark.createDataFrame(rows, "k string, v string, id long")
+    found = N.ranked(df, ["v", "id"], ("k",), partitions=9)
+    assert found.columns == ["k", "v", "id", "rank"]
+    wanted = {}
+    for key in {k for k, _, _ in rows}:
+        mine = sorted((r for r in rows if r[0] == key), key=lambda r: (r[1] is not None, r[1] or "", r[2]))
+        wanted.update({r[2]: i for i, r in enumerate(mine, 1)})
+    assert {r["id"]: r["rank"] for r in found.collect()} == wanted
+    placed = N.range_bucket(df, ["k", "v", "id"], partitions=9)
+    assert placed.where("k = 'hot'").select("bucket").distinct().count() > 3
+
+
+@pytest.mark.parametrize("partitions", [1, 8])
+def test_carried_values_of_one_large_sequence(spark, partitions):
+    rng = np.random.default_rng(6)
+    rows = [("hot" if i % 3 else ["a", None][i % 2], float(at), None if rng.random() < 0.8 else i)
+            for i, at in enumerate(rng.permutation(900))]
+    rows += [("alone", 1.0, None), ("alone", 2.0, None)]
+    df = spark.createDataFrame(rows, "k string, at double, v long")
+    found = N.carried(df, ("k",), ["at"], "v", partitions=partitions).collect()
+    for key in {r[0] for r in rows}:
+        mine = sorted((r for r in rows if r[0] == key), key=lambda r: r[1])
+        got = sorted((r for r in found if r.k == key), key=lambda r: r["at"])
+        assert len(got) == len(mine)
+        for i, r in enumerate(got):
+            before = [v for _, _, v in mine[:i + 1] if v is not None]
+            after = [v for _, _, v in mine[i:] if v is not None]
+            assert r.previous == (before[-1] if before else None) and r.following == (after[0] if after else None)
