@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window
@@ -155,6 +157,10 @@ def leading_elements(components: DataFrame, cutoff: float = 0.95, min_elem: int
     )
 
 
+# Scores whose draws are held at once, one number per resample each.
+SCORES_AT_ONCE = 16_384
+
+
 # --- ranking quality --------------------------------------------------------
 
 
@@ -198,32 +204,104 @@ def drawn_positions(spark, n: int, size: int, seed: int, replicates: list[int])
     )
 
 
-def auc_bootstrap(scored: DataFrame, key: str, n: int = 100, seed: int = 0,
+def _replicated(pos: np.ndarray, neg: np.ndarray, bucket: int) -> pa.Table:
+    """Per replicate: pairs won inside a bucket, and its weights; rows are scores in order, columns replicates."""
+    below = np.cumsum(neg, axis=0) - neg
+    wins = (pos * (below + 0.5 * neg)).sum(0)
+    return pa.table({
+        "replicate": np.arange(pos.shape[1]), "bucket": np.full(pos.shape[1], bucket),
+        "wins": wins, "pos": pos.sum(0).astype(float), "neg": neg.sum(0).astype(float)})
+
+
+_REPLICATED = "replicate long, bucket long, wins double, pos double, neg double"
+
+
+def _auc_of_buckets(parts: DataFrame) -> DataFrame:
+    """One AUC per replicate from one row per replicate and bucket of scores."""
+    earlier = Window.partitionBy("replicate").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum("neg").over(earlier), F.lit(0.0))
+    return parts.withColumn("won", F.col("wins") + F.col("pos") * before).groupBy("replicate").agg(
+        F.try_divide(F.sum("won"), F.sum("pos") * F.sum("neg")).alias("auc"))
+
+
+def auc_replicates(scored: DataFrame, weights: str, n: int) -> DataFrame:
+    """AUC of ``n`` weightings of the same rows, in one pass over their scores.
+
+    ``weights`` is an array column of ``n`` numbers per row. Rows shrink to one vector of
+    weights per score and label; prefix sums over the vectors inside the partitions of a range
+    shuffle, and then over one row per partition, serve all weightings at once.
+    """
+    def total(label: int):
+        return F.array(*[
+            F.sum(F.when(F.col("label") == label, F.col(weights)[i]).otherwise(0)).cast("double") for i in range(n)])
+
+    def bucket(group: pa.Table) -> pa.Table:
+        group = group.sort_by("score")
+        pos, neg = (np.array(group.column(c).to_pylist(), float).reshape(-1, n) for c in ("pos", "neg"))
+        return _replicated(pos, neg, group.column("bucket")[0].as_py())
+
+    groups = scored.groupBy("score").agg(total(1).alias("pos"), total(0).alias("neg"))
+    return _auc_of_buckets(range_bucket(groups, ["score"]).groupBy("bucket").applyInArrow(bucket, _REPLICATED))
+
+
+def auc_bootstrap(scored: DataFrame, key: str | None = None, n: int = 100, seed: int = 0,
                   max_attempts: int = 1000) -> DataFrame:
-    """AUC of ``n`` resamples with replacement, each with a positive row.
+    """AUC of ``n`` resamples with replacement, each as large as the data and with a positive row.
 
-    Replicates without a positive are drawn again under a new seed.
+    Draws fall on scores, as often as those have rows: first on a label (never on no
+    positive at all), then on the partitions of a range shuffle, then on the scores in each,
+    all multinomial, which is what drawing rows comes to. The rows are read once for
+    all resamples; only counts per partition come to the driver. Rows need no ``key``.
+    Without any positive row, or if ``max_attempts`` draws find none, this raises.
     """
-    placed, size = numbered(scored.select(key, "label", "score"), key)
-    placed = materialise(placed)
-    pending, parts = list(range(n)), []
-    for attempt in range(max_attempts):
-        draws = drawn_positions(scored.sparkSession, size, size, seed + attempt, pending)
-        rows = draws.join(placed, "position")
-        # One row per replicate comes back to the driver.
-        kept = rows.groupBy("replicate").agg(F.max("label").alias("any")).collect()
-        good = [r["replicate"] for r in kept if r["any"] == 1]
-        if good:
-            parts.append(rows.filter(F.col("replicate").isin(good)))
-        pending = [r for r in pending if r not in set(good)]
-        if not pending:
+    groups = scored.groupBy("score").agg(
+        F.count_if(F.col("label") == 1).alias("pos"), F.count_if(F.col("label") != 1).alias("neg"))
+    placed = range_bucket(groups, ["score"])
+    sums = placed.groupBy("bucket").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).orderBy("bucket").collect()
+    size = {c: np.array([r[c] for r in sums], np.int64) for c in ("pos", "neg")}
+    positive, total = int(size["pos"].sum()), int(size["pos"].sum() + size["neg"].sum())
+    if not positive:
+        raise RuntimeError("no positive row")
+    random = np.random.default_rng(seed)
+    drawn = random.binomial(total, positive / total, n)
+    for _ in range(max_attempts):
+        if drawn.all():
             break
+        drawn[drawn == 0] = random.binomial(total, positive / total, int((drawn == 0).sum()))
     else:
         raise RuntimeError(f"no positive row within {max_attempts} attempts")
-    merged = parts[0]
-    for part in parts[1:]:
-        merged = merged.unionByName(part)
-    return auc(merged.select("replicate", "score", "label", "weight"), ("replicate",))
+    shares = {"pos": random.multinomial(drawn, size["pos"] / positive)}
+    shares["neg"] = (random.multinomial(total - drawn, size["neg"] / (total - positive)) if total > positive
+                     else np.zeros_like(shares["pos"]))
+    wanted = scored.sparkSession.createDataFrame(
+        [(r["bucket"], *[shares[c][:, i].tolist() for c in ("pos", "neg")]) for i, r in enumerate(sums)],
+        "bucket long, pos array<long>, neg array<long>")
+
+    def bucket(group: pa.Table, draws: pa.Table) -> pa.Table:
+        group, number = group.sort_by("score"), group.column("bucket")[0].as_py()
+        inside = np.random.default_rng([seed, 1, number])
+        counts = {c: group.column(c).to_numpy() for c in ("pos", "neg")}
+        left = {c: np.array(draws.column(c)[0].as_py(), np.int64) for c in counts}
+        rest = {c: int(counts[c].sum()) for c in counts}
+        found, below = [], np.zeros(n)
+        for low in range(0, len(group), SCORES_AT_ONCE):
+            taken = {}
+            for c in counts:
+                part = counts[c][low:low + SCORES_AT_ONCE]
+                mass = int(part.sum())
+                here = inside.binomial(left[c], mass / rest[c]) if mass else np.zeros(n, np.int64)
+                taken[c] = (inside.multinomial(here, part / mass).T if mass
+                            else np.zeros((len(part), n), np.int64)).astype(float)
+                left[c], rest[c] = left[c] - here, rest[c] - mass
+            part = _replicated(taken["pos"], taken["neg"], number)
+            wins = part.column("wins").to_numpy() + part.column("pos").to_numpy() * below
+            below = below + part.column("neg").to_numpy()
+            found.append(part.set_column(2, "wins", pa.array(wins)))
+        joined = pa.concat_tables(found)
+        return joined.group_by(["replicate", "bucket"]).aggregate([(c, "sum") for c in ("wins", "pos", "neg")]).rename_columns(
+            ["replicate", "bucket", "wins", "pos", "neg"])
+
+    return _auc_of_buckets(placed.groupBy("bucket").cogroup(wanted.groupBy("bucket")).applyInArrow(bucket, _REPLICATED))
 
 
 def cross_validated_forest(data: DataFrame, key: str, features: str = "features",

@@ -479,7 +479,21 @@ def auc_by_language(spark, sf):
 
 @R.query("auc_bootstrap_a24")
 def auc_bootstrap(spark, sf):
-    return E.auc_bootstrap(_scored(spark, sf), "doc_id", n=20, seed=3)
+    return E.auc_bootstrap(_scored(spark, sf), n=100, seed=3)
+
+
+@R.query("auc_replicates_a24", f"""WITH {SCORED}, w AS (SELECT r AS replicate, score,
+    sum(CASE WHEN label = 1 THEN (doc_id * (r + 1)) % 3 ELSE 0 END) AS pos,
+    sum(CASE WHEN label = 1 THEN 0 ELSE (doc_id * (r + 1)) % 3 END) AS neg
+    FROM scored, (SELECT unnest(generate_series(0, 99)) AS r) GROUP BY 1, 2),
+c AS (SELECT *, sum(neg) OVER (PARTITION BY replicate ORDER BY score) - neg AS below FROM w)
+SELECT CAST(replicate AS BIGINT) AS replicate,
+    {V.rounded('sum(pos * (below + 0.5 * neg)) / nullif(sum(pos) * sum(neg), 0)')} AS auc FROM c GROUP BY 1""")
+def auc_replicates(spark, sf):
+    """A hundred fixed weightings in one pass."""
+    weights = F.array(*[(F.col("doc_id") * (r + 1) % 3).cast("double") for r in range(100)])
+    found = E.auc_replicates(_scored(spark, sf).withColumn("weights", weights), "weights", 100)
+    return found.withColumn("auc", rounded("auc"))
 
 
 @R.query("shared_histogram_a21", f"""WITH e AS (SELECT min(l_extendedprice) AS lo, max(l_extendedprice) AS hi FROM lineitem)

@@ -48,6 +48,35 @@ def test_bootstrap_scatters_around_the_value(spark):
     assert abs(np.mean(values) - brute_auc(y, s)) < 0.02 and 0.001 < np.std(values) < 0.05
 
 
+def test_bootstrap_in_small_pieces_reads_the_rows_once(spark, monkeypatch):
+    monkeypatch.setattr(E, "SCORES_AT_ONCE", 7)
+    rng = np.random.default_rng(3)
+    y, s = rng.integers(0, 2, 300), rng.integers(0, 60, 300)
+    df = spark.createDataFrame([(int(a), float(b)) for a, b in zip(y, s)], "label int, score double")
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    once = E.materialise(df).mapInArrow(count, df.schema)
+    values = [r.auc for r in E.auc_bootstrap(once, n=100, seed=4).collect()]
+    assert len(values) == 100 and abs(np.mean(values) - brute_auc(y, s)) < 0.02 and np.std(values) > 0.005
+    # The cuts of the range shuffle are sampled in a pass of their own; resamples add none.
+    assert seen.value <= 2 * 300
+
+
+def test_replicates_equal_weighted_areas(spark):
+    rng = np.random.default_rng(5)
+    y, s, w = rng.integers(0, 2, 90), rng.integers(0, 20, 90), rng.integers(0, 4, (90, 5))
+    df = spark.createDataFrame([(int(a), float(b), [float(v) for v in c]) for a, b, c in zip(y, s, w)],
+                               "label int, score double, weights array<double>")
+    found = {r.replicate: r.auc for r in E.auc_replicates(df, "weights", 5).collect()}
+    for r in range(5):
+        assert found[r] == pytest.approx(brute_auc(np.repeat(y, w[:, r]), np.repeat(s, w[:, r])))
+
+
 def test_nll_reductions(spark):
     rng = np.random.default_rng(2)
     mean, var = rng.uniform(3.5, 4.5, 120), rng.random(120)
