@@ -6,13 +6,14 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Features handled together in one task.
+from longspan.operators.running import ranked
+
+# Features and components handled together in one task.
 SLICE = 4096
-# Rows per component set; their product is the size of the answer.
-MAX_COMPONENTS = 4_000
+BLOCK = 256
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -26,43 +27,61 @@ def unit_rows(df: DataFrame, column: str = "features") -> DataFrame:
     return named.withColumn(column, F.transform(column, lambda v: F.try_divide(v, F.col("__norm")))).drop("__norm")
 
 
-def _sliced(df: DataFrame, key: str, column: str) -> DataFrame:
+def _blocked(df: DataFrame, key: str, column: str, side: str, others: int, blocks: int) -> DataFrame:
+    """Feature slices of unit rows, for each block of the other side they meet."""
     pieces = F.transform(
         F.sequence(F.lit(0), F.floor((F.size(column) - 1) / SLICE).cast("int")),
         lambda s: F.slice(column, s * SLICE + 1, SLICE),
     )
-    return df.select(F.col(key).alias("key"), F.posexplode(pieces).alias("slice", "part"))
+    mine = F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias(side)
+    sliced = unit_rows(df, column).select(F.col(key).alias("key"), mine, F.posexplode(pieces).alias("slice", "part"))
+    other = "y" if side == "x" else "x"
+    return sliced.withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(others - 1))))
 
 
-def cosine_similarity(
-    a: DataFrame, b: DataFrame, key: str = "component", column: str = "features"
-) -> DataFrame:
-    """(a, b, cosine) for every pair of components; the pairs are the answer.
+def _products(a: DataFrame, b: DataFrame, key: str, column: str) -> DataFrame:
+    """One row per component of ``a`` and block of ``b``: a, bs (its keys, ascending), cosines.
 
-    The features are cut in slices. Each task multiplies the two blocks of one
-    slice; the partial products are added per row of ``a``.
+    A blocked matrix product: tasks are (block of a, block of b, slice of features) with at
+    most about BLOCK components of each side, so the work spreads however few the
+    features are; slices are added per row and block.
     """
-    for side in (a, b):
-        if side.select(key).limit(MAX_COMPONENTS + 1).count() > MAX_COMPONENTS:
-            raise ValueError(f"more than {MAX_COMPONENTS} components")
-    left, right = (_sliced(unit_rows(x, column), key, column) for x in (a, b))
+    n, m = (-(-max(x.count(), 1) // BLOCK) for x in (a, b))
+    left, right = _blocked(a, key, column, "x", m, n), _blocked(b, key, column, "y", n, m)
 
     def multiply(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
         if x.empty or y.empty:
-            return pd.DataFrame({"a": [], "bs": [], "row": []})
+            return pd.DataFrame({"a": [], "y": [], "bs": [], "row": []}, dtype=object)
         y = y.sort_values("key")
         product = np.stack(x["part"].to_numpy()) @ np.stack(y["part"].to_numpy()).T
         keys = y["key"].tolist()
-        return pd.DataFrame({"a": x["key"], "bs": [keys] * len(x), "row": list(product)})
+        return pd.DataFrame({"a": x["key"], "y": y["y"].iloc[0], "bs": [keys] * len(x), "row": list(product)})
 
-    parts = (
-        left.groupBy("slice").cogroup(right.groupBy("slice"))
-        .applyInPandas(multiply, "a long, bs array<long>, row array<double>")
-    )
-    rows = parts.groupBy("a", "bs").agg(Summarizer.sum(array_to_vector("row")).alias("v"))
-    return rows.select("a", F.explode(F.arrays_zip("bs", vector_to_array("v").alias("c"))).alias("p")).select(
-        "a", F.col("p.bs").alias("b"), F.col("p.c").alias("cosine")
-    )
+    tile = ("x", "y", "slice")
+    parts = left.groupBy(*tile).cogroup(right.groupBy(*tile)).applyInPandas(
+        multiply, "a long, y int, bs array<long>, row array<double>")
+    return parts.groupBy("a", "y").agg(
+        F.first("bs").alias("bs"), vector_to_array(Summarizer.sum(array_to_vector("row"))).alias("row"))
+
+
+def cosine_similarity(
+    a: DataFrame, b: DataFrame, key: str = "component", column: str = "features"
+) -> DataFrame:
+    """(a, b, cosine) for every pair of components; the pairs are the answer."""
+    return _products(a, b, key, column).select(
+        "a", F.explode(F.arrays_zip(F.col("bs").alias("b"), F.col("row").alias("c"))).alias("p")).select(
+        "a", F.col("p.b").alias("b"), F.col("p.c").alias("cosine"))
+
+
+def best_partners(a: DataFrame, b: DataFrame, key: str = "component", column: str = "features") -> DataFrame:
+    """(a, b, affinity, place): the best partner of each component of ``a``; the lowest wins a tie.
+
+    The best of each block is taken from its row of products, and those are merged: pairs
+    are never rows. ``place`` orders the components from the best to the worst match.
+    """
+    entries = F.zip_with("bs", "row", lambda k, c: F.struct((c * c).alias("affinity"), (-k).alias("b")))
+    best = _products(a, b, key, column).groupBy("a").agg(F.max(F.array_max(entries)).alias("m"))
+    return _placed(best.select("a", (-F.col("m.b")).alias("b"), F.col("m.affinity").alias("affinity")), "a")
 
 
 def affinity(a: DataFrame, b: DataFrame, **options) -> DataFrame:
@@ -70,8 +89,13 @@ def affinity(a: DataFrame, b: DataFrame, **options) -> DataFrame:
     return cosine_similarity(a, b, **options).select("a", "b", (F.col("cosine") ** 2).alias("affinity"))
 
 
+def _placed(best: DataFrame, by: str) -> DataFrame:
+    numbered = ranked(best, [F.desc("affinity"), by], target="place")
+    return numbered.withColumn("place", F.col("place") - 1)
+
+
 def max_affinity(pairs: DataFrame, by: str = "a") -> DataFrame:
-    """Best partner per row (``by="a"``) or column; the lowest wins a tie.
+    """Best partner per row (``by="a"``) or column of a table of pairs; the lowest wins a tie.
 
     ``place`` orders the rows from the best to the worst match.
     """
@@ -80,9 +104,7 @@ def max_affinity(pairs: DataFrame, by: str = "a") -> DataFrame:
         F.max_by(other, F.struct("affinity", -F.col(other))).alias(other),
         F.max("affinity").alias("affinity"),
     )
-    # One row per component, at most MAX_COMPONENTS.
-    place = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("affinity"), by)) - 1
-    return best.withColumn("place", place.cast("long"))
+    return _placed(best, by)
 
 
 def assignment(scores: np.ndarray) -> np.ndarray:

@@ -3,7 +3,8 @@
 Spark holds one row per observation with an array of features. Executors add up
 small square blocks with BLAS on Arrow batches; the driver only ever sees
 features x features or components x components numbers. The feature count is
-checked against ``MAX_FEATURES`` before anything square is collected.
+checked against ``MAX_FEATURES`` before anything square is collected; covariance
+tables stay with the executors.
 """
 
 from __future__ import annotations
@@ -20,26 +21,43 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from longspan.session import checkpoint_dir
+from longspan.session import checkpoint_dir, materialise
 
+# Square results of more features than this do not come to the driver; tables of them have no limit.
 MAX_FEATURES = 10_000
+# Columns of one tile of a Gram matrix: at most TILE squared numbers are added up in a task.
+TILE = 2_048
 
 
-def _block(batch: pa.RecordBatch, column: str) -> np.ndarray:
-    """The feature arrays of a batch as an (observations, features) matrix."""
+def _block(batch: pa.RecordBatch, column: str, size: int | None = None) -> np.ndarray:
+    """The feature arrays of a batch as an (observations, features) matrix; uneven or absent ones raise."""
     values = batch.column(column)
-    return values.flatten().to_numpy(zero_copy_only=False).reshape(len(values), -1)
+    flat = values.flatten()
+    if values.null_count or flat.null_count or len(flat) % len(values) or (size and len(flat) != size * len(values)) or (
+            len(set(values.value_lengths().to_pylist())) > 1):
+        raise ValueError("feature arrays must be of one size, without NULL")
+    return flat.to_numpy(zero_copy_only=False).reshape(len(values), -1)
 
 
-def feature_count(matrix: DataFrame, column: str = "features") -> int:
+def _width(matrix: DataFrame, column: str) -> int:
     row = matrix.select(F.size(column).alias("k")).first()
     if row is None:
         raise ValueError("the matrix has no rows")
-    if row["k"] > MAX_FEATURES:
-        raise ValueError(f"{row['k']} features exceed {MAX_FEATURES}")
     return row["k"]
 
 
+def feature_count(matrix: DataFrame, column: str = "features") -> int:
+    k = _width(matrix, column)
+    if k > MAX_FEATURES:
+        raise ValueError(f"{k} features exceed {MAX_FEATURES}")
+    return k
+
+
+def _narrowed(matrix: DataFrame) -> DataFrame:
+    """No more tasks than the session's shuffle width, each reading several input partitions; nothing moves."""
+    return matrix.coalesce(int(matrix.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def _summed_rows(
     matrix: DataFrame, column: str, partial: Callable[[np.ndarray], np.ndarray]
 ) -> dict[int, np.ndarray]:
@@ -60,37 +78,113 @@ def _summed_rows(
                 [pa.array(range(len(total)), type=pa.int32()), rows], ["i", "row"]
             )
 
-    parts = matrix.select(column).mapInArrow(fold, "i int, row array<double>")
+    parts = _narrowed(matrix.select(column)).mapInArrow(fold, "i int, row array<double>")
     added = parts.groupBy("i").agg(Summarizer.sum(array_to_vector("row")).alias("v"))
     return {r["i"]: np.array(r["row"]) for r in added.select("i", vector_to_array("v").alias("row")).collect()}
 
 
-def covariance(matrix: DataFrame, column: str = "features") -> tuple[np.ndarray, np.ndarray, int]:
-    """Population covariance, mean and number of observations.
+def gram_parts(matrix: DataFrame, shift: np.ndarray, column: str = "features") -> DataFrame:
+    """Partial sums of x x^T: left and right tile, i, and the numbers of row i in that tile.
 
-    Sums run on values shifted by the first observation, so large means do not
-    cancel the variance.
+    x is a feature array less ``shift``, and a last 1, which gives sums and count. Columns fall
+    into tiles. With one tile a task adds up its rows where they lie; with more, each
+    row's part of two tiles goes to one of a fixed number of groups for that pair of tiles. So a task
+    holds one tile, and partial sums follow neither the input's partitions nor the rows.
     """
-    k = feature_count(matrix, column)
-    shift = np.array(matrix.select(column).first()[0], dtype=float)
+    k = len(shift)
+    tiles = -(-(k + 1) // TILE)
+    groups = int(matrix.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def moved(batch: pa.RecordBatch) -> np.ndarray:
+        block = _block(batch, column, k) - shift
+        return np.hstack([block, np.ones((len(block), 1))])
+
+    def emitted(left: int, right: int, total: np.ndarray) -> pa.RecordBatch:
+        n = len(total)
+        return pa.RecordBatch.from_arrays(
+            [pa.array([left] * n, pa.int32()), pa.array([right] * n, pa.int32()),
+             pa.array(range(left * TILE, left * TILE + n), pa.int64()), pa.array(list(total), pa.list_(pa.float64()))],
+            ["left", "right", "i", "row"])
+
+    schema = "left int, right int, i long, row array<double>"
+    if tiles == 1:
+        def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = None
+            for batch in batches:
+                if batch.num_rows:
+                    x = moved(batch)
+                    total = x.T @ x if total is None else total + x.T @ x
+            if total is not None:
+                yield emitted(0, 0, total)
+
+        return _narrowed(matrix.select(column)).mapInArrow(fold, schema)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stack = 0
+        for batch in batches:
+            for low in range(0, batch.num_rows, 64):
+                x, stack = moved(batch.slice(low, 64)), stack + 1
+                parts = [np.ascontiguousarray(x[:, t * TILE:(t + 1) * TILE]).tobytes() for t in range(tiles)]
+                pairs = [(a, b) for a in range(tiles) for b in range(a, tiles)]
+                for a, b in pairs:
+                    yield pa.RecordBatch.from_pydict({
+                        "left": pa.array([a], pa.int32()), "right": pa.array([b], pa.int32()),
+                        "group": pa.array([stack % groups], pa.int32()), "rows": pa.array([len(x)], pa.int32()),
+                        "x": pa.array([parts[a]], pa.binary()), "y": pa.array([parts[b]], pa.binary())})
+
+    def product(tile: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            for n, x, y in zip(*(batch.column(c).to_pylist() for c in ("rows", "x", "y"))):
+                part = np.frombuffer(x).reshape(n, -1).T @ np.frombuffer(y).reshape(n, -1)
+                total = part if total is None else total + part
+        yield emitted(tile[0].as_py(), tile[1].as_py(), total)
+
+    stacks = matrix.select(column).mapInArrow(cut, "left int, right int, group int, rows int, x binary, y binary")
+    return stacks.groupBy("left", "right", "group").applyInArrow(product, schema)
 
-    def partial(block: np.ndarray) -> np.ndarray:
-        moved = np.hstack([block - shift, np.ones((len(block), 1))])
-        return moved.T @ moved
 
-    rows = _summed_rows(matrix, column, partial)
-    gram = np.stack([rows[i] for i in range(k + 1)])
+def _gram(matrix: DataFrame, column: str) -> tuple[DataFrame, np.ndarray]:
+    """Summed tiles by row, and the shift: the first observation, so that large means do not cancel the variance."""
+    _width(matrix, column)
+    first = matrix.select(column).first()[0]
+    if first is None or any(v is None for v in first):
+        raise ValueError("feature arrays must be of one size, without NULL")
+    shift = np.array(first, dtype=float)
+    added = gram_parts(matrix, shift, column).groupBy("left", "right", "i").agg(
+        vector_to_array(Summarizer.sum(array_to_vector("row"))).alias("row"))
+    return added, shift
+
+
+def covariance(matrix: DataFrame, column: str = "features") -> tuple[np.ndarray, np.ndarray, int]:
+    """Population covariance, mean and number of observations, on the driver."""
+    k = feature_count(matrix, column)
+    rows, shift = _gram(matrix, column)
+    gram = np.zeros((k + 1, k + 1))
+    for r in rows.collect():
+        low = r["right"] * TILE
+        gram[r["i"], low:low + len(r["row"])] = r["row"]
+    gram = np.triu(gram) + np.triu(gram, 1).T
     n = int(round(gram[k, k]))
     offset = gram[k, :k] / n
-    cov = gram[:k, :k] / n - np.outer(offset, offset)
-    return (cov + cov.T) / 2, shift + offset, n
+    return gram[:k, :k] / n - np.outer(offset, offset), shift + offset, n
 
 
 def covariance_table(matrix: DataFrame, column: str = "features") -> DataFrame:
-    """Covariance as rows (i, j, covariance)."""
-    cov, _, _ = covariance(matrix, column)
-    rows = [(int(i), int(j), float(c)) for (i, j), c in np.ndenumerate(cov)]
-    return matrix.sparkSession.createDataFrame(rows, "i long, j long, covariance double")
+    """Covariance as rows (i, j, covariance), for any number of features; nothing square meets the driver."""
+    rows, shift = _gram(matrix, column)
+    k = len(shift)
+    cells = materialise(rows.select("i", F.posexplode("row").alias("at", "v"), "right").select(
+        "i", (F.col("right") * TILE + F.col("at")).alias("j"), "v").where("i <= j"))
+    # The last column holds the sums and, at its end, the count: one number per feature.
+    sums = cells.where(F.col("j") == k).select("i", F.col("v").alias("s"))
+    n = sums.where(F.col("i") == k).first()["s"]
+    means = sums.where(F.col("i") < k).select("i", (F.col("s") / n).alias("m"))
+    upper = cells.where(F.col("j") < k).join(means, "i").join(
+        means.select(F.col("i").alias("j"), F.col("m").alias("m2")), "j").select(
+        "i", "j", (F.col("v") / n - F.col("m") * F.col("m2")).alias("covariance"))
+    return upper.select("i", "j", "covariance").unionByName(
+        upper.where("i < j").select(F.col("j").alias("i"), F.col("i").alias("j"), "covariance"))
 
 
 def project(

@@ -346,6 +346,20 @@ def whitened_covariance(spark, sf):
     return L.covariance_table(white).withColumn("covariance", rounded("covariance", 6))
 
 
+@R.query("whitening_reconstructs_l1_o3", f"""WITH {CELLS},
+m AS (SELECT i, avg(v) AS mean FROM cells GROUP BY i),
+c AS (SELECT vec_id, i, v - mean AS v FROM cells JOIN m USING (i))
+SELECT a.i, b.i AS j, {V.rounded('sum(a.v * b.v) / (SELECT count(*) FROM embeddings)', 9)} AS covariance
+FROM c a JOIN c b USING (vec_id) GROUP BY a.i, b.i""")
+def whitening_reconstructs(spark, sf):
+    """The inverse of K, times its transpose, is the covariance of the rows that K was learned from."""
+    matrix = Clinical(spark, sf).matrix
+    back = np.linalg.inv(L.learn_whitening(matrix, -1).k)
+    rows = [(i, j, float(v)) for (i, j), v in np.ndenumerate(back @ back.T)]
+    table = spark.createDataFrame(rows, "i long, j long, covariance double")
+    return table.withColumn("covariance", rounded("covariance", 9))
+
+
 @R.query("sources_covariance_l3_l6", _identity(4))
 def sources_covariance(spark, sf):
     """Independent components keep the identity covariance of white rows."""
@@ -422,6 +436,37 @@ def max_affinity_columns(spark, sf):
     return A.max_affinity(pairs, "b").withColumn("affinity", rounded("affinity"))
 
 
+def _partners_sql(by: str) -> str:
+    other = "b" if by == "a" else "a"
+    return f"""WITH {CELLS}, means AS (SELECT CAST(label AS BIGINT) AS component, i, avg(v) AS v
+    FROM cells JOIN embeddings USING (vec_id) GROUP BY 1, 2),
+cosines AS (SELECT a.component AS a, b.vec_id AS b, sum(a.v * b.v) / sqrt(sum(a.v * a.v)) / sqrt(sum(b.v * b.v)) AS cosine
+    FROM means a JOIN cells b USING (i) GROUP BY 1, 2),
+best AS (SELECT {by} AS a, arg_max({other}, (cosine * cosine, -{other})) AS b, max(cosine * cosine) AS affinity FROM cosines GROUP BY {by})
+SELECT a, b, {V.rounded('affinity')} AS affinity, row_number() OVER (ORDER BY affinity DESC, a) - 1 AS place FROM best"""
+
+
+def _partners(spark, sf, by: str) -> DataFrame:
+    rows = Clinical(spark, sf).matrix
+    means = rows.select("label", F.posexplode("features").alias("i", "v")).groupBy("label", "i").agg(F.avg("v").alias("v"))
+    few = means.groupBy(F.col("label").alias("component")).agg(
+        F.transform(F.sort_array(F.collect_list(F.struct("i", "v"))), lambda p: p["v"]).alias("features"))
+    many = rows.select(F.col("obs_id").alias("component"), "features")
+    found = A.best_partners(few, many) if by == "a" else A.best_partners(many, few)
+    return found.withColumn("affinity", rounded("affinity"))
+
+
+@R.query("best_partners_l8_l10_o11", _partners_sql("a"))
+def best_partners(spark, sf):
+    """The row nearest to each label's mean: more columns than rows."""
+    return _partners(spark, sf, "a")
+
+
+@R.query("best_partners_columns_l8_l10_o11", _partners_sql("b"))
+def best_partners_columns(spark, sf):
+    return _partners(spark, sf, "b")
+
+
 @R.query("optimal_matching_l9")
 def optimal_matching(spark, sf):
     pairs = A.affinity(*_component_sets(spark, sf))

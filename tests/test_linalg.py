@@ -119,3 +119,57 @@ def test_assignment_is_optimal(n, m):
         assert len(set(found)) == n
         best = max(sum(c[i, p[i]] for i in range(n)) for p in itertools.permutations(range(m), n))
         assert sum(c[i, j] for i, j in enumerate(found)) == pytest.approx(best)
+
+
+def test_affinity_in_blocks_spreads_over_tasks(spark, monkeypatch):
+    monkeypatch.setattr(A, "BLOCK", 10)
+    rng = np.random.default_rng(9)
+    a, b = rng.normal(size=(25, 64)), rng.normal(size=(70, 64))
+    left, right = rows_of(spark, a, "component"), rows_of(spark, b, "component")
+    products = A._products(left, right, "component", "features")
+    assert products.select("a", "y").distinct().count() == 25 * 7
+    unit = lambda m: m / np.linalg.norm(m, axis=1, keepdims=True)
+    wanted = (unit(a) @ unit(b).T) ** 2
+    for table, found in ((wanted, A.best_partners(left, right)), (wanted.T, A.best_partners(right, left))):
+        rows = {r.a: r for r in found.collect()}
+        assert {k: r.b for k, r in rows.items()} == dict(enumerate(table.argmax(axis=1)))
+        order = np.argsort(-table.max(axis=1))
+        assert [rows[i].place for i in order] == list(range(len(table)))
+    plan = products._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "NestedLoopJoin" not in plan and "SinglePartition" not in plan
+
+
+def test_affinity_of_ties_and_empty_sets(spark):
+    same = rows_of(spark, np.ones((3, 4)), "component")
+    assert {(r.a, r.b) for r in A.best_partners(same, same).collect()} == {(0, 0), (1, 0), (2, 0)}
+    assert A.best_partners(same, same.limit(0)).count() == 0
+    assert A.cosine_similarity(same.limit(0), same).count() == 0
+
+
+def test_wide_covariance_in_tiles(spark, monkeypatch):
+    monkeypatch.setattr(L, "TILE", 7)
+    x = np.random.default_rng(3).random((60, 20)) + 1e5
+    matrix = rows_of(spark, x)
+    wanted = np.cov(x.T, bias=True)
+    got = np.full((20, 20), np.nan)
+    for r in L.covariance_table(matrix).collect():
+        got[r.i, r.j] = r.covariance
+    np.testing.assert_allclose(got, wanted, atol=1e-8)
+    cov, mean, n = L.covariance(matrix)
+    np.testing.assert_allclose(cov, wanted, atol=1e-8)
+    np.testing.assert_allclose(mean, x.mean(axis=0), rtol=1e-12)
+    assert n == 60
+
+
+def test_partial_sums_do_not_follow_input_partitions(spark):
+    x = np.random.default_rng(3).random((300, 6))
+    counts = {p: L.gram_parts(rows_of(spark, x).repartition(p), np.zeros(6)).count() for p in (3, 60)}
+    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert counts[60] <= width * 7 and counts[3] <= 3 * 7
+
+
+@pytest.mark.parametrize("broken", [None, [1.0], [1.0, None]])
+def test_ragged_rows_raise_by_name(spark, broken):
+    df = spark.createDataFrame([(1, [1.0, 2.0]), (2, broken)], "obs_id long, features array<double>").coalesce(1)
+    with pytest.raises(Exception, match="feature arrays"):
+        L.covariance(df)
