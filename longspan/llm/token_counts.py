@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import base64
+import math
 from collections.abc import Iterator
+from decimal import Decimal
 from functools import lru_cache
 
 import pyarrow as pa
@@ -91,10 +93,15 @@ def truncated_totals(table: DataFrame, limits: list[int]) -> DataFrame:
 
 
 def quantiles(table: DataFrame, probabilities: list[float]) -> DataFrame:
-    """Smallest length within which at least the given share of documents fit."""
-    one = table.agg(*[
-        F.min(F.when(F.col("share_within") >= p, F.col("n_tokens"))).alias(f"p{i}") for i, p in enumerate(probabilities)
-    ])
+    """Smallest length within which at least the given share of documents fit.
+
+    Counts are compared, not shares: p of n documents are ceil(p n) with p as it is
+    written in decimals. Without documents the lengths are null.
+    """
+    n = table.agg(F.max("docs_at_least")).first()[0] or 0
+    needed = [math.ceil(Decimal(str(p)) * n) for p in probabilities]
+    within = F.lit(n) - F.col("docs_cut")
+    one = table.agg(*[F.min(F.when(within >= need, F.col("n_tokens"))).alias(f"p{i}") for i, need in enumerate(needed)])
     return one.select(F.inline(F.array(*[
         F.struct(F.lit(float(p)).alias("probability"), F.col(f"p{i}").alias("n_tokens")) for i, p in enumerate(probabilities)
     ])))

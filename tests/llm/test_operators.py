@@ -114,6 +114,17 @@ def test_token_table(spark, odd, none):
     assert token_counts.length_table(token_counts.encoded_lengths(none)).count() == 0
 
 
+@pytest.mark.parametrize("n", [10, 7])
+def test_token_quantiles_at_exact_shares(spark, n):
+    lengths = list(range(1, n + 1))
+    made = token_counts.length_table(spark.createDataFrame([(x,) for x in lengths], "n_tokens long"))
+    shares = [0.0, 0.1, 0.2, 0.3, 0.5, 0.6, 0.7, 0.9, 0.95, 1.0]
+    found = {r["probability"]: r["n_tokens"] for r in token_counts.quantiles(made, shares).collect()}
+    tenths = {p: round(p * 100) for p in shares}
+    assert found == {p: lengths[max(0, -(-h * n // 100) - 1)] for p, h in tenths.items()}
+    assert token_counts.quantiles(made.limit(0), [0.5]).first()["n_tokens"] is None
+
+
 def test_language(spark, odd, none):
     words = {"aa": ["the", "and", "with", "house"], "bb": ["der", "und", "mit", "schloß"], "cc": ["дом", "река", "это"]}
     r = random.Random(2)
