@@ -19,19 +19,29 @@ THRESHOLDS = (1, 10, 100, 500, 1000, 2000)
 def threshold_grid(counts: DataFrame, thresholds=THRESHOLDS) -> DataFrame:
     """Concepts with at least so many persons and mentions, per pair of limits.
 
-    All cells come from one pass of conditional counts.
+    Concepts fall into a two-dimensional histogram over the limits they reach; sums from
+    the greatest limits down, in one direction and then in the other, answer all cells.
     """
-    cells = [(p, m) for p in thresholds for m in thresholds]
-    passed = counts.agg(*[
-        F.count_if((F.col("persons") >= p) & (F.col("mentions") >= m)).alias(f"c{i}")
-        for i, (p, m) in enumerate(cells)
-    ])
-    table = F.array(*[
-        F.struct(F.lit(p).cast("long").alias("persons"), F.lit(m).cast("long").alias("mentions"),
-                 F.col(f"c{i}").alias("concepts"))
-        for i, (p, m) in enumerate(cells)
-    ])
-    return passed.select(F.explode(table).alias("c")).select("c.*")
+    limits = sorted(set(thresholds))
+    steps = F.array(*[F.lit(t).cast("long") for t in limits])
+
+    def reached(column: str) -> Column:
+        return F.size(F.filter(steps, lambda t: t <= F.col(column)))
+
+    filled = counts.groupBy(reached("persons").alias("p"), reached("mentions").alias("m")).agg(
+        F.count(F.lit(1)).alias("n")).where("p > 0 and m > 0")
+    size = len(limits)
+    cells = counts.sparkSession.range(size * size).select(
+        (F.floor(F.col("id") / size) + 1).cast("int").alias("p"), (F.col("id") % size + 1).cast("int").alias("m"))
+
+    def downward(fixed: str, along: str) -> Column:
+        return F.sum("n").over(Window.partitionBy(fixed).orderBy(F.desc(along)).rowsBetween(Window.unboundedPreceding, 0))
+
+    whole = cells.join(filled, ["p", "m"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    summed = whole.withColumn("n", downward("p", "m")).withColumn("n", downward("m", "p"))
+    return summed.select(
+        F.element_at(steps, F.col("p")).alias("persons"), F.element_at(steps, F.col("m")).alias("mentions"),
+        F.col("n").alias("concepts"))
 
 
 def shared_histogram(data: DataFrame, group: str, value: str, edges: int) -> DataFrame:

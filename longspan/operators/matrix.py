@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,6 +20,8 @@ from longspan.session import materialise
 AGE_CONCEPT = 3022304
 # A label dimension beyond this does not fit an array column.
 MAX_LABELS = 100_000
+# Dense rows laid out at once.
+DENSE_BYTES = 32_000_000
 KINDS = ("identity", "standard", "gelman", "gelman_with_fallbacks")
 
 
@@ -199,14 +201,16 @@ def impact(
 
 def dense_rows(
     data: DataFrame, keys: list[str], labels: list, fills: Mapping | None = None,
-    observations: DataFrame | None = None,
+    observations: DataFrame | None = None, required_from: int | None = None,
 ) -> DataFrame:
     """One row per observation with ``features``, an array in label order.
 
     Missing labels take their fill (NULL without one). ``observations`` adds
-    rows for observations without any value. Only given values are shuffled:
-    the dense row is laid out in an Arrow batch after grouping, so the fill
-    never crosses the network. A group holds at most one value per label.
+    rows for observations without any value. Only given values are shuffled, as
+    compressed rows of slots and values; a batch of those is scattered at once into slices of
+    dense rows of at most DENSE_BYTES. A group holds at most one value per label. With
+    ``required_from`` an observation without a given value at that place or later raises,
+    in the same pass.
     """
     if len(labels) > MAX_LABELS:
         raise ValueError(f"{len(labels)} labels do not fit one array column")
@@ -223,22 +227,31 @@ def dense_rows(
     )
     if observations is not None:
         packed = observations.select(*keys).distinct().join(packed, keys, "left")
+    packed = packed.select(
+        *keys, F.coalesce("slots", F.array().cast("array<int>")).alias("slots"),
+        F.coalesce(F.col("values").cast("array<double>"), F.array().cast("array<double>")).alias("values"))
     filler = np.array([np.nan if fills is None else fills.get(x, np.nan) for x in labels], dtype=float)
-
-    @F.pandas_udf("array<double>")
-    def lay_out(slots: pd.Series, values: pd.Series) -> pd.Series:
-        rows = []
-        for at, given in zip(slots, values):
-            row = filler.copy()
-            if at is not None:
-                row[np.asarray(at, dtype=int)] = given
-            rows.append(row)
-        return pd.Series(rows)
-
-    # NaN marks a slot without value or fill; hand it back as NULL.
-    dense = lay_out(F.col("slots"), F.col("values"))
-    cleaned = F.transform(dense, lambda v: F.when(~F.isnan(v), v))
-    return packed.select(*keys, cleaned.alias("features"))
+    step = max(1, DENSE_BYTES // (8 * max(1, len(labels))))
+
+    def scatter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for low in range(0, batch.num_rows, step):
+                part = batch.slice(low, step)
+                at, given = part.column("slots"), part.column("values")
+                row = np.repeat(np.arange(len(part)), at.value_lengths().to_numpy())
+                slot = at.flatten().to_numpy()
+                if required_from is not None and len(np.unique(row[slot >= required_from])) < len(part):
+                    raise ValueError("an observation has no value of its own: it lies outside the grid")
+                dense = np.tile(filler, (len(part), 1))
+                dense[row, slot] = given.flatten().to_numpy()
+                # NaN marks a slot without value or fill; hand it back as NULL.
+                flat = pa.array(dense.ravel(), pa.float64(), from_pandas=True)
+                offsets = np.arange(len(part) + 1, dtype=np.int32) * len(labels)
+                yield pa.RecordBatch.from_arrays(
+                    [*[part.column(k) for k in keys], pa.ListArray.from_arrays(offsets, flat)], [*keys, "features"])
+
+    schema = T.StructType([*[packed.schema[k] for k in keys], T.StructField("features", T.ArrayType(T.DoubleType()))])
+    return packed.mapInArrow(scatter, schema)
 
 
 def dense_long(dense: DataFrame, keys: list[str], labels: list) -> DataFrame:
@@ -252,13 +265,18 @@ def dense_long(dense: DataFrame, keys: list[str], labels: list) -> DataFrame:
 def assemble_matrix(
     index: DataFrame, samples: DataFrame, meta: DataFrame, scaler: DataFrame | None,
     cohort: DataFrame, demographic_concepts: list[int], age_mean: float = 0.0, age_sdev: float = 1.0,
+    off_grid: str = "raise",
 ) -> tuple[DataFrame, list[int]]:
     """Feature rows of a sample index, and the feature order.
 
     Order: age, demographic concepts, then the labels of ``meta`` ascending.
     ``samples`` is (person_id, day, concept_id, value); ``meta`` has concept_id
-    and fill_value. Values are scaled sparsely and the fills once per label.
+    and fill_value. Values are scaled sparsely and the fills once per label. A
+    point without any sampled value lies off the grid of its person and raises;
+    with ``off_grid="fill"`` its row holds fills.
     """
+    if off_grid not in ("raise", "fill"):
+        raise ValueError("off_grid is raise or fill")
     from longspan.operators.curves import age_samples, demographic_samples
 
     points = index.select("person_id", F.col("datetime").cast("date").alias("datetime")).distinct()
@@ -283,7 +301,8 @@ def assemble_matrix(
     )
     order = [AGE_CONCEPT, *demographic_concepts, *labels]
     fill_map.update({c: 0.0 for c in demographic_concepts})
-    return dense_rows(merged, ["person_id", "datetime"], order, fill_map, points), order
+    own = 1 + len(demographic_concepts) if off_grid == "raise" else None
+    return dense_rows(merged, ["person_id", "datetime"], order, fill_map, points, own), order
 
 
 def require_complete(dense: DataFrame) -> DataFrame:

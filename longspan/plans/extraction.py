@@ -353,3 +353,12 @@ SELECT CAST(a.n AS BIGINT) AS persons, CAST(b.n AS BIGINT) AS mentions,
     (SELECT count(*) FROM counted c WHERE c.persons >= a.n AND c.mentions >= b.n) AS concepts FROM n a, n b""")
 def threshold_grid(spark, sf):
     return E.threshold_grid(concept_counts_tables(spark, sf))
+
+
+@R.query("threshold_grid_100_a20", f"""WITH {C},{V.ALL_DATA}, {V.COUNTS},
+counted AS ({" UNION ALL ".join(f"SELECT * FROM {t}_counts" for t in V.TABLES)}),
+n AS (SELECT 1 + k * k AS n FROM (SELECT unnest(range(100)) AS k))
+SELECT a.n AS persons, b.n AS mentions, count(c.persons) AS concepts
+FROM n a CROSS JOIN n b LEFT JOIN counted c ON c.persons >= a.n AND c.mentions >= b.n GROUP BY 1, 2""")
+def threshold_grid_100(spark, sf):
+    return E.threshold_grid(concept_counts_tables(spark, sf), [1 + k * k for k in range(100)])

@@ -297,11 +297,13 @@ def _assembled(spark, sf, look_ahead: bool):
     if look_ahead:
         samples = U.cross_section(U.build_curves(x.ehr, x.meta, options=options), index)
     else:
+        index = P.without_misses(index, P.projection_misses(index, x.ehr))
         samples = P.project_points(index, x.ehr, x.meta, options)
     fills = F.create_map(*[F.lit(v) for kv in _FILLS.items() for v in kv])
     meta = x.meta.withColumn("fill_value", fills[F.col("concept_id").cast("int")])
     age = S.age_stats(S.sample_space(x.ehr), x.users).first()
-    return M.assemble_matrix(index, samples, meta, made, x.users, _DEMOGRAPHICS, age["mean_age"], age["sdev_age"])
+    return M.assemble_matrix(index, samples, meta, made, x.users, _DEMOGRAPHICS, age["mean_age"], age["sdev_age"],
+                             off_grid="fill" if look_ahead else "raise")
 
 
 _ASSEMBLED_OUT = f"""SELECT person_id, CAST(day AS VARCHAR) AS datetime, CAST(label AS BIGINT) AS label,
@@ -317,6 +319,22 @@ def assembled_matrix(spark, sf):
                        F.col("label").cast("long").alias("label"), rounded("value").alias("value"))
 
 
+_SEEN_INDEX = TL.INDEX.replace("idx AS", "idx0 AS") + """, firsts AS (SELECT person_id, min(datetime) AS first FROM ehr GROUP BY 1),
+idx AS (SELECT idx0.* FROM idx0 JOIN firsts USING (person_id) WHERE CAST(CAST(datetime AS DATE) AS TIMESTAMP) > first)"""
+
+
+@R.query("projected_matrix_t15_m2", f"""WITH scaler AS ({_SCALER} SELECT * FROM scaler),
+projected AS ({TL.PROJECTED}, {TL._curves_block(TL.WINDOW, grid=TL.SAMPLE_GRID)}
+    SELECT person_id AS g, concept_id, dt AS day, value FROM curves JOIN samples ON sample = g AND dt = day),
+{EHR}, {_ASSEMBLED.format(source='projected').replace(TL.INDEX, _SEEN_INDEX)} {_ASSEMBLED_OUT}""")
+def projected_matrix(spark, sf):
+    """Standardised matrix that sees only what came before each point; points without a past are removed."""
+    dense, order = _assembled(spark, sf, False)
+    long = M.dense_long(dense, ["person_id", "datetime"], order)
+    return long.select("person_id", text("datetime").alias("datetime"),
+                       F.col("label").cast("long").alias("label"), rounded("value").alias("value"))
+
+
 # --- linear algebra ---------------------------------------------------------------
 
 CELLS = """cells AS (SELECT vec_id, CAST(i AS BIGINT) AS i, CAST(embedding[i + 1] AS DOUBLE) AS v

@@ -176,3 +176,14 @@ def test_splits_round_trip(spark, tmp_path):
     loaded = D.load_splits(spark, str(tmp_path / "d"))
     assert {k: v.count() for k, v in loaded.items()} == {"train": 8, "test": 2}
     assert D.load_split(spark, str(tmp_path / "d"), "test").count() == 2
+
+
+def test_threshold_grid_of_many_limits(spark):
+    rng = np.random.default_rng(7)
+    counts = [(int(a), int(b)) for a, b in rng.integers(0, 60, (200, 2))]
+    limits = sorted({int(x) for x in rng.integers(1, 70, 40)})
+    found = {(r.persons, r.mentions): r.concepts for r in E.threshold_grid(
+        spark.createDataFrame(counts, "persons long, mentions long"), limits).collect()}
+    assert found == {(p, m): sum(a >= p and b >= m for a, b in counts) for p in limits for m in limits}
+    empty = E.threshold_grid(spark.createDataFrame([], "persons long, mentions long"), [1, 2])
+    assert [r.concepts for r in empty.collect()] == [0] * 4

@@ -1,3 +1,5 @@
+import datetime as dt
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -169,3 +171,45 @@ def test_dense_rows_fill_and_keep_empty_observations(spark):
         M.require_complete(M.dense_rows(data, ["obs"], [10, 20], None, observations))
     long_rows = {(r.obs, r.label): r.value for r in M.dense_long(dense, ["obs"], [10, 20, 30]).collect()}
     assert len(long_rows) == 9 and long_rows[1, 20] == 5.0
+
+
+def test_dense_rows_of_many_labels_in_slices(spark, monkeypatch):
+    monkeypatch.setattr(M, "DENSE_BYTES", 8 * 20_000 * 7)
+    wide = 20_000
+    rng = np.random.default_rng(8)
+    given = {(o, int(l)): float(o + l) for o in range(200) for l in rng.integers(0, wide, 5)}
+    data = spark.createDataFrame([(o, l, v) for (o, l), v in given.items()], "obs long, label long, value double").coalesce(2)
+    dense = M.dense_rows(data, ["obs"], list(range(wide)), {l: -1.0 for l in range(wide)})
+    sums = {r.obs: (r.n, r.s) for r in dense.select(
+        "obs", F.size("features").alias("n"), F.aggregate("features", F.lit(0.0), lambda a, v: a + v).alias("s")).collect()}
+    for o in range(200):
+        mine = [v for (p, _), v in given.items() if p == o]
+        assert sums[o] == (wide, sum(mine) - (wide - len(mine)))
+
+
+def test_points_off_the_grid_raise_in_the_same_pass(spark):
+    noon = dt.datetime(2024, 1, 5, 12)
+    index = spark.createDataFrame([(1, noon), (2, noon)], "person_id long, datetime timestamp_ntz")
+    samples = spark.createDataFrame([(1, noon.date(), 10, 4.0)], "person_id long, day date, concept_id long, value double")
+    meta = spark.createDataFrame([(10, 0.5), (11, 0.25)], "concept_id long, fill_value double")
+    cohort = spark.createDataFrame(
+        [(p, dt.date(1950, 1, 1), 7, 8) for p in (1, 2)],
+        "person_id long, birth_date date, gender_concept_id long, race_concept_id long")
+    dense, order = M.assemble_matrix(index, samples, meta, None, cohort, [7, 9], off_grid="fill")
+    found = {r.person_id: r.features[1:] for r in dense.collect()}
+    assert order[1:] == [7, 9, 10, 11] and found == {1: [1.0, 0.0, 4.0, 0.25], 2: [1.0, 0.0, 0.5, 0.25]}
+    with pytest.raises(Exception, match="outside the grid"):
+        M.assemble_matrix(index, samples, meta, None, cohort, [7, 9])[0].collect()
+    inside, _ = M.assemble_matrix(index.where("person_id = 1"), samples, meta, None, cohort, [7, 9])
+    assert inside.count() == 1
+    with pytest.raises(ValueError):
+        M.assemble_matrix(index, samples, meta, None, cohort, [7], off_grid="skip")
+
+
+def test_impact_rounds_halves_away_from_zero_and_needs_a_scaler(spark):
+    scaler = spark.createDataFrame([(1, 0.0, 1.0, False, 1e-6)], "label long, shift double, scale double, log10 boolean, eps double")
+    deltas = spark.createDataFrame([(1, 0.125), (1, -0.125), (1, 0.0)], "label long, delta double")
+    got = {r.delta: r.impact for r in M.impact(deltas, scaler).collect()}
+    assert got == {0.125: "+0.13", -0.125: "-0.13", 0.0: "+0.00"}
+    with pytest.raises(Exception, match="no scaler for label 5"):
+        M.impact(deltas.withColumn("label", F.lit(5).cast("long")), scaler).collect()
