@@ -267,6 +267,21 @@ def max_change(w: np.ndarray, w1: np.ndarray) -> float:
     return float(np.max(np.abs(np.abs(np.sum(w * w1, axis=1)) - 1.0)))
 
 
+def ica_moments(white: DataFrame, w: np.ndarray, column: str = "features",
+                nonlinearity=tanh_nonlinearity) -> tuple[np.ndarray, np.ndarray]:
+    """E[g(Wx) x^T] and E[g'(Wx)] over all rows, in one pass."""
+    k = len(w)
+
+    def partial(block: np.ndarray) -> np.ndarray:
+        g, slope = nonlinearity(block @ w.T)
+        counted = np.concatenate([np.full(1, float(len(block))), np.zeros(block.shape[1])])
+        return np.vstack([np.hstack([slope.sum(axis=0)[:, None], g.T @ block]), counted])
+
+    rows = _summed_rows(white, column, partial)
+    moments = np.stack([rows[i] for i in range(k)]) / rows[k][0]
+    return moments[:, 1:], moments[:, 0]
+
+
 def fastica(
     white: DataFrame, w0: np.ndarray, max_iter: int = 200, tol: float = 1e-4,
     column: str = "features", nonlinearity=tanh_nonlinearity, checkpoint_every: int = 0,
@@ -284,18 +299,8 @@ def fastica(
     w = decorrelate(np.array(w0, dtype=float))
     done = start_iter
     for done in range(start_iter, start_iter + max_iter):
-        current = w
-
-        def partial(block: np.ndarray) -> np.ndarray:
-            g, slope = nonlinearity(block @ current.T)
-            counted = np.concatenate([np.full(1, float(len(block))), np.zeros(k)])
-            sums = np.hstack([slope.sum(axis=0)[:, None], g.T @ block])
-            return np.vstack([sums, counted])
-
-        rows = _summed_rows(white, column, partial)
-        n = rows[k][0]
-        moments = np.stack([rows[i] for i in range(k)]) / n
-        following = decorrelate(updated(moments[:, 1:], w, moments[:, 0]))
+        sums, slopes = ica_moments(white, w, column, nonlinearity)
+        following = decorrelate(updated(sums, w, slopes))
         change = max_change(w, following)
         w = following
         if checkpoint_every and done % checkpoint_every == 0:

@@ -387,6 +387,22 @@ def sources_covariance(spark, sf):
     return L.covariance_table(L.sources(white, w)).withColumn("covariance", rounded("covariance", 6))
 
 
+@R.query("ica_step_l4_l5", f"""WITH {CELLS}, w AS (SELECT c, i, ((c * 5 + i * 3) % 7 - 3) / 40.0::DOUBLE AS w
+    FROM (SELECT unnest(generate_series(0, 63)) AS c), (SELECT unnest(generate_series(0, 63)) AS i)),
+u AS (SELECT vec_id, c, tanh(sum(w * v)) AS g FROM cells JOIN w USING (i) GROUP BY 1, 2),
+s AS (SELECT c, avg(1 - g * g) AS slope FROM u GROUP BY c),
+m AS (SELECT c, i, sum(g * v) / (SELECT count(*) FROM embeddings) AS moment FROM u JOIN cells USING (vec_id) GROUP BY 1, 2)
+SELECT CAST(c AS BIGINT) AS component, CAST(i AS BIGINT) AS feature, {V.rounded('moment - slope * w', 9)} AS weight
+FROM m JOIN s USING (c) JOIN w USING (c, i)""")
+def ica_step(spark, sf):
+    """One fixed-point step from given weights, before decorrelation."""
+    w = np.array([[((c * 5 + i * 3) % 7 - 3) / 40.0 for i in range(64)] for c in range(64)])
+    sums, slopes = L.ica_moments(Clinical(spark, sf).matrix, w)
+    rows = [(c, i, float(v)) for (c, i), v in np.ndenumerate(L.updated(sums, w, slopes))]
+    table = spark.createDataFrame(rows, "component long, feature long, weight double")
+    return table.withColumn("weight", rounded("weight", 9))
+
+
 @R.query("projected_rows_l2", f"""WITH {CELLS}, k AS (SELECT unnest(generate_series(0, 4)) AS c)
 SELECT vec_id AS obs_id, CAST(c AS BIGINT) AS component,
     {V.rounded('sum(((c * 7 + i * 3) % 5 - 2) * v) + c')} AS value FROM cells, k GROUP BY vec_id, c""")

@@ -401,6 +401,13 @@ def curves(spark, sf):
     return _shown(U.build_curves(x.ehr, x.meta, options=U.CurveOptions.windowed(WINDOW)))
 
 
+@R.query("curves_365_t7_w2", _curve_sql(f"{OBS}, {_curves_block(365)}", "curves"))
+def curves_default(spark, sf):
+    """All defaults: windows of 365 days."""
+    x = Clinical(spark, sf)
+    return _shown(U.build_curves(x.ehr, x.meta))
+
+
 @R.query("curves_all_dates_t7", _curve_sql(f"{OBS}, {_curves_block(WINDOW, med_dates=False)}", "curves"))
 def curves_all_dates(spark, sf):
     x = Clinical(spark, sf)
@@ -528,6 +535,15 @@ def projection_points(spark, sf):
     return _shown(P.project_points(_index(x.ehr), x.ehr, x.meta, U.CurveOptions.windowed(WINDOW)))
 
 
+@R.query("projection_points_365_t15", f"""{PROJECTED}, {_curves_block(365, grid=SAMPLE_GRID)}
+SELECT person_id, concept_id, CAST(dt AS VARCHAR) AS day, {V.rounded('value')} AS value
+FROM curves JOIN samples ON sample = g AND dt = day""")
+def projection_points_default(spark, sf):
+    """All defaults: windows of 365 days."""
+    x = Clinical(spark, sf)
+    return _shown(P.project_points(_index(x.ehr), x.ehr, x.meta))
+
+
 @R.query("projection_points_unsmoothed_t15", f"""{PROJECTED}, {_curves_block(None, grid=SAMPLE_GRID)}
 SELECT person_id, concept_id, CAST(dt AS VARCHAR) AS day, {V.rounded('value')} AS value
 FROM curves JOIN samples ON sample = g AND dt = day""")
