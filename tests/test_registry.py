@@ -12,6 +12,9 @@ CHECKED = [
     "demographics_metadata_p8_f5_h9", "index_fitted_p15", "range_join_j15", "asof_latest_j10",
     "match_forward_j11", "event_intensity_small_bins_t3", "binary_signal_carried_w4", "stats_pooled_a15",
     "dense_matrix_m1", "covariance_a23", "auc_by_language_a24", "contiguous_parts_o10",
+    "impact_f13", "scaler_background_m3_m6", "contiguous_parts_text_o10", "sequence_interpolated_t16",
+    "auc_replicates_a24", "best_partners_columns_l8_l10_o11", "whitening_reconstructs_l1_o3", "ica_step_l4_l5",
+    "threshold_grid_100_a20", "projected_matrix_t15_m2", "curves_365_t7_w2",
 ]
 
 
