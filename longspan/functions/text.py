@@ -67,8 +67,7 @@ def shorten(text: Column, width: int, placeholder: str = "...") -> Column:
 def short_label(text: Column, width: int | None = 80, placeholder: str = "...") -> Column:
     """Abbreviate units in the last brackets and common phrases, then shorten.
 
-    'Carbon dioxide, total [Moles/volume] in Blood' becomes
-    'Carbon dioxide, total [mol/V] in B'.
+    'Iron [Mass/volume] in Serum or Plasma' becomes 'Iron [M/V] in SP'.
     """
     head = _mapped(F.regexp_extract(text, _UNITS, 2), UNIT_HEADS)
     tail = _mapped(F.lower(F.regexp_extract(text, _UNITS, 4)), UNIT_TAILS)
