@@ -11,6 +11,7 @@ from longspan.operators import affinity as A
 from longspan.operators import curves as U
 from longspan.operators import datasets as D
 from longspan.operators import evaluate as E
+from longspan.operators import leading as C
 from longspan.operators import linalg as L
 from longspan.operators import matrix as M
 from longspan.operators import projection as P
@@ -19,6 +20,7 @@ from longspan.operators import stats as T
 from longspan.plans import timelines as TL
 from longspan.plans import views as V
 from longspan.plans.common import Registry, rounded, text
+from longspan.session import materialise
 from longspan.sources.clinical import Clinical
 
 R = Registry()
@@ -378,6 +380,37 @@ def whitening_reconstructs(spark, sf):
     return table.withColumn("covariance", rounded("covariance", 9))
 
 
+# Quantities of each part by return flag and line number, with both margins: 31 features of rank 21.
+_FLAGS, _LINES = ("A", "N", "R"), range(1, 8)
+_MARGINS = """cells AS (SELECT l_partkey AS part, l_returnflag || l_linenumber AS feature, sum(l_quantity) AS v FROM lineitem GROUP BY ALL
+    UNION ALL SELECT l_partkey, l_returnflag, sum(l_quantity) FROM lineitem GROUP BY ALL
+    UNION ALL SELECT l_partkey, CAST(l_linenumber AS VARCHAR), sum(l_quantity) FROM lineitem GROUP BY ALL),
+total AS (SELECT count(DISTINCT l_partkey) AS n FROM lineitem),
+sums AS (SELECT feature, sum(v) AS s FROM cells GROUP BY feature),
+products AS (SELECT a.feature AS i, b.feature AS j, sum(a.v * b.v) AS s FROM cells a JOIN cells b USING (part) GROUP BY ALL),
+cov AS (SELECT a.feature AS i, b.feature AS j, coalesce(p.s, 0) / n - a.s / n * b.s / n AS c
+    FROM sums a CROSS JOIN sums b CROSS JOIN total LEFT JOIN products p ON p.i = a.feature AND p.j = b.feature),
+square AS (SELECT a.i, b.j, sum(a.c * b.c) AS c FROM cov a JOIN cov b ON a.j = b.i GROUP BY ALL),
+traces AS (SELECT (SELECT sum(c) FROM cov WHERE i = j) AS t1, (SELECT sum(c * c) FROM cov) AS t2,
+    (SELECT sum(s.c * c.c) FROM square s JOIN cov c ON s.i = c.j AND s.j = c.i) AS t3)"""
+
+
+@R.query("leading_components_l1_o3", f"""WITH {_MARGINS}
+SELECT CAST(1 AS BIGINT) AS power, {V.rounded('ln(t1)', 9)} AS total FROM traces
+UNION ALL SELECT 2, {V.rounded('ln(t2)', 9)} FROM traces UNION ALL SELECT 3, {V.rounded('ln(t3)', 9)} FROM traces""")
+def leading_components(spark, sf):
+    """Power sums of the variances of the leading components, found without a covariance: the traces of its powers."""
+    lines = Clinical(spark, sf)._table("lineitem")
+    of_flag = {f: F.col("l_returnflag") == f for f in _FLAGS}
+    of_line = {n: F.col("l_linenumber") == n for n in _LINES}
+    wanted = [a & b for a in of_flag.values() for b in of_line.values()] + [*of_flag.values(), *of_line.values()]
+    columns = [F.sum(F.when(w, F.col("l_quantity")).otherwise(0.0)) for w in wanted]
+    features = materialise(lines.groupBy("l_partkey").agg(F.array(*columns).alias("features")))
+    found = C.leading_components(features, 21, oversample=4)
+    rows = [(m, float(np.log(np.sum(found.values**m)))) for m in (1, 2, 3)]
+    return spark.createDataFrame(rows, "power long, total double").withColumn("total", rounded("total", 9))
+
+
 @R.query("sources_covariance_l3_l6", _identity(4))
 def sources_covariance(spark, sf):
     """Independent components keep the identity covariance of white rows."""
