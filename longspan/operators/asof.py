@@ -7,6 +7,8 @@ a day at most one per second. No pair of event and target is formed.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,11 +26,13 @@ def _latest(df: DataFrame, *keys: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.max(F.struct("datetime", "value")).alias("seen"))
 
 
-def latest_per_concept(index: DataFrame, ehr: DataFrame) -> DataFrame:
+def latest_per_concept(
+    index: DataFrame, ehr: DataFrame, keep: Callable[[DataFrame], DataFrame] = materialise
+) -> DataFrame:
     """Backward as-of join: per sample and concept the last event not after it.
 
     Returns (person_id, target, concept_id, datetime, value); concepts without
-    an earlier event are absent. The daily rows are written once.
+    an earlier event are absent. The daily rows are written once, as ``keep`` does.
     """
     targets = index.select(
         "person_id",
@@ -37,7 +41,7 @@ def latest_per_concept(index: DataFrame, ehr: DataFrame) -> DataFrame:
     ).distinct()
     # Aggregated before the person joins, so a hot person is combined early.
     events = ehr.withColumn("day", day_of(F.col("datetime")))
-    daily = materialise(
+    daily = keep(
         _latest(events, "person_id", "concept_id", "day")
         .join(targets.select("person_id"), "person_id", "left_semi")
     )

@@ -9,7 +9,7 @@ days are filled in last, right before the trailing mean.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass
 from functools import reduce
 
@@ -20,6 +20,8 @@ from longspan.functions.time import day_of, midnight, years_between
 from longspan.session import materialise
 
 CURVE = ["person_id", "concept_id"]
+# Writes an intermediate table once and reads it back.
+Keep = Callable[[DataFrame], DataFrame]
 
 
 @dataclass(frozen=True)
@@ -57,7 +59,7 @@ def daily_events(data: DataFrame) -> DataFrame:
     ).select(*CURVE, "day", "n", F.col("latest.value").alias("value"))
 
 
-def daily_with_midnight(events: DataFrame) -> DataFrame:
+def daily_with_midnight(events: DataFrame, keep: Keep = materialise) -> DataFrame:
     """Daily rows of all events, and of those exactly at midnight (n0, value0).
 
     A history that ends on a day sees the full days before it, and of that day
@@ -70,7 +72,7 @@ def daily_with_midnight(events: DataFrame) -> DataFrame:
         F.count("*").alias("n"), F.max(seen).alias("latest"),
         F.count_if(sharp).alias("n0"), F.max(F.when(sharp, seen)).alias("latest0"),
     )
-    return materialise(rows.select(
+    return keep(rows.select(
         *CURVE, "day", "n", F.col("latest.value").alias("value"),
         "n0", F.col("latest0.value").alias("value0"),
     ))
@@ -428,7 +430,7 @@ def _mode(daily: DataFrame, mode: str) -> DataFrame:
 
 def build_curves(
     data: DataFrame, meta: DataFrame, bounds: DataFrame | None = None,
-    options: CurveOptions = CurveOptions(),
+    options: CurveOptions = CurveOptions(), keep: Keep = materialise,
 ) -> DataFrame:
     """Daily curve (person_id, concept_id, day, value) of each known concept.
 
@@ -437,12 +439,20 @@ def build_curves(
     supplies their fill value. ``bounds`` (person_id, start DATE, until DATE)
     clips the events and sets the grid; otherwise each person's grid runs from
     the first to the last event. The daily rows are written once: the three
-    kinds and the grid all read them, and the events are read once.
+    kinds and the grid all read them, and the events are read once. ``keep``
+    says how; tables kept by person need no exchange for the person joins.
     """
     if bounds is None:
-        daily = materialise(daily_events(data))
+        daily = keep(daily_events(data))
     else:
-        daily = clip_daily(daily_with_midnight(data), bounds)
+        daily = clip_daily(daily_with_midnight(data, keep), bounds)
+    return curves_of_daily(daily, meta, bounds, options)
+
+
+def curves_of_daily(
+    daily: DataFrame, meta: DataFrame, bounds: DataFrame | None = None, options: CurveOptions = CurveOptions(),
+) -> DataFrame:
+    """The curves of kept or stored daily rows, as ``daily_events`` gives them."""
     grid = day_grid(daily, bounds)
     known = daily.join(meta.select("concept_id", "data_mode"), "concept_id")
     medications = _mode(known, "Medication")

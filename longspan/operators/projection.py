@@ -17,6 +17,7 @@ from longspan.functions.time import day_of, midnight
 from longspan.operators.curves import (
     CURVE,
     CurveOptions,
+    Keep,
     _end_slope,
     daily_with_midnight,
     event_mass,
@@ -285,7 +286,8 @@ def _intensity(samples: DataFrame, daily: DataFrame, min_count: int, iterations:
 
 
 def project_points(
-    index: DataFrame, ehr: DataFrame, meta: DataFrame, options: CurveOptions = CurveOptions()
+    index: DataFrame, ehr: DataFrame, meta: DataFrame, options: CurveOptions = CurveOptions(),
+    keep: Keep = materialise,
 ) -> DataFrame:
     """Curve values (person_id, concept_id, day, value) without look-ahead.
 
@@ -295,11 +297,11 @@ def project_points(
     """
     # Aggregated before the person joins, so a hot person is combined early.
     sampled = index.select("person_id").distinct()
-    days = daily_with_midnight(ehr).join(sampled, "person_id", "left_semi").join(
+    days = daily_with_midnight(ehr, keep).join(sampled, "person_id", "left_semi").join(
         meta.select("concept_id", "data_mode"), "concept_id", "left"
     )
-    starts = materialise(first_moments(ehr).join(sampled, "person_id", "left_semi"))
-    samples = materialise(
+    starts = keep(first_moments(ehr).join(sampled, "person_id", "left_semi"))
+    samples = keep(
         _sampled_days(index).join(starts, "person_id")
         .filter(midnight(F.col("dt")) > F.col("first"))
         .select("person_id", "dt", day_of(F.col("first")).alias("lo"))

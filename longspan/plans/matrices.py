@@ -821,6 +821,31 @@ def online_scaler(spark, sf):
     return _shown(learner.stats)
 
 
+@R.query("keyed_stats_a26_m8", f"""WITH vals AS (SELECT l_suppkey AS label, l_extendedprice / 1000 - 25 AS value FROM lineitem),
+s AS ({_stats_sql('vals')}), x AS (
+    SELECT label, count, mean, greatest(variance, 1e-5) AS variance, negative, minval, maxval FROM s) {_stats_out('x')}""")
+def keyed_stats(spark, sf):
+    """Line items of each supplier as a stream; the statistics are read back from its checkpoint."""
+    import uuid
+
+    from longspan.session import checkpoint_dir
+    from longspan.streaming import keyed_stats as K
+
+    own = spark.newSession()  # its state store setting stays here
+    for name in ("spark.sql.shuffle.partitions", "spark.sql.session.timeZone"):
+        own.conf.set(name, spark.conf.get(name))
+    K.use_keyed_state(own)
+    folder = f"{checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
+    path = f"{sf}/lineitem.parquet"
+    # A stream's path must be a folder or a pattern; this pattern matches the one table, be it file or folder.
+    lines = own.readStream.schema(own.read.parquet(path).schema).parquet(f"{sf}/lineitem.parque[t]")
+    K.running_stats(lines.select(
+        F.col("l_suppkey").alias("label"), (F.col("l_extendedprice") / 1000 - 25).alias("value"),
+    )).writeStream.outputMode("update").format("noop").option("checkpointLocation", folder).trigger(
+        availableNow=True).start().awaitTermination()
+    return _shown(K.kept_stats(own, folder))
+
+
 @R.query("wide_and_back_s12", """SELECT l_orderkey, l_linenumber, label, value FROM (
     UNPIVOT (SELECT l_orderkey, l_linenumber, max(l_quantity) AS quantity, max(l_tax) AS tax FROM lineitem GROUP BY 1, 2)
     ON quantity, tax INTO NAME label VALUE value)""")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,7 +15,9 @@ from longspan.operators import space as S
 from longspan.operators.running import running_total
 from longspan.plans import views as V
 from longspan.plans.common import Registry, rounded, text
+from longspan.session import checkpoint_dir
 from longspan.sources.clinical import Clinical
+from longspan.sources.stored import by_person, create_schema_at, store
 
 R = Registry()
 WINDOW = 7
@@ -187,6 +191,13 @@ def asof_latest(spark, sf):
     return A.latest_per_concept(_index(ehr), ehr)
 
 
+@R.query("asof_stored_j9_j10", f"{LATEST} SELECT person_id, target, concept_id, datetime, value FROM latest")
+def asof_stored(spark, sf):
+    """As-of lookups over daily rows kept by person."""
+    ehr = Clinical(spark, sf).ehr
+    return A.latest_per_concept(_index(ehr), ehr, _by_person(spark))
+
+
 @R.query("recency_features_t13_f8", f"""{LATEST}
 SELECT person_id, target AS datetime, concept_id, value AS carried,
     {V.rounded("1 / (1 + date_diff('second', datetime, target) / 86400.0 / CASE WHEN data_mode = 'Condition' THEN 30.0 ELSE 7.0 END)", 9)} AS recency
@@ -401,6 +412,20 @@ def curves(spark, sf):
     return _shown(U.build_curves(x.ehr, x.meta, options=U.CurveOptions.windowed(WINDOW)))
 
 
+def _by_person(spark):
+    return by_person(int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+@R.query("curves_stored_s16_s17_j9", _curve_sql(f"{OBS}, {_curves_block(WINDOW)}", "curves"))
+def curves_stored(spark, sf):
+    """The same curves from daily rows that a CREATE TABLE AS stored by person in a schema of ours."""
+    x = Clinical(spark, sf)
+    folder = f"{checkpoint_dir(spark)}/stored-{uuid.uuid4().hex}"
+    create_schema_at(spark, "longspan_stored", f"{checkpoint_dir(spark)}/longspan_stored")
+    daily = store(U.daily_events(x.ehr), "longspan_stored.daily", int(spark.conf.get("spark.sql.shuffle.partitions")), folder)
+    return _shown(U.curves_of_daily(daily, x.meta, options=U.CurveOptions.windowed(WINDOW)))
+
+
 @R.query("curves_365_t7_w2", _curve_sql(f"{OBS}, {_curves_block(365)}", "curves"))
 def curves_default(spark, sf):
     """All defaults: windows of 365 days."""
@@ -535,6 +560,16 @@ def projection_points(spark, sf):
     return _shown(P.project_points(_index(x.ehr), x.ehr, x.meta, U.CurveOptions.windowed(WINDOW)))
 
 
+@R.query("projection_stored_j9_t15", f"""{PROJECTED}, {_curves_block(WINDOW, grid=SAMPLE_GRID)}
+SELECT person_id, concept_id, CAST(dt AS VARCHAR) AS day, {V.rounded('value')} AS value
+FROM curves JOIN samples ON sample = g AND dt = day""")
+def projection_stored(spark, sf):
+    """Point-in-time projection whose daily rows, starts and samples are kept by person."""
+    x = Clinical(spark, sf)
+    return _shown(P.project_points(
+        _index(x.ehr), x.ehr, x.meta, U.CurveOptions.windowed(WINDOW), _by_person(spark)))
+
+
 @R.query("projection_points_365_t15", f"""{PROJECTED}, {_curves_block(365, grid=SAMPLE_GRID)}
 SELECT person_id, concept_id, CAST(dt AS VARCHAR) AS day, {V.rounded('value')} AS value
 FROM curves JOIN samples ON sample = g AND dt = day""")
