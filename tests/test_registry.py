@@ -15,6 +15,8 @@ CHECKED = [
     "impact_f13", "scaler_background_m3_m6", "contiguous_parts_text_o10", "sequence_interpolated_t16",
     "auc_replicates_a24", "best_partners_columns_l8_l10_o11", "whitening_reconstructs_l1_o3", "ica_step_l4_l5",
     "threshold_grid_100_a20", "projected_matrix_t15_m2", "curves_365_t7_w2",
+    "leading_components_l1_o3", "keyed_stats_a26_m8", "curves_stored_s16_s17_j9", "asof_stored_j9_j10",
+    "projection_stored_j9_t15",
 ]
 
 
