@@ -15,8 +15,10 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from longspan.functions.time import day_of, midnight, years_between
+from longspan.operators.checked import daily_rules, kept_checked, require_types
 from longspan.session import materialise
 
 CURVE = ["person_id", "concept_id"]
@@ -449,11 +451,36 @@ def build_curves(
     return curves_of_daily(daily, meta, bounds, options)
 
 
+def on_grid(daily: DataFrame, grid: DataFrame) -> DataFrame:
+    """Daily rows with their grid's ends and the day before of the same curve, for the rules of daily rows."""
+    by_day = Window.partitionBy(*CURVE).orderBy("day")
+    curves = daily.select(*CURVE).distinct().join(grid.select("person_id", "lo", "hi"), "person_id", "left")
+    return daily.join(curves, CURVE).withColumn("before", F.lag("day").over(by_day))
+
+
+def checked_daily(daily: DataFrame, grid: DataFrame, keep: Keep = materialise) -> DataFrame:
+    """Daily rows that lie on their person's grid of two or more days, one per curve and day.
+
+    The rows are written once and counted on the way; a breach raises with its
+    number of rows. Wrong types of columns raise before anything runs.
+    """
+    require_types(daily, "daily rows", {"day": T.DateType(), "value": T.DoubleType()})
+    require_types(grid, "grid", {"lo": T.DateType(), "hi": T.DateType()})
+    return kept_checked(on_grid(daily, grid), "daily rows", daily_rules(), keep).select(*daily.columns)
+
+
 def curves_of_daily(
     daily: DataFrame, meta: DataFrame, bounds: DataFrame | None = None, options: CurveOptions = CurveOptions(),
+    validate: bool = False, keep: Keep = materialise,
 ) -> DataFrame:
-    """The curves of kept or stored daily rows, as ``daily_events`` gives them."""
+    """The curves of kept or stored daily rows, as ``daily_events`` gives them.
+
+    ``validate`` writes the rows once more with ``keep`` and raises for those that
+    :func:`checked_daily` refuses.
+    """
     grid = day_grid(daily, bounds)
+    if validate:
+        daily = checked_daily(daily, grid, keep)
     known = daily.join(meta.select("concept_id", "data_mode"), "concept_id")
     medications = _mode(known, "Medication")
     reference = medications if options.med_dates else daily
@@ -501,16 +528,35 @@ def legacy_curves(
 # --- use of curves --------------------------------------------------------
 
 
-def cross_section(curves: DataFrame, index: DataFrame, grid: DataFrame | None = None) -> DataFrame:
+def cross_section(
+    curves: DataFrame, index: DataFrame, grid: DataFrame | None = None, off_grid: str = "raise",
+) -> DataFrame:
     """Curve values on the sampled days.
 
-    Samples off their person's days have no values. With ``grid`` such samples
-    raise; without it they are left out, and :func:`outside_grid` lists them.
+    Samples off their person's days have no values: they raise while the rows are
+    joined, in the same pass. With ``grid`` (person_id, lo, hi) a sample must lie on
+    it; without, some curve of its person must have the day. ``off_grid="drop"``
+    leaves such samples out, and :func:`outside_grid` lists them.
     """
-    if grid is not None and not outside_grid(grid, index).isEmpty():
-        raise ValueError("samples lie outside the days of their person")
+    if off_grid not in ("raise", "drop"):
+        raise ValueError("off_grid is raise or drop")
     asked = index.select("person_id", day_of(F.col("datetime")).alias("day")).distinct()
-    return curves.join(asked, ["person_id", "day"]).select(*CURVE, "day", "value")
+    values = curves.select(*CURVE, "day", "value")
+    if off_grid == "drop":
+        return values.join(asked, ["person_id", "day"]).select(*CURVE, "day", "value")
+    message = F.format_string(
+        "a sample lies outside the days of its person: person %s, %s",
+        F.col("person_id").cast("string"), F.col("day").cast("string"))
+
+    def insist(rows: DataFrame, inside: Column) -> DataFrame:
+        return rows.filter(F.when(F.coalesce(inside, F.lit(False)), True).otherwise(F.raise_error(message).cast("boolean")))
+
+    if grid is not None:
+        placed = asked.join(grid.select("person_id", "lo", "hi"), "person_id", "left")
+        asked = insist(placed, F.col("day").between(F.col("lo"), F.col("hi"))).select("person_id", "day")
+        return asked.join(values, ["person_id", "day"]).select(*CURVE, "day", "value")
+    met = asked.join(values, ["person_id", "day"], "left")
+    return insist(met, F.col("concept_id").isNotNull()).select(*CURVE, "day", "value")
 
 
 def outside_grid(grid: DataFrame, index: DataFrame) -> DataFrame:

@@ -124,12 +124,20 @@ def require_visits(visits: DataFrame) -> DataFrame:
     return require(visits, present, "visits hold NULL in a key or a date")
 
 
-def same_rows(left: DataFrame, right: DataFrame) -> bool:
-    """Table equality with duplicates; NULL equals NULL."""
+def differing_rows(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Rows whose number differs, with ``surplus``: how many more ``left`` holds. NULL equals NULL.
+
+    Both sides are counted before they meet, so repeated rows cost one row each.
+    """
     if left.columns != right.columns:
-        return False
+        raise ValueError(f"columns differ: {left.columns} and {right.columns}")
     def signed(df, sign):
         return df.groupBy(*df.columns).agg(F.sum(F.lit(sign)).alias("__n"))
     both = signed(left, 1).unionByName(signed(right, -1))
-    uneven = both.groupBy(*left.columns).agg(F.sum("__n").alias("__n"))
-    return uneven.filter(F.col("__n") != 0).isEmpty()
+    uneven = both.groupBy(*left.columns).agg(F.sum("__n").alias("surplus"))
+    return uneven.filter(F.col("surplus") != 0)
+
+
+def same_rows(left: DataFrame, right: DataFrame) -> bool:
+    """Table equality with duplicates; NULL equals NULL."""
+    return left.columns == right.columns and differing_rows(left, right).isEmpty()

@@ -44,16 +44,20 @@ def test_labels_without_a_scaler_raise(spark):
             convert(other, scaler).collect()
 
 
-def test_samples_off_the_grid_raise_when_a_grid_is_given(spark):
+def test_samples_off_the_grid_raise_unless_dropped(spark):
     day = dt.date(2020, 1, 1)
     built = spark.createDataFrame([(1, 9, day, 4.0)], "person_id long, concept_id long, day date, value double")
     grid = spark.createDataFrame([(1, day, day)], "person_id long, lo date, hi date")
     on = spark.createDataFrame([(1, dt.datetime(2020, 1, 1, 5))], "person_id long, datetime timestamp_ntz")
     off = spark.createDataFrame([(1, dt.datetime(2020, 1, 2, 5))], "person_id long, datetime timestamp_ntz")
     assert curves.cross_section(built, on, grid).count() == 1
-    assert curves.cross_section(built, off).count() == 0
-    with pytest.raises(ValueError, match="outside the days"):
-        curves.cross_section(built, off, grid)
+    assert curves.cross_section(built, on).count() == 1
+    assert curves.cross_section(built, off, off_grid="drop").count() == 0
+    for days in (grid, None):
+        with pytest.raises(PySparkException, match="outside the days of its person: person 1, 2020-01-02"):
+            curves.cross_section(built, off, days).collect()
+    with pytest.raises(ValueError, match="raise or drop"):
+        curves.cross_section(built, off, off_grid="skip")
 
 
 def test_a_new_scaler_goes_on_from_the_kept_state(spark, tmp_path):
