@@ -88,95 +88,102 @@ visit_occurrence AS (
     SELECT o_custkey AS person_id, o_orderdate AS visit_start_datetime, last_ship AS visit_end_datetime,
         CASE WHEN o_orderstatus = 'F' THEN 9201 ELSE 9202 END AS visit_concept_id
     FROM orders JOIN (SELECT l_orderkey, max(l_shipdate) AS last_ship FROM lineitem GROUP BY 1)
-        ON o_orderkey = l_orderkey)
+        ON o_orderkey = l_orderkey),
+eligible AS (SELECT person_id FROM person WHERE birth_datetime >= TIMESTAMP '1960-01-01')
 """
 
 BORN, SINCE = "1960-01-01", "1996-01-01"
 
 
-def _data(name: str, source: str, concept: str, moment: str, condition: str) -> str:
+# Each table below is its source's recent rows, restricted step by step by semi joins with what is allowed.
+
+
+def _coded(name: str, kind: str, source: str, moment: str, allowed: str) -> str:
+    """Occurrences of allowed concepts in eligible persons, each key once."""
     return f"""
-{name} AS (
-    SELECT DISTINCT B.person_id, C.concept_id, B.{moment} AS datetime
-    FROM person P JOIN {source} B ON B.person_id = P.person_id
-    JOIN concept C ON C.concept_id = B.{concept}
-    WHERE P.birth_datetime >= TIMESTAMP '{BORN}' AND B.{moment} >= TIMESTAMP '{SINCE}' AND {condition})"""
+{name}_recent AS (
+    SELECT person_id, {kind}_concept_id AS concept_id, {kind}_{moment} AS datetime
+    FROM {source} WHERE {kind}_{moment} >= TIMESTAMP '{SINCE}'),
+{name}_allowed AS (
+    FROM {name}_recent SEMI JOIN (SELECT concept_id FROM concept WHERE {allowed}) USING (concept_id)),
+{name} AS (SELECT DISTINCT * FROM {name}_allowed SEMI JOIN eligible USING (person_id))"""
 
 
-def _medications(name: str, moment: str) -> str:
+def _taken(name: str, moment: str) -> str:
+    """Documented exposures of eligible persons, as ingredients."""
     return f"""
+{name}_documented AS (
+    SELECT drug_exposure_id FROM x_drug_exposure
+    WHERE x_doc_stype = 'Problem list' AND x_frequency <> '' AND x_strength || x_dose <> ''),
+{name}_routed AS (
+    SELECT drug_exposure_id, person_id, drug_concept_id, drug_exposure_start_{moment} AS datetime FROM drug_exposure
+    WHERE route_source_value IS NOT NULL AND drug_exposure_start_{moment} >= TIMESTAMP '{SINCE}'),
+{name}_complete AS (
+    FROM {name}_routed SEMI JOIN {name}_documented USING (drug_exposure_id) SEMI JOIN eligible USING (person_id)),
+{name}_ingredients AS (
+    SELECT ancestor_concept_id AS concept_id, descendant_concept_id AS drug_concept_id FROM concept_ancestor
+    WHERE ancestor_concept_id IN (SELECT concept_id FROM concept WHERE concept_class_id = 'Ingredient')),
 {name} AS (
-    SELECT DISTINCT P.person_id, C.concept_id, D.{moment} AS datetime
-    FROM person P JOIN drug_exposure D ON D.person_id = P.person_id
-    JOIN x_drug_exposure X ON X.drug_exposure_id = D.drug_exposure_id
-    JOIN concept_ancestor A ON A.descendant_concept_id = D.drug_concept_id
-    JOIN concept C ON C.concept_id = A.ancestor_concept_id
-    WHERE P.birth_datetime >= TIMESTAMP '{BORN}' AND D.{moment} >= TIMESTAMP '{SINCE}'
-        AND C.concept_class_id = 'Ingredient'
-        AND (nullif(x_strength, '') IS NOT NULL OR nullif(x_dose, '') IS NOT NULL)
-        AND nullif(x_frequency, '') IS NOT NULL AND route_source_value IS NOT NULL
-        AND x_doc_stype = 'Problem list')"""
+    SELECT DISTINCT person_id, concept_id, datetime FROM {name}_complete JOIN {name}_ingredients USING (drug_concept_id))"""
 
 
 PROBABILITIES = {
     "p0001": 0.0001, "p001": 0.001, "p01": 0.01, "p05": 0.05, "p25": 0.25, "p50": 0.5,
     "p75": 0.75, "p95": 0.95, "p99": 0.99, "p999": 0.999, "p9999": 0.9999,
 }
-_QUANTILES = ", ".join(
-    f"quantile_cont(value_as_number, {p}) AS {name}" for name, p in PROBABILITIES.items()
-)
+_NAMED = ", ".join(f"q[{i}] AS {name}" for i, name in enumerate(PROBABILITIES, 1))
 
+# One list of quantiles per concept; spread and thresholds come from it afterwards.
 STATS = f"""
+labs AS (
+    SELECT concept_id, concept_class_id, vocabulary_id, concept_code, concept_name FROM concept
+    WHERE concept_id = 44806420 OR concept_class_id IN ('Clinical Observation', 'Lab Test')),
+lab_lists AS (
+    SELECT measurement_concept_id AS concept_id, count(*) AS count, min(value_as_number) AS min_value,
+        max(value_as_number) AS max_value, stddev_samp(value_as_number) AS std_value,
+        quantile_cont(value_as_number, {list(PROBABILITIES.values())}) AS q
+    FROM measurement GROUP BY measurement_concept_id),
+lab_quantiles AS (SELECT concept_id, count, min_value, max_value, std_value, {_NAMED} FROM lab_lists),
 measurement_stats AS (
     SELECT *, p99 + abs(p99 - p50) AS high_threshold, p01 - abs(p01 - p50) AS low_threshold, p75 - p25 AS iqr
-    FROM (
-        SELECT C.concept_id, concept_class_id, vocabulary_id, concept_code, concept_name, count(*) AS count,
-            min(value_as_number) AS min_value, max(value_as_number) AS max_value,
-            stddev_samp(value_as_number) AS std_value, {_QUANTILES}
-        FROM measurement M JOIN concept C ON C.concept_id = M.measurement_concept_id
-        WHERE concept_class_id IN ('Lab Test', 'Clinical Observation') OR C.concept_id = 44806420
-        GROUP BY ALL)
-    WHERE p50 IS NOT NULL AND p25 <> p75)"""
-
-_KEPT = f"""
-    FROM person P JOIN measurement M ON M.person_id = P.person_id
-    JOIN measurement_stats S ON S.concept_id = M.measurement_concept_id
-    WHERE P.birth_datetime >= TIMESTAMP '{BORN}' AND measurement_datetime >= TIMESTAMP '{SINCE}'
-        AND value_as_number IS NOT NULL AND (p01 <= 0 OR value_as_number > 0)
-        AND value_as_number < high_threshold
-        AND concept_code NOT IN ('29463-7', '8302-2', '39156-5')"""
-
-MEASUREMENTS = f"""
-measurements AS (
-    SELECT DISTINCT P.person_id, S.concept_id, measurement_datetime AS datetime, value_as_number AS value {_KEPT})"""
-MEASUREMENTS_DAILY = f"""
+    FROM labs JOIN lab_quantiles USING (concept_id) WHERE p75 > p25)"""
+
+# Values of eligible persons without outliers, and without values that must be positive but are not.
+_PLAUSIBLE = f"""
+labs_kept AS (
+    SELECT concept_id, high_threshold, p01 > 0 AS is_positive FROM measurement_stats
+    WHERE concept_code NOT IN ('29463-7', '8302-2', '39156-5')),
+values_seen AS (
+    SELECT person_id, measurement_concept_id AS concept_id, measurement_datetime AS moment, measurement_date AS day,
+        value_as_number AS value
+    FROM measurement SEMI JOIN eligible USING (person_id) WHERE measurement_datetime >= TIMESTAMP '{SINCE}'),
+plausible AS (
+    SELECT person_id, concept_id, moment, day, value FROM values_seen JOIN labs_kept USING (concept_id)
+    WHERE value < high_threshold AND NOT (is_positive AND value <= 0))"""
+
+MEASUREMENTS = f"""{_PLAUSIBLE},
+measurements AS (SELECT DISTINCT person_id, concept_id, moment AS datetime, value FROM plausible)"""
+MEASUREMENTS_DAILY = f"""{_PLAUSIBLE},
 measurements_daily AS (
-    SELECT DISTINCT P.person_id, S.concept_id, measurement_date AS datetime,
-        last_value(value_as_number) OVER (
-            PARTITION BY P.person_id, S.concept_id, measurement_date
-            ORDER BY measurement_datetime, value_as_number
-            ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS value {_KEPT})"""
+    SELECT person_id, concept_id, day AS datetime, value FROM plausible
+    QUALIFY row_number() OVER (PARTITION BY person_id, concept_id, day ORDER BY moment DESC, value DESC) = 1)"""
 
+_DIAGNOSES = "(domain_id, vocabulary_id) = ('Condition', 'SNOMED')"
 DATA = {
-    "conditions": _data("conditions", "condition_occurrence", "condition_concept_id",
-                        "condition_start_datetime", "domain_id = 'Condition' AND vocabulary_id = 'SNOMED'"),
-    "conditions_daily": _data("conditions_daily", "condition_occurrence", "condition_concept_id",
-                              "condition_start_date", "domain_id = 'Condition' AND vocabulary_id = 'SNOMED'"),
-    "procedures": _data("procedures", "procedure_occurrence", "procedure_concept_id",
-                        "procedure_datetime", "domain_id = 'Procedure'"),
-    "procedures_daily": _data("procedures_daily", "procedure_occurrence", "procedure_concept_id",
-                              "procedure_date", "domain_id = 'Procedure'"),
-    "medications": _medications("medications", "drug_exposure_start_datetime"),
-    "medications_daily": _medications("medications_daily", "drug_exposure_start_date"),
+    "conditions": _coded("conditions", "condition", "condition_occurrence", "start_datetime", _DIAGNOSES),
+    "conditions_daily": _coded("conditions_daily", "condition", "condition_occurrence", "start_date", _DIAGNOSES),
+    "procedures": _coded("procedures", "procedure", "procedure_occurrence", "datetime", "domain_id = 'Procedure'"),
+    "procedures_daily": _coded("procedures_daily", "procedure", "procedure_occurrence", "date", "domain_id = 'Procedure'"),
+    "medications": _taken("medications", "datetime"),
+    "medications_daily": _taken("medications_daily", "date"),
     "measurements": STATS + "," + MEASUREMENTS,
     "measurements_daily": STATS + "," + MEASUREMENTS_DAILY,
 }
 VISITS = f"""
-visits AS (
-    SELECT DISTINCT V.person_id, visit_start_datetime AS start_datetime, visit_end_datetime AS end_datetime
-    FROM visit_occurrence V JOIN person P ON P.person_id = V.person_id
-    WHERE P.birth_datetime >= TIMESTAMP '{BORN}' AND visit_start_datetime >= TIMESTAMP '{SINCE}'
-        AND visit_start_datetime < visit_end_datetime AND visit_concept_id = 9201)"""
+stays AS (
+    SELECT person_id, visit_start_datetime AS start_datetime, visit_end_datetime AS end_datetime FROM visit_occurrence
+    WHERE visit_concept_id = 9201 AND visit_start_datetime >= TIMESTAMP '{SINCE}'),
+visits AS (SELECT DISTINCT * FROM stays SEMI JOIN eligible USING (person_id) WHERE end_datetime > start_datetime)"""
 
 TABLES = ("conditions_daily", "measurements_daily", "medications_daily", "procedures")
 ALL_DATA = ",".join(DATA[t] for t in TABLES)
