@@ -11,9 +11,12 @@ from pyspark.sql import functions as F
 from longspan.operators import evaluate as E
 from longspan.operators import extract as X
 from longspan.operators import space as S
+from longspan.operators.checked import Checks, daily_rules, visit_rules
+from longspan.operators.curves import on_grid
 from longspan.operators.quantiles import exact_quantiles
 from longspan.plans import views as V
 from longspan.plans.common import Registry, rounded, text
+from longspan.schema import EHR, conform, differing_rows
 from longspan.session import materialise
 from longspan.sources.clinical import Clinical
 
@@ -194,13 +197,126 @@ _LEGACY_WHERE = {
                                 for t, w in _LEGACY_WHERE.items()))
 def concepts_older_rule(spark, sf):
     """Earlier thresholds on plain row counts, over three tables."""
+    return X.select_concepts(Extraction(spark, sf).counts, _older_tables())
+
+
+def _older_tables():
     many = lambda: F.col("mentions") >= 200
-    tables = (
+    return (
         replace(X.CONDITIONS, selected=many),
         replace(X.MEDICATIONS, selected=many),
         replace(X.MEASUREMENTS, selected=lambda: many() & (F.col("persons") >= 10)),
     )
-    return X.select_concepts(Extraction(spark, sf).counts, tables)
+
+
+class Older(Extraction):
+    """The earlier templates: three tables, row counts, two dates in any of them."""
+
+    @cached_property
+    def data(self) -> dict[str, DataFrame]:
+        return {
+            "conditions_daily": materialise(self.conditions(True)),
+            "medications_daily": materialise(self.medications(True)),
+            "measurements_daily": materialise(self.measurements(True)),
+        }
+
+    @cached_property
+    def concepts(self) -> DataFrame:
+        return materialise(X.select_concepts(self.counts, _older_tables()))
+
+    @cached_property
+    def cohort(self) -> DataFrame:
+        return X.select_cohort(self.data, self.concepts, _older_tables())
+
+
+_OLDER = f"{C}," + ",".join(V.DATA[t] for t in _LEGACY_WHERE) + ", core AS (" + " UNION ".join(
+    f"SELECT concept_id FROM {t} GROUP BY concept_id HAVING {w}" for t, w in _LEGACY_WHERE.items()) + "), people AS (" + " UNION ".join(
+    f"SELECT person_id FROM {t} SEMI JOIN core USING (concept_id) GROUP BY person_id, concept_id HAVING count(DISTINCT datetime) > 1"
+    for t in _LEGACY_WHERE) + ")"
+
+
+@R.query("cohort_older_rule_h11", f"WITH {_OLDER} SELECT * FROM people")
+def cohort_older_rule(spark, sf):
+    return Older(spark, sf).cohort
+
+
+@R.query("data_older_rule_h11", f"WITH {_OLDER}, points AS (" + " UNION ".join(
+    f"SELECT person_id, concept_id, datetime, {'value' if t == 'measurements_daily' else 'CAST(NULL AS DOUBLE) AS value'} FROM {t}"
+    for t in _LEGACY_WHERE) + """)
+SELECT person_id, concept_id, CAST(CAST(datetime AS TIMESTAMP) AS VARCHAR) AS datetime, value
+FROM points SEMI JOIN core USING (concept_id) SEMI JOIN people USING (person_id)""")
+def data_older_rule(spark, sf):
+    x = Older(spark, sf)
+    return _dated(X.select_data(x.data, x.concepts, x.cohort, _older_tables()))
+
+
+@R.query("metadata_older_rule_h11", f"""WITH {_OLDER}, fills AS (
+    SELECT concept_id, 'Measurement' AS data_mode, p50 AS fill_value FROM measurement_stats
+    UNION SELECT concept_id, 'Condition', 1 / (20 * 365.25) FROM conditions_daily
+    UNION SELECT concept_id, 'Medication', 0 FROM medications_daily)
+SELECT c.*, data_mode, {V.rounded('CAST(fill_value AS DOUBLE)', 9)} AS fill_value
+FROM concept c SEMI JOIN core USING (concept_id) JOIN fills USING (concept_id)""")
+def metadata_older_rule(spark, sf):
+    x = Older(spark, sf)
+    meta = X.concept_metadata({**x.data, "measurement_stats": x.stats}, x.concepts, x.concept, _older_tables())
+    return meta.withColumn("fill_value", rounded("fill_value", 9))
+
+
+@R.query("data_checks_t6_s7", f"""WITH {C}, ship AS (
+    SELECT o_custkey AS person_id, l_linenumber AS concept_id, CAST(l_shipdate AS DATE) AS day, CAST(l_quantity AS DOUBLE) AS value FROM items),
+grid AS (SELECT o_custkey AS person_id, CAST(min(o_orderdate) AS DATE) AS lo, CAST(max(o_orderdate) AS DATE) AS hi FROM orders GROUP BY 1),
+placed AS (SELECT *, lag(day) OVER (PARTITION BY person_id, concept_id ORDER BY day) AS before FROM ship LEFT JOIN grid USING (person_id)),
+seen AS (SELECT count(*) AS rows, count(*) FILTER (lo >= hi) AS two_days, count(*) FILTER (day < lo OR day > hi) AS off,
+    count(*) FILTER (before = day) AS again FROM placed),
+stays AS (SELECT count(*) AS rows, count(*) FILTER (visit_end_datetime IS NULL) AS ends,
+    count(*) FILTER (visit_start_datetime > visit_end_datetime) AS turned FROM visit_occurrence)
+SELECT 'daily rows' AS "table", 'two days of grid' AS rule, rows, two_days AS breaches FROM seen
+UNION ALL SELECT 'daily rows', 'a day on the grid', rows, off FROM seen
+UNION ALL SELECT 'daily rows', 'one row per day', rows, again FROM seen
+UNION ALL SELECT 'daily rows', 'an event', rows, 0 FROM seen
+UNION ALL SELECT 'daily rows', 'a finite value', rows, 0 FROM seen
+UNION ALL SELECT 'visits', 'a person', rows, 0 FROM stays
+UNION ALL SELECT 'visits', 'a start', rows, 0 FROM stays
+UNION ALL SELECT 'visits', 'an end', rows, ends FROM stays
+UNION ALL SELECT 'visits', 'start before end', rows, turned FROM stays""")
+def data_checks(spark, sf):
+    """Breaches of the rules of daily rows (ship dates on a grid of order dates) and visits, each counted as the rows are written."""
+    x = Extraction(spark, sf)
+    orders = x._table("orders")
+    ship = x._table("lineitem").join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(
+        F.col("o_custkey").alias("person_id"), F.col("l_linenumber").alias("concept_id"),
+        F.col("l_shipdate").cast("date").alias("day"), F.lit(1).alias("n"), F.col("l_quantity").cast("double").alias("value"))
+    grid = orders.groupBy(F.col("o_custkey").alias("person_id")).agg(
+        F.min("o_orderdate").cast("date").alias("lo"), F.max("o_orderdate").cast("date").alias("hi"))
+    stays = x.visit_occurrence.select("person_id", F.col("visit_start_datetime").alias("start_datetime"),
+                                      F.col("visit_end_datetime").alias("end_datetime"))
+    checks = Checks()
+    materialise(checks.watch(on_grid(ship, grid), "daily rows", daily_rules()))
+    materialise(checks.watch(stays, "visits", visit_rules()))
+    return spark.createDataFrame(checks.report(), "table string, rule string, rows long, breaches long")
+
+
+@R.query("conformed_events_s6", """SELECT user_id AS person_id, ascii(event_type) AS concept_id,
+    date_trunc('second', ts) AS datetime, CASE WHEN event_type = 'click' THEN NULL ELSE value END AS value FROM events""")
+def conformed_events(spark, sf):
+    """Text keys, other names and NaN where there is no value, read back through the schema of events."""
+    events = Extraction(spark, sf)._table("events").select(
+        F.col("user_id").cast("string").alias("person_id"), F.ascii("event_type").alias("measurement_concept_id"),
+        F.col("ts").alias("date"), F.when(F.col("event_type") == "click", float("nan")).otherwise(F.col("value")).alias("value"))
+    return conform(events, EHR)
+
+
+@R.query("differing_rows_p11", """WITH a AS (SELECT o_custkey AS person_id, CAST(o_orderdate AS DATE) AS day FROM orders),
+b AS (SELECT o_custkey AS person_id, CAST(l_shipdate AS DATE) AS day FROM lineitem JOIN orders ON l_orderkey = o_orderkey)
+SELECT person_id, CAST(day AS VARCHAR) AS day, CAST(sum(n) AS BIGINT) AS surplus
+FROM (SELECT *, 1 AS n FROM a UNION ALL SELECT *, -1 FROM b) GROUP BY person_id, day HAVING sum(n) <> 0""")
+def differences(spark, sf):
+    x = Extraction(spark, sf)
+    orders = x._table("orders")
+    shipped = x._table("lineitem").join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    left = orders.select(F.col("o_custkey").alias("person_id"), F.col("o_orderdate").cast("date").alias("day"))
+    right = shipped.select(F.col("o_custkey").alias("person_id"), F.col("l_shipdate").cast("date").alias("day"))
+    return differing_rows(left, right).withColumn("day", text("day"))
 
 
 @R.query("cohort_a6_j4", f"WITH {V.SELECTION} SELECT * FROM cohort")

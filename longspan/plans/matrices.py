@@ -297,7 +297,7 @@ def _assembled(spark, sf, look_ahead: bool):
     index = TL._index(x.ehr)
     options = U.CurveOptions.windowed(TL.WINDOW)
     if look_ahead:
-        samples = U.cross_section(U.build_curves(x.ehr, x.meta, options=options), index)
+        samples = U.cross_section(U.build_curves(x.ehr, x.meta, options=options), index, off_grid="drop")
     else:
         index = P.without_misses(index, P.projection_misses(index, x.ehr))
         samples = P.project_points(index, x.ehr, x.meta, options)
@@ -420,6 +420,19 @@ def sources_covariance(spark, sf):
     return L.covariance_table(L.sources(white, w)).withColumn("covariance", rounded("covariance", 6))
 
 
+@R.query("sources_mixed_back_l3_l6", f"WITH {CELLS} SELECT vec_id AS obs_id, i, {V.rounded('v', 5)} AS v FROM cells")
+def sources_mixed_back(spark, sf):
+    """All independent components of the rows, mixed back: A s + mean is the row that s was found from."""
+    matrix = Clinical(spark, sf).matrix
+    whitening = L.learn_whitening(matrix, -1)
+    white = materialise(whitening.apply(matrix))
+    start = np.linalg.qr(np.vander(np.linspace(-1, 1, len(whitening.k)), increasing=True) + np.eye(len(whitening.k)))[0]
+    w, _ = L.fastica(white, start, max_iter=12)
+    back = L.project(L.sources(white, w), L.mixing(w, whitening.k), whitening.mean)
+    return back.select("obs_id", F.posexplode("features").alias("i", "v")).select(
+        "obs_id", F.col("i").cast("long").alias("i"), rounded("v", 5).alias("v"))
+
+
 @R.query("ica_step_l4_l5", f"""WITH {CELLS}, w AS (SELECT c, i, ((c * 5 + i * 3) % 7 - 3) / 40.0::DOUBLE AS w
     FROM (SELECT unnest(generate_series(0, 63)) AS c), (SELECT unnest(generate_series(0, 63)) AS i)),
 u AS (SELECT vec_id, c, tanh(sum(w * v)) AS g FROM cells JOIN w USING (i) GROUP BY 1, 2),
@@ -751,6 +764,24 @@ def shortened_texts(spark, sf):
     return Clinical(spark, sf)._table("documents").select("doc_id", shorten(flat, 60).alias("label"))
 
 
+# A line may break before a space, or after a hyphen between two letters and a word.
+@R.query("shortened_names_f12", r"""
+WITH named AS (SELECT p_partkey, replace(p_name, ' ', '-') || ' ' || p_brand || ' ' || p_type || '-' || p_size || '-' || p_name AS t FROM part),
+places AS (SELECT p_partkey, t, unnest(generate_series(1, 27)) AS i FROM named),
+breaks AS (SELECT p_partkey, max(i) AS i FROM places WHERE substr(t, i + 1, 1) = ' ' OR (substr(t, i, 1) = '-' AND i > 2
+    AND regexp_matches(substr(t, i - 2, 2), '^\w[A-Za-z_]$') AND regexp_matches(substr(t, i + 1), '^\w+[A-Za-z_]'))
+    GROUP BY p_partkey)
+SELECT p_partkey, CASE WHEN length(t) <= 30 THEN t WHEN i IS NULL THEN '...' ELSE substr(t, 1, i) || '...' END AS label
+FROM named LEFT JOIN breaks USING (p_partkey)""")
+def shortened_names(spark, sf):
+    """Names with hyphens, some of them next to numbers, cut to 30 characters."""
+    from longspan.functions.text import shorten
+
+    name = F.concat(F.translate("p_name", " ", "-"), F.lit(" "), "p_brand", F.lit(" "), "p_type", F.lit("-"),
+                    F.col("p_size").cast("string"), F.lit("-"), "p_name")
+    return Clinical(spark, sf)._table("part").select("p_partkey", shorten(name, 30).alias("label"))
+
+
 @R.query("feature_labels_f15", f"""WITH {_LABEL} SELECT p_partkey, t || ' (' || p_partkey || ') [ '
     || printf('%+.4f', p_retailprice - 950) || ' ]' AS label FROM flat JOIN part USING (p_partkey)""")
 def feature_labels(spark, sf):

@@ -495,13 +495,30 @@ def constant_curves(spark, sf):
     return U.constant_curves(built).withColumn("constant", rounded("constant"))
 
 
+@R.query("compressed_curves_t9", f"""{OBS}, {_curves_block(None)},
+firsts AS (SELECT g, concept_id, arg_min(value, day) AS first FROM curves GROUP BY 1, 2),
+dense AS (SELECT g, concept_id FROM curves JOIN firsts USING (g, concept_id) GROUP BY g, concept_id
+    HAVING NOT bool_and(abs(value - first) <= 1e-8 + 1e-5 * abs(value)))
+SELECT g AS person_id, concept_id, CAST(row_number() OVER (PARTITION BY g, concept_id ORDER BY day) - 1 AS INTEGER) AS place,
+    {V.rounded('value')} AS value
+FROM curves SEMI JOIN dense USING (g, concept_id)
+UNION ALL SELECT g, concept_id, NULL, {V.rounded('first')} FROM firsts ANTI JOIN dense USING (g, concept_id)""")
+def compressed_curves(spark, sf):
+    """Numbers of constant curves (no place), entries of the arrays of the others."""
+    x = Clinical(spark, sf)
+    packed = U.compressed_curves(U.build_curves(x.ehr, x.meta, options=U.CurveOptions.windowed(None)))
+    entries = F.when(F.col("is_constant"), F.array(F.struct(F.lit(None).cast("int").alias("place"), F.col("constant").alias("value"))))
+    entries = entries.otherwise(F.transform("dense", lambda v, i: F.struct(i.alias("place"), v.alias("value"))))
+    return packed.select("person_id", "concept_id", F.inline(entries)).withColumn("value", rounded("value"))
+
+
 @R.query("cross_section_t10_j13", f"""{OBS}, {_curves_block(WINDOW)}, {INDEX}
 SELECT DISTINCT g AS person_id, concept_id, CAST(day AS VARCHAR) AS day, {V.rounded('value')} AS value
 FROM curves JOIN idx ON person_id = g AND day = CAST(datetime AS DATE)""")
 def cross_section(spark, sf):
     x = Clinical(spark, sf)
     built = U.build_curves(x.ehr, x.meta, options=U.CurveOptions.windowed(WINDOW))
-    return _shown(U.cross_section(built, _index(x.ehr)))
+    return _shown(U.cross_section(built, _index(x.ehr), off_grid="drop"))
 
 
 @R.query("outside_grid_j13", f"""{OBS}, {GRID}, {INDEX}

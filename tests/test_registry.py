@@ -16,7 +16,9 @@ CHECKED = [
     "auc_replicates_a24", "best_partners_columns_l8_l10_o11", "whitening_reconstructs_l1_o3", "ica_step_l4_l5",
     "threshold_grid_100_a20", "projected_matrix_t15_m2", "curves_365_t7_w2",
     "leading_components_l1_o3", "keyed_stats_a26_m8", "curves_stored_s16_s17_j9", "asof_stored_j9_j10",
-    "projection_stored_j9_t15",
+    "projection_stored_j9_t15", "compressed_curves_t9", "data_checks_t6_s7", "conformed_events_s6", "differing_rows_p11",
+    "data_older_rule_h11", "metadata_older_rule_h11", "shortened_names_f12", "sources_mixed_back_l3_l6",
+    "measurements_p5_p6", "visits_p7", "cross_section_t10_j13",
 ]
 
 
