@@ -63,6 +63,30 @@ def _changes() -> Column:
     return F.when(size >= WINDOW, WINDOW - LEAST_EQUAL).when(size > SPAN, 1).otherwise(0)
 
 
+def _short_hits(items: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame | None:
+    """Items of fewer words than a seed spans, whole: all their words meet the document's words of that number.
+
+    Equal hashes are only candidates; the words are compared. None without such items.
+    """
+    short = stored(items.where(F.size("words").between(1, SPAN - 1)).select(
+        "item_id", F.col("words").alias("item"), F.size("words").alias("size"), F.xxhash64("words").alias("hash")).distinct())
+    sizes = [r["size"] for r in short.select("size").distinct().collect()]  # 7 numbers at most
+    if not sizes:
+        return None
+    hashes = short.select("hash").distinct()
+    if hashes.count() <= BROADCAST_SEEDS:
+        hashes = F.broadcast(hashes)
+
+    def runs(size: int) -> Column:
+        starts = F.sequence(F.lit(1), F.size("words") - (size - 1))
+        return F.when(F.size("words") >= size, F.transform(starts, lambda at: F.slice("words", at, F.lit(size)))).otherwise(
+            F.array().cast("array<array<string>>"))
+
+    placed = rows.select(*keys, F.explode(F.concat(*[runs(size) for size in sorted(sizes)])).alias("near")).withColumn("hash", F.xxhash64("near"))
+    met = placed.join(hashes, "hash", "left_semi").groupBy(*keys, "hash", "near").agg(F.count(F.lit(1)).alias("hits"))
+    return met.join(short, "hash").where(F.col("near") == F.col("item")).select(*keys, "item_id", "hits")
+
+
 def contaminated(
     docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text_column: str = "text",
     item_column: str = "item_id", item_text_column: str = "text", by_text: bool = False,
@@ -74,8 +98,8 @@ def contaminated(
     hold a hit's seed are compared, and every such passage has a seed. ``hits`` counts
     the verified seeds, ``matched`` is the most equal words of a window, where what an
     item lacks of 13 words counts as equal. Words are lower-case runs of letters and
-    digits. Items of fewer than 8 words have no seed and match nothing; nor do null or
-    empty texts. Rows that share an id are judged together, with ``by_text`` only those
+    digits. Items of 1 to 7 words have no seed: they match where all their words stand
+    whole and in order. Items without a word match nothing; nor do null or empty texts. Rows that share an id are judged together, with ``by_text`` only those
     of equal texts: the column text_digest (``digest`` of the text) then follows doc_id.
     Empty tables give no rows.
 
@@ -96,8 +120,8 @@ def contaminated(
         "hash", *keys, "at", (F.col("at") - first).alias("offset"),
         F.slice("words", first + 1, F.lit(2 * WINDOW + SPAN)).alias("near"))
     verified = hits.join(seeds, "hash").withColumn("matched", _equal_words())
-    return (
-        verified.where(F.col("matched") >= WINDOW - _changes())
-        .groupBy(*keys, "item_id")
-        .agg(F.count(F.lit(1)).alias("hits"), F.max("matched").alias("matched"))
-    )
+    found = verified.where(F.col("matched") >= WINDOW - _changes()).select(*keys, "item_id", F.lit(1).alias("hits"), "matched")
+    whole = _short_hits(items, rows, list(keys))
+    if whole is not None:
+        found = found.unionByName(whole.withColumn("matched", F.lit(WINDOW)))
+    return found.groupBy(*keys, "item_id").agg(F.sum("hits").cast("long").alias("hits"), F.max("matched").alias("matched"))
