@@ -1,8 +1,8 @@
 """WARC archives written from and read into tables of payload chunks.
 
-A payload is rows (record, chunk number, bytes), never one value: chunks are cut
-in the scan, ordered by record and number in each archive's task, and pass
-through one compressor and one running digest. Reading gives such rows back, each with
+A payload is rows (record, chunk number, bytes): chunks are cut in the scan, so a
+payload is one value only where the table's reader makes it. They are ordered by record
+and number in each archive's task, and pass through one compressor and one running digest. Reading gives such rows back, each with
 the digest of the payload so far.
 """
 
@@ -18,7 +18,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from longspan.llm.common import stored, text_of
@@ -45,35 +45,59 @@ def chunk_table(
     """One row per record and chunk of payload, with the record's head fields.
 
     Of rows with equal payloads (SHA-1 and length) of ``least_revisit_bytes`` or
-    more, the one with the smallest id (null last, then the first read) is a response;
-    the others revisit it and carry no payload. A null payload is empty, an
-    empty payload is one chunk of no bytes, repeated rows are records of their own.
-    The smallest id per payload comes from a map-side combined aggregate, and
-    adaptive execution may split a payload that many rows share.
+    more, the one with the smallest id, then url (nulls last), is a response; the
+    others revisit it and carry no payload. A null payload is empty, an empty payload
+    is one chunk of no bytes, repeated rows are records of their own: of rows equal in
+    everything one is the response.
+
+    Which record leads is found from ids, urls, digests and lengths alone. Payloads
+    are cut in the scan, and only chunks move, by their record's key; the column
+    ``row`` is that key, null where nothing refers to the record. A payload that
+    very many pages share spreads over its pages.
     """
+    payload = text_of(payload_column).cast("binary")
     rows = pages.select(
-        F.monotonically_increasing_id().alias("row"),
         F.col(id_column).cast("long").alias("page_id"),
         F.regexp_replace(F.col(url_column).cast("string"), r"[\r\n]", "%0A").alias("url"),
-        text_of(payload_column).cast("binary").alias("payload"),
-    ).withColumn("length", F.octet_length("payload").cast("long")).withColumn("sha1", F.sha1("payload"))
-    firsts = rows.groupBy("sha1", "length").agg(
-        F.min(F.struct(F.col("page_id").isNull().alias("none"), "page_id", "row")).alias("first"))
-    own = (F.col("length") < least_revisit_bytes) | (F.col("row") == F.col("first.row"))
-    records = rows.join(firsts, ["sha1", "length"]).withColumn("own", own)
-    chunks = F.when(F.col("own"), F.greatest(F.ceil(F.col("length") / chunk_bytes), F.lit(1))).otherwise(1)
-    numbered = records.withColumn("chunk", F.explode(F.sequence(F.lit(0), (chunks - 1).cast("int"))))
-    cut = F.substring(F.col("payload"), F.col("chunk") * chunk_bytes + 1, F.lit(chunk_bytes))
-    return numbered.select(
-        "row", "page_id", "url", "sha1", "length", "own", "chunk", (F.col("chunk") == chunks - 1).alias("last"),
-        F.when(~F.col("own"), F.col("first.page_id")).alias("refers_to"),
-        F.col("first.row").alias("first_row"),
-        F.when(F.col("own"), cut).alias("piece"),
-    )
-
-
-def _record_id(row: int, sha1: str) -> str:
-    return f"<urn:uuid:{uuid.UUID(hashlib.md5(f'{row}:{sha1}'.encode()).hexdigest())}>"
+        F.octet_length(payload).cast("long").alias("length"), F.sha1(payload).alias("sha1"), payload.alias("payload"))
+    small = F.col("length") < least_revisit_bytes
+
+    def key(prefix: str = "") -> Column:
+        """Names a record by what it is, so that it is the same in every run of a task."""
+        named = F.struct(F.col(f"{prefix}page_id").alias("page"), F.col(f"{prefix}url").alias("url"))
+        return F.md5(F.concat(F.to_json(named), "sha1", F.col("length").cast("string")).cast("binary"))
+
+    heads = rows.where(~small).groupBy("sha1", "length", "page_id", "url").agg(F.count(F.lit(1)).alias("copies"))
+    least = F.struct(F.col("page_id").isNull().alias("none"), "page_id", F.col("url").isNull().alias("no_url"), "url")
+    firsts = stored(
+        rows.where(~small).groupBy("sha1", "length").agg(F.min(least).alias("first"))
+        .select("sha1", "length", F.col("first.page_id").alias("first_page"), key("first.").alias("first_row")))
+    others = heads.join(firsts, ["sha1", "length"]).withColumn(
+        "copies", F.col("copies") - F.when(key() == F.col("first_row"), 1).otherwise(0)).where("copies > 0")
+    none = F.lit(None).cast("string")
+    head = ["page_id", "url", "sha1", "length"]
+    revisits = others.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(
+        none.alias("row"), *head, F.lit(False).alias("own"), F.lit(0).alias("chunk"), F.lit(True).alias("last"),
+        F.col("first_page").alias("refers_to"), "first_row", F.lit(None).cast("binary").alias("piece"))
+
+    chunks = F.greatest(F.ceil(F.col("length") / chunk_bytes), F.lit(1)).cast("int")
+
+    def cut(records: DataFrame, row: Column) -> DataFrame:
+        numbered = records.withColumn("chunk", F.explode(F.sequence(F.lit(0), chunks - 1)))
+        piece = F.substring(F.col("payload"), F.col("chunk") * chunk_bytes + 1, F.lit(chunk_bytes))
+        return numbered.select(
+            row.alias("row"), *head, F.lit(True).alias("own"), "chunk", (F.col("chunk") == chunks - 1).alias("last"),
+            F.lit(None).cast("long").alias("refers_to"), none.alias("first_row"), piece.alias("piece"))
+
+    leaders = firsts.select(F.col("first_row").alias("row"))
+    responses = cut(rows.where(~small), key()).repartition("row").join(leaders, "row", "left_semi").sortWithinPartitions("row", "chunk")
+    written = responses.unionByName(revisits)
+    return written.unionByName(cut(rows.where(small), none)) if least_revisit_bytes > 0 else written
+
+
+def _record_id(row: str | None, sha1: str) -> str:
+    """A record without a key is referred to by none."""
+    return f"<urn:uuid:{uuid.UUID(hashlib.md5(f'{row}:{sha1}'.encode()).hexdigest()) if row else uuid.uuid4()}>"
 
 
 def _uri(path: str) -> str:
@@ -104,7 +128,7 @@ def _archive_writer(folder: str, date: str, level: int, archive_bytes: int):
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, base = pafs.FileSystem.from_uri(folder)
         files.create_dir(base, recursive=True)
-        out, member, name, records = None, None, "", 0
+        out, member, name, records, before = None, None, "", 0, (None, 0)
 
         def finished() -> pa.RecordBatch:
             size = out.tell()
@@ -114,6 +138,10 @@ def _archive_writer(folder: str, date: str, level: int, archive_bytes: int):
         for batch in batches:
             for i in range(batch.num_rows):
                 row = {c: batch.column(c)[i].as_py() for c in batch.schema.names}
+                # Rows equal in everything sent the same chunks; their record is written once.
+                if row["row"] is not None and (row["row"], row["chunk"]) == before:
+                    continue
+                before = (row["row"], row["chunk"])
                 if row["chunk"] == 0:  # every record is a gzip member
                     if out and out.tell() >= archive_bytes:
                         yield finished()
