@@ -100,9 +100,13 @@ def archives(spark, folder):
     return warc.round_trip(spark.read.parquet(f"{folder}/pages.parquet"))
 
 
+CONTEXT_LIMITS = tuple(2**i for i in range(7, 21))
+
+
 @R.query("op1_token_histogram")
 def token_histogram(spark, folder):
-    return token_counts.length_table(token_counts.encoded_lengths(documents(spark, folder)))
+    lengths = token_counts.encoded_lengths(documents(spark, folder))
+    return token_counts.length_table(lengths, limits=CONTEXT_LIMITS)
 
 
 @R.query("op7_toxicity_compression")
@@ -117,7 +121,8 @@ def toxic(spark, folder):
 @R.query("op8_language_paths")
 def languages(spark, folder):
     docs = documents(spark, folder)
-    return language.identify(docs, language.fit(docs)).withColumn("held_out", held_out_row())
+    found = language.identify(docs, language.fit(docs), spans=True)
+    return found.select("doc_id", held_out_row().alias("held_out"), "lang_pred", "score", "spans")
 
 
 @R.query("op9_spaced_seeds")

@@ -9,7 +9,7 @@ from decimal import Decimal
 from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from longspan.llm.common import stored, text_of
@@ -47,23 +47,33 @@ def encoded_lengths(
     return docs.select(text_of(text_column).alias("text")).mapInArrow(count, "n_tokens long")
 
 
-def length_table(lengths: DataFrame, per_bucket: int = LENGTHS_PER_BUCKET) -> DataFrame:
-    """One row per length that occurs, with sums over this and all greater lengths.
+def length_table(lengths: DataFrame, per_bucket: int = LENGTHS_PER_BUCKET, limits: tuple[int, ...] = ()) -> DataFrame:
+    """One row per length that occurs or is one of ``limits``, with sums over this and all greater lengths.
 
     n_tokens, n_docs, docs_at_least, tokens_at_least, and for a context limit of
     n_tokens: tokens_truncated (total when longer documents are cut there),
-    docs_cut, and share_within (documents that fit). The histogram combines
+    docs_cut, share_within (documents that fit), and percentiles: the whole percents
+    whose quantile is this length, from counts. The histogram combines
     on the map side; lengths of neighbouring ``per_bucket`` values are summed
     together, so no task holds all lengths. No documents, no rows.
     """
     counted = stored(lengths.groupBy("n_tokens").agg(F.count(F.lit(1)).alias("n_docs")))
+    if limits:
+        wanted = counted.sparkSession.createDataFrame([(int(x), 0) for x in sorted(set(limits))], counted.schema)
+        counted = (counted if counted.isEmpty() else counted.unionByName(wanted)).groupBy("n_tokens").agg(F.sum("n_docs").alias("n_docs"))
     histogram = counted.withColumns({
         "n_sum": F.col("n_tokens") * F.col("n_docs"),
         "down": -F.col("n_tokens"),
         "bucket": -F.floor(F.col("n_tokens") / per_bucket),
     })
     sums = running_total(histogram, "bucket", ["down"], {"docs_above": "n_docs", "tokens_above": "n_sum"})
+    def percents(docs: Column) -> Column:
+        """Whole percents of all documents that ``docs`` of them reach."""
+        return F.floor(docs.cast("decimal(20,0)") * 100 / F.lit(all_docs)).cast("int")
+
     all_docs, all_tokens = histogram.agg(F.sum("n_docs"), F.sum("n_sum")).first()
+    reached = percents(F.lit(all_docs) - F.col("docs_above"))
+    below = percents(F.lit(all_docs) - F.col("docs_above") - F.col("n_docs"))
     return sums.select(
         "n_tokens", "n_docs",
         (F.col("docs_above") + F.col("n_docs")).alias("docs_at_least"),
@@ -71,6 +81,7 @@ def length_table(lengths: DataFrame, per_bucket: int = LENGTHS_PER_BUCKET) -> Da
         (F.lit(all_tokens) - F.col("tokens_above") + F.col("docs_above") * F.col("n_tokens")).alias("tokens_truncated"),
         F.col("docs_above").alias("docs_cut"),
         (1 - F.col("docs_above") / F.lit(all_docs)).alias("share_within"),
+        F.when(reached > below, F.sequence(below + 1, reached)).otherwise(F.array().cast("array<int>")).alias("percentiles"),
     )
 
 
