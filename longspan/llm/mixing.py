@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from longspan.llm.common import stored, word_count
+from longspan.llm.common import stored, text_of, word_count
 from longspan.operators.running import running_total
 
 WEIGHTS = (3, 1, 2)
@@ -51,7 +51,7 @@ def source_targets(
 def mix(
     docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source",
     weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, max_epochs: int = MAX_EPOCHS, seed: int = 0,
-    rows_per_range: int = ROWS_PER_RANGE,
+    rows_per_range: int = ROWS_PER_RANGE, by_text: bool = False,
 ) -> DataFrame:
     """How many words of each document the mix takes.
 
@@ -64,26 +64,28 @@ def mix(
 
     Null and empty texts have size 0 and give nothing. A null source is a
     source of its own. Rows that repeat an id are ordered by size; rows equal in
-    both stand next to each other in either order. No rows, no output. Ranges
+    both stand next to each other in either order. With ``by_text`` a column text_digest
+    (md5 of the text, null as empty) follows and orders rows after the size. No rows, no output. Ranges
     hold about ``rows_per_range`` rows, whatever share a source has.
     """
     key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(id_column).cast("string")))
+    digest = [F.md5(text_of(text_column).cast("binary")).alias("text_digest")] if by_text else []
     rows = stored(docs.select(
         F.col(id_column).alias("doc_id"), F.col(source_column).cast("string").alias("source"),
-        word_count(text_column).alias("size"), key.alias("key"),
+        word_count(text_column).alias("size"), key.alias("key"), *digest,
     ))
     ranges = max(1, -(-rows.count() // rows_per_range))
     start = F.conv(F.substring("key", 1, 8), 16, 10).cast("double")
     placed = _with_targets(rows, source_targets(rows, weights, share, max_epochs))
     placed = placed.withColumn("range", F.floor(start * F.lit(ranges / _KEYS)))
-    summed = running_total(placed, "range", ["key", "doc_id", "size"], {"before": "size"}, by=("place",))
+    summed = running_total(placed, "range", ["key", "doc_id", "size", *(["text_digest"] if by_text else [])], {"before": "size"}, by=("place",))
     budget = F.floor("target")
     epochs = F.when(F.col("source_size") > 0, F.expr("floor(target) div source_size")).otherwise(F.lit(0))
     rest = budget - epochs * F.col("source_size") - F.col("before")
     return summed.select(
         "doc_id", "size", "source_size", "target",
         (F.col("size") * epochs + F.greatest(F.lit(0), F.least(F.col("size"), rest))).cast("long").alias("taken"),
-        "source",
+        "source", *(["text_digest"] if by_text else []),
     )
 
 
