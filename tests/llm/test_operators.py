@@ -297,3 +297,78 @@ def test_tolerance_of_short_items(spark):
     bench = spark.createDataFrame([(n, " ".join(x)) for n, x in items.items()], "item_id long, text string")
     found = decontamination.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()
     assert {(x["doc_id"], x["item_id"]) for x in found} == wanted
+
+
+def test_short_items_are_found_whole(spark):
+    r = random.Random(5)
+    vocabulary = [f"w{i}" for i in range(12)]
+    items = [(k, " ".join(r.choices(vocabulary, k=k))) for k in range(1, 13)] + [(20, ""), (21, None), (22, "w1 w2"), (23, "w1 w2")]
+    docs = [(i, " ".join(r.choices(vocabulary, k=r.randint(0, 30)))) for i in range(150)]
+    docs += [(200 + k, f"a b {text} c") for k, text in items if text] + [(300, None), (301, ""), (302, "W1, w2")]
+    rows = decontamination.contaminated(
+        spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    found = {(x["doc_id"], x["item_id"]): (x["hits"], x["matched"]) for x in rows}
+    assert len(found) == len(rows)
+
+    def places(text, item, changes):
+        a, b = (text or "").lower().replace(",", "").split(), (item or "").split()
+        return sum(sum(x != y for x, y in zip(a[i:], b, strict=False)) <= changes for i in range(len(a) - len(b) + 1)) if b else 0
+
+    for i, text in docs:
+        for k, item in items:
+            size = len((item or "").split())
+            n = places(text, item, 1 if size > 8 else 0)
+            if size < 8:
+                assert found.get((i, k)) == ((n, 13) if n else None), (text, item)
+            else:
+                assert ((i, k) in found) >= (n > 0)
+    assert not any(k in (20, 21) for _, k in found)
+
+
+def test_warc_repeated_rows_and_large_payloads(spark):
+    big = "x" * 5000
+    rows = [(1, "u", big), (1, "u", big), (1, "u", big), (1, "v", big), (2, "u", big), (None, None, big), (None, None, ""), (None, None, None),
+            (5, "u", "short"), (5, "u", "short"), (3, None, "another")]
+    pages = spark.createDataFrame(rows * 2, "page_id long, url string, html string").repartition(5)
+    for least in (0, 100):
+        chunks = warc.chunk_table(pages, least_revisit_bytes=least, chunk_bytes=700)
+        manifest = warc.write_archives(chunks, warc.archive_folder(spark))
+        last = warc.read_archives(manifest, chunk_bytes=512).where("last").collect()
+        assert len(last) == 2 * len(rows) and len({x["record_id"] for x in last}) == len(last)
+        for payload in {html or "" for _, _, html in rows}:
+            data = payload.encode()
+            mine = [x for x in last if x["payload_bytes"] == len(data)]
+            ids = [i for i, _, html in rows * 2 if (html or "") == payload]
+            assert sorted(map(str, ids)) == sorted(str(x["page_id"]) for x in mine)
+            own = [x for x in mine if x["record_type"] == "response"]
+            assert len(own) == (len(mine) if len(data) < least else 1)
+            if len(data) >= least:
+                first = min((i for i in ids if i is not None), default=None)
+                assert own[0]["page_id"] == first and all(x["refers_to"] == first for x in mine if x["record_type"] == "revisit")
+    empty = pages.limit(0)
+    assert warc.round_trip(empty).count() == 0
+
+
+def test_only_chunks_move(spark):
+    pages = spark.createDataFrame([(1, "u", "x" * 5000)], "page_id long, url string, html string").repartition(2)
+    plan = warc.chunk_table(pages, chunk_bytes=700)._jdf.queryExecution().optimizedPlan().toString()
+    moved = [line for line in plan.split("\n") if "RepartitionByExpression" in line or "Join" in line or "Aggregate" in line]
+    assert moved
+    for node in plan.split("RepartitionByExpression [row")[1:]:
+        assert "Generate explode" in node  # cut below the exchange
+    assert not any("payload" in line for line in moved)
+
+
+def test_limits_and_percentiles_of_the_length_table(spark):
+    r = random.Random(6)
+    for n in (1, 7, 10, 250):
+        lengths = [r.randint(0, 40) for _ in range(n)]
+        df = spark.createDataFrame([(x,) for x in lengths], "n_tokens long")
+        table = token_counts.length_table(df, limits=(5, 64, 5)).collect()
+        assert {x["n_tokens"] for x in table} == set(lengths) | {5, 64}
+        answers = {p: x["n_tokens"] for x in table for p in x["percentiles"]}
+        assert answers == {p: sorted(lengths)[-(-p * n // 100) - 1] for p in range(1, 101)}
+        for x in table:
+            assert x["tokens_truncated"] == sum(min(x["n_tokens"], y) for y in lengths)
+            assert x["docs_cut"] == sum(y > x["n_tokens"] for y in lengths) and x["n_docs"] == lengths.count(x["n_tokens"])
+    assert token_counts.length_table(df.limit(0), limits=(5,)).count() == 0

@@ -1,6 +1,9 @@
 """The pipeline on a small corpus and beside its decisions written plainly."""
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline as pipeline
+from longspan.llm import mixing
 
 FOLDER = "/root/testdata/sf0.001"
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -46,3 +49,23 @@ def test_language_stage_keeps_mixed_documents(spark):
     docs = spark.createDataFrame([*rows, (100, mixed, None), (101, "12 - 34", None)], "doc_id long, text string, lang string")
     kept = {r["doc_id"] for r in pipeline.identify_language(spark, docs, "").collect()}
     assert kept == {r[0] for r in rows} | {100}
+
+
+def test_language_stage_carries_columns_of_any_name(spark):
+    rows = [(i, "the and with house " * 4, "aa", 1.5, "kept") for i in range(40)] + [(50, "12", None, 0.5, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, score double, lang_pred string")
+    out = pipeline.identify_language(spark, docs, "")
+    assert out.columns == docs.columns and sorted(out.collect()) == sorted(docs.where("doc_id < 50").collect())
+
+
+def test_mix_stage_keeps_to_the_budget_with_repeated_ids(spark):
+    rows = [(7, f"{a} b c d", "s") for a in "efghijkl"] + [(None, "one two", "t"), (None, "one two", "t"), (None, "two one", "t"), (3, "", "t"), (4, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("times", F.lit(9))
+    mixed = mixing.mix(docs, by_text=True)
+    budget = {r["source"]: r["n"] for r in mixed.groupBy("source").agg(F.sum("taken").alias("n")).collect()}
+    out = pipeline.mix_sources(spark, docs, "")
+    assert out.columns == docs.columns
+    words = {r["source"]: r["n"] for r in out.groupBy("source").agg(F.sum(F.size(F.split("text", " "))).alias("n")).collect()}
+    assert abs(words["s"] - budget["s"]) <= 2 and abs(words["t"] - budget["t"]) <= 1
+    counts = {r["text"]: r["count"] for r in out.where("source = 's'").groupBy("text").count().collect()}
+    assert all(n <= 2 for n in counts.values())
