@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from longspan.llm import decontamination, language, mixing, near_join, sharding
-from longspan.llm.common import stored
+from longspan.llm.common import stored, text_of
 
 SHARDS = 40
 # Languages and scripts are learned here too; no SQL says that.
@@ -19,8 +19,11 @@ ORACLE_SQL = None
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a known language go; those that mix several stay, however their letters are shared."""
-    found = language.identify(docs, language.fit(docs), keep=docs.columns)
-    return found.where(F.col("lang_pred") != language.UNKNOWN).select(*docs.columns)
+    # Numbered names, so that no column of documents clashes with those of the labels.
+    names = [f"kept{i}" for i in range(len(docs.columns))]
+    text = names[docs.columns.index("text")]
+    found = language.identify(docs.toDF(*names), language.fit(docs), text_column=text, keep=names)
+    return found.where(F.col("lang_pred") != language.UNKNOWN).select(*names).toDF(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,17 +49,20 @@ def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents come as often as the mix takes them; the one where a source's budget ends, if half or more of it is taken."""
-    taken = mixing.mix(docs).select(
-        F.col("doc_id").alias("mix_id"), F.col("source").alias("mix_source"), F.col("size").alias("mix_size"),
+    """Documents come as often as the mix takes them; the one where a source's budget ends, if half or more of it is taken.
+
+    Rows equal in id, source and text are one document, which comes as often as all of them together.
+    """
+    taken = mixing.mix(docs, by_text=True).select(
+        F.col("doc_id").alias("mix_id"), F.col("source").alias("mix_source"), F.col("text_digest").alias("mix_digest"),
         F.floor(F.col("taken") / F.greatest(F.col("size"), F.lit(1)) + 0.5).cast("int").alias("times"))
-    once = taken.groupBy("mix_id", "mix_source", "mix_size").agg(F.max("times").alias("times"))
-    sized = docs.withColumn("size__", mixing.word_count("text"))
-    joined = sized.join(
-        once,
-        sized["doc_id"].eqNullSafe(F.col("mix_id")) & sized["source"].eqNullSafe(F.col("mix_source"))
-        & (sized["size__"] == F.col("mix_size")))
-    return joined.where("times > 0").withColumn("copy__", F.explode(F.sequence(F.lit(1), F.col("times")))).select(*docs.columns)
+    often = taken.groupBy("mix_id", "mix_source", "mix_digest").agg(F.sum("times").cast("int").alias("mix_times")).where("mix_times > 0")
+    marked = docs.withColumn("mix_text", F.md5(text_of("text").cast("binary"))).dropDuplicates(["doc_id", "source", "mix_text"])
+    joined = marked.join(
+        often,
+        marked["doc_id"].eqNullSafe(F.col("mix_id")) & marked["source"].eqNullSafe(F.col("mix_source"))
+        & (marked["mix_text"] == F.col("mix_digest")))
+    return joined.withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_times")))).select(*docs.columns)
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
