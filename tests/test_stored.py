@@ -95,3 +95,12 @@ def test_null_persons_and_empty_tables_are_stored(spark, tmp_path):
     assert by_person(3)(df).count() == 3
     assert by_person(3)(df.limit(0)).count() == 0
     assert by_person(3)(df).columns == ["person_id", "concept_id"]
+
+
+def test_spark_knows_the_size_of_stored_rows(spark, stored):
+    """Equal days shrink to nothing in a file; their joins must not be taken for small ones."""
+    rows = spark.range(60_000).select(
+        (F.col("id") % 10).alias("person_id"), F.lit(1).cast("long").alias("concept_id"), F.lit(1.0).alias("value"))
+    kept = stored(rows)
+    assert kept.count() == 60_000
+    assert int(str(kept._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) >= 60_000 * 20
