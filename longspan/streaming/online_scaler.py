@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,8 +16,10 @@ EPS = 1e-5
 
 
 class OnlineScaler:
-    """Running statistics per label, kept as a small parquet table per version.
+    """Running statistics per label, kept as a parquet table per version.
 
+    Labels may be many, so all tasks write the rows, to a folder of their own beside the
+    versions. A version is one small file that names it, so it is there whole or not at all.
     Each batch is aggregated on the executors and merged with the previous
     table; the variance is held at ``eps`` or more after every batch. A frozen
     scaler only applies. ``update`` fits ``foreachBatch``: a batch number seen
@@ -57,11 +61,16 @@ class OnlineScaler:
     def stats(self) -> DataFrame:
         if self.version < 0:
             raise RuntimeError("the scaler has seen no batch")
-        return self.spark.read.parquet(self._path(self.version))
+        kept = self.spark.read.parquet(self._path(self.version))
+        if kept.columns != ["rows"]:
+            return kept  # an older version, which holds the rows themselves
+        return self.spark.read.parquet(f"{self.folder}-rows/{kept.first()[0]}")
 
     def set_stats(self, stats: DataFrame, version: int = 0) -> None:
         held = stats.withColumn("variance", F.greatest("variance", F.lit(self.eps)))
-        held.coalesce(1).write.mode("overwrite").parquet(self._path(version))
+        rows = uuid.uuid4().hex
+        held.write.parquet(f"{self.folder}-rows/{rows}")
+        self.spark.createDataFrame([(rows,)], "rows string").coalesce(1).write.mode("overwrite").parquet(self._path(version))
         self.version = version
 
     def reset(self) -> None:

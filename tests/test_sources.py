@@ -107,3 +107,18 @@ def test_online_scaler_on_a_stream(spark, tmp_path):
     query.awaitTermination(120)
     got = scaler.stats.first()
     assert (got["count"], got["mean"]) == (6, pytest.approx(1.5))
+
+
+def test_scaler_statistics_of_many_labels_are_written_by_all_tasks(spark, tmp_path):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        scaler = OnlineScaler(spark, "t3", folder=str(tmp_path))
+        scaler.update(_batch(spark, [(k, k) for k in range(200)]), 0)
+        scaler.update(_batch(spark, [(k, k + 2) for k in range(200)]), 1)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(scaler.stats.inputFiles()) > 1
+    assert {r.label: (r["count"], r["mean"]) for r in scaler.stats.collect()} == {k: (2, k + 1.0) for k in range(200)}
+    # A version that an older scaler wrote holds the rows themselves.
+    scaler.stats.coalesce(1).write.parquet(scaler._path(2))
+    assert OnlineScaler(spark, "t3", folder=str(tmp_path)).stats.count() == 200
