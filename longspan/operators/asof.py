@@ -124,8 +124,14 @@ def match_sequence(
 
 
 def linspace(df: DataFrame, key: str, at: str, n_points: int) -> DataFrame:
-    """``n_points`` even points from floor(min) to ceil(max) of each sequence."""
-    ends = df.groupBy(key).agg(F.floor(F.min(at)).alias("lo"), F.ceil(F.max(at)).alias("hi"))
+    """``n_points`` even points from floor(min) to ceil(max) of each sequence.
+
+    The ends are few bytes, which adaptive execution would put into one task; a fixed
+    number of parts keeps the points, ``n_points`` times as many rows, spread. Spark drops
+    a repartition into as many parts by the same key as the aggregate has, so it is twice that.
+    """
+    parts = 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ends = df.groupBy(key).agg(F.floor(F.min(at)).alias("lo"), F.ceil(F.max(at)).alias("hi")).repartition(parts, key)
     step = F.col("i") * (F.col("hi") - F.col("lo")) / F.lit(max(n_points - 1, 1))
     return ends.select(
         key, "lo", "hi", F.explode(F.sequence(F.lit(0), F.lit(n_points - 1))).alias("i")

@@ -141,3 +141,12 @@ def test_carried_values_of_one_large_sequence(spark, partitions):
             before = [v for _, _, v in mine[:i + 1] if v is not None]
             after = [v for _, _, v in mine[i:] if v is not None]
             assert r.previous == (before[-1] if before else None) and r.following == (after[0] if after else None)
+
+
+def test_points_of_sequences_are_made_in_many_tasks(spark):
+    from longspan.operators.asof import linspace
+
+    ends = spark.createDataFrame([(k, float(v)) for k in range(40) for v in (0, 9)], "k int, at double")
+    points = linspace(ends, "k", "at", 10).withColumn("task", F.spark_partition_id())
+    assert points.select("task").distinct().count() > 1
+    assert sorted((r.k, r.at) for r in points.collect()) == [(k, float(v)) for k in range(40) for v in range(10)]
