@@ -26,20 +26,41 @@ from longspan.streaming.online_scaler import EPS
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 HELD = T.StructType([f for f in STATS.fields if f.name != "label"])
 STATE = "stats"
+# Rows of a task that are shrunk together: 16 MB of labels and values.
+PARTIAL_ROWS = 1 << 20
 
 
 def use_keyed_state(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
 
 
+def _by_label(frame: pd.DataFrame) -> pd.DataFrame:
+    """One row of statistics per label, from sums over sorted labels."""
+    label, value = frame["label"].to_numpy(np.int64), frame["value"].to_numpy(np.float64)
+    order = np.argsort(label, kind="stable")
+    label, value = label[order], value[order]
+    start = np.flatnonzero(np.concatenate(([True], label[1:] != label[:-1])))
+    count = np.diff(np.append(start, len(label)))
+    mean = np.add.reduceat(value, start) / count
+    variance = np.add.reduceat((value - np.repeat(mean, count)) ** 2, start) / count
+    return pd.DataFrame({
+        "label": label[start], "count": count, "mean": mean, "variance": variance,
+        "negative": np.add.reduceat((value < 0).astype(np.int64), start),
+        "minval": np.minimum.reduceat(value, start), "maxval": np.maximum.reduceat(value, start)})[STATS.names]
+
+
 def _partials(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """One row per label and Arrow batch; values are finite."""
+    """One row per label and ``PARTIAL_ROWS`` rows of a task; values are finite."""
+    held, rows = [], 0
     for frame in frames:
-        by_label = frame.groupby("label", sort=False)["value"]
-        negative = (frame["value"] < 0).groupby(frame["label"], sort=False).sum()
-        out = by_label.agg(count="count", mean="mean", variance=lambda v: v.var(ddof=0), minval="min", maxval="max")
-        out["negative"] = negative
-        yield out.reset_index()[STATS.names]
+        if len(frame):
+            held.append(frame)
+            rows += len(frame)
+        if rows >= PARTIAL_ROWS:
+            yield _by_label(pd.concat(held, ignore_index=True))
+            held, rows = [], 0
+    if held:
+        yield _by_label(pd.concat(held, ignore_index=True))
 
 
 def merged(rows: list[tuple]) -> tuple:

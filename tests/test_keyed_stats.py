@@ -1,6 +1,7 @@
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from longspan.operators.stats import collect_stats
@@ -79,3 +80,15 @@ def test_kept_statistics_scale_other_rows(session, tmp_path):
     batch = session.createDataFrame([(1, 4.0), (1, None), (2, 5.0)], SCHEMA)
     assert [r.value for r in K.standardised(batch, frozen, 0.0).orderBy("label", "value").collect()] == [0.0, 2.0, 0.0]
     assert K.standardised(batch, frozen).where("value IS NOT NULL").count() == 1
+
+
+def test_batches_of_a_task_shrink_together():
+    rng = np.random.default_rng(5)
+    frames = [pd.DataFrame({"label": rng.integers(0, 50, 400), "value": rng.normal(1e6, 2, 400)}) for _ in range(6)]
+    whole = pd.concat(frames)
+    got = pd.concat(K._partials(iter([*frames, whole[:0]]))).set_index("label")
+    assert got.index.is_unique
+    wanted = whole.groupby("label")["value"]
+    for name, values in {"count": wanted.count(), "mean": wanted.mean(), "variance": wanted.var(ddof=0),
+                         "minval": wanted.min(), "maxval": wanted.max()}.items():
+        assert got[name].to_dict() == pytest.approx(values.to_dict(), rel=1e-9)
