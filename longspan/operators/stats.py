@@ -169,5 +169,12 @@ def wide_to_long(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
 
 
 def long_to_wide(df: DataFrame, key: str, labels: list) -> DataFrame:
-    """Pivot with the given labels, so no extra job looks for them."""
-    return df.groupBy(key).pivot("label", labels).agg(F.first("value"))
+    """Pivot with the given labels, so no extra job looks for them.
+
+    One aggregate by key that holds a place per label. Spark's own pivot groups by key and label
+    first: one more shuffle, and a row per key and label in the memory of a task.
+    """
+    def first(label) -> Column:
+        return F.first(F.when(F.col("label").eqNullSafe(F.lit(label)), F.col("value")), ignorenulls=True)
+
+    return df.groupBy(key).agg(*[first(x).alias(str(x)) for x in labels])

@@ -213,3 +213,12 @@ def test_impact_rounds_halves_away_from_zero_and_needs_a_scaler(spark):
     assert got == {0.125: "+0.13", -0.125: "-0.13", 0.0: "+0.00"}
     with pytest.raises(Exception, match="no scaler for label 5"):
         M.impact(deltas.withColumn("label", F.lit(5).cast("long")), scaler).collect()
+
+
+def test_wide_rows_come_back_from_one_shuffle(spark):
+    rows = [(1, "a", 1.0), (1, "b", None), (2, "b", 2.0), (2, "z", 9.0), (3, "z", 9.0), (None, "a", 4.0), (4, None, 5.0)]
+    wide = T.long_to_wide(spark.createDataFrame(rows, "key long, label string, value double"), "key", ["a", "b"])
+    assert wide._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    assert wide.columns == ["key", "a", "b"]
+    assert {tuple(r) for r in wide.collect()} == {
+        (1, 1.0, None), (2, None, 2.0), (3, None, None), (None, 4.0, None), (4, None, None)}
