@@ -3,6 +3,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from longspan.operators import extract as X
+from longspan.plans.extraction import Extraction
 
 
 def test_events_are_not_dealt_by_a_few_concepts(spark, tmp_path):
@@ -27,3 +28,32 @@ def test_events_are_not_dealt_by_a_few_concepts(spark, tmp_path):
     assert "hashpartitioning(procedure_concept_id" not in plan
     start = dt.date(2020, 1, 1)
     assert got == {(i % 500, i % 3, start + dt.timedelta(days=i % 50)) for i in range(20_000) if i % 3 < 2 and i % 500 < 400}
+
+
+def test_data_tables_share_one_join_of_items_and_orders(spark, tmp_path):
+    """After the data tables no table reads line items with their orders again, and the rows are those of the separate joins."""
+    def put(name, rows, schema):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / f"{name}.parquet"))
+
+    day = lambda i: dt.datetime(2020, 1, 1) + dt.timedelta(days=i % 9)
+    put("region", [(0, "R")], "r_regionkey int, r_name string")
+    put("nation", [(i, f"N{i}", 0) for i in range(3)], "n_nationkey int, n_name string, n_regionkey int")
+    put("customer", [(100 + i, f"C{i}", i % 3, 1.0, "BUILDING") for i in range(8)],
+        "c_custkey long, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string")
+    put("part", [(i, f"P{i}", f"Brand#{12 + i % 3}", "PROMO", 1, 1.0) for i in range(6)],
+        "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double")
+    orders = [(i, 100 + i % 9, "F", 1.0, day(i), "1-URGENT") for i in range(30)] + [(None, 101, "F", 1.0, day(1), None), (3, 102, "O", 1.0, None, "5-LOW")]
+    put("orders", orders, "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz, o_orderpriority string")
+    items = [(i % 32, i % 7, 1, i % 4, float(i % 11), 9.0, 0.05, 0.05, "ANR"[i % 3], "O", day(i)) for i in range(200)]
+    items += [(None, 1, 1, 2, 8.0, 9.0, 0.05, 0.05, "A", "O", day(2)), (4, None, 1, 2, None, 9.0, 0.05, 0.05, None, None, None)]
+    put("lineitem", items, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, "
+        "l_discount double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz")
+    shared, apart = Extraction(spark, str(tmp_path)), Extraction(spark, str(tmp_path))
+    data = shared.data
+    for df in (shared.measurement, shared.drug_exposure, shared.procedure_occurrence):
+        assert not [f for f in df.inputFiles() if "lineitem.parquet" in f or "orders.parquet" in f]
+    wanted = {"conditions_daily": apart.conditions(True), "measurements_daily": apart.measurements(True),
+              "medications_daily": apart.medications(True), "procedures": apart.procedures(False)}
+    for name, df in wanted.items():
+        same = lambda rows: sorted(map(str, rows.collect()))
+        assert same(data[name]) == same(df) != []
