@@ -295,11 +295,14 @@ def project_points(
     sampled day, from events up to that day's midnight, and reading the last
     day. Samples not after the first event are misses and give no rows.
     """
-    # Aggregated before the person joins, so a hot person is combined early.
-    sampled = index.select("person_id").distinct()
-    days = daily_with_midnight(ehr, keep).join(sampled, "person_id", "left_semi").join(
-        meta.select("concept_id", "data_mode"), "concept_id", "left"
-    )
+    # Persons and modes are small tables of known size. The daily rows are aggregated before they
+    # meet them, so a hot person is combined early, and written with their mode: every look-up
+    # below reads them again, and none repeats the joins or sends the persons to all tasks anew.
+    sampled = keep(index.select("person_id").distinct())
+    modes = materialise(meta.select("concept_id", "data_mode"))
+    days = keep(daily_with_midnight(ehr, lambda rows: rows).join(sampled, "person_id", "left_semi").join(
+        modes, "concept_id", "left"
+    ))
     starts = keep(first_moments(ehr).join(sampled, "person_id", "left_semi"))
     samples = keep(
         _sampled_days(index).join(starts, "person_id")

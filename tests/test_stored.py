@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from longspan.operators import curves as U
+from longspan.operators import projection as P
 from longspan.operators import space as S
 from longspan.schema import EHR
 from longspan.sources.stored import by_person, create_schema_at, drop_stored, store
@@ -104,3 +105,16 @@ def test_spark_knows_the_size_of_stored_rows(spark, stored):
     kept = stored(rows)
     assert kept.count() == 60_000
     assert int(str(kept._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) >= 60_000 * 20
+
+
+def test_projection_looks_up_written_rows_only(spark, tmp_path):
+    """Persons, modes and daily rows are written once: no look-up reads the events or deals rows by a few concepts."""
+    folder = str(tmp_path / "events")
+    events(spark).write.parquet(folder)
+    ehr = spark.read.parquet(folder)
+    index = ehr.select("person_id", F.expr("datetime + interval 1 day").alias("datetime"))
+    found = P.project_points(index, ehr, meta(spark), OPTIONS, by_person(3))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert not [f for f in found.inputFiles() if folder in f]
+    assert "hashpartitioning(concept_id" not in plan
+    assert found.count() > 0
