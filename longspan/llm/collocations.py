@@ -9,7 +9,7 @@ often its words stand in a row. Parts of phrases are looked up in the same count
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +28,8 @@ SHARD_BYTES = 8_000_000
 RANGE_WINDOWS = 500_000
 # A trie of this many windows has fewer than 2**15 words, so its labels take two bytes.
 TRIE_WINDOWS = 8_000
+# Tries that leave a task at once, some 3 MB.
+BATCH_TRIES = 16
 SAMPLES_PER_RANGE = 16
 # What ends a piece, what ends a word inside it; A-Z in lower case.
 PIECE_ENDS = b".,;:!?\x0a\x0b\x0c\x0d"
@@ -83,28 +85,36 @@ def windows(parts: list[tuple[bytes, int, bool]], more: list[bytes] = ()) -> tup
     words, and the ranks of the words in ``more``. Ranks are places in byte order, from 1.
     """
     data = np.frombuffer(b"\n".join(text for text, _, _ in parts), np.uint8)
-    broken = data == 10
-    inside = ~(broken | (data == 32))
-    edges = np.flatnonzero(np.diff(inside, prepend=False, append=False))
+    inside = np.zeros(len(data) + 2, bool)
+    np.not_equal(data, 32, out=inside[1:-1])
+    inside[1:-1] &= data != 10
+    edges = np.flatnonzero(inside[1:] != inside[:-1]).astype(np.int32)
     starts, ends = edges[::2], edges[1::2]
-    offsets = np.concatenate(([0], np.cumsum(ends - starts))).astype(np.int32)
+    offsets = np.zeros(len(starts) + 1, np.int32)
+    np.cumsum(ends - starts, out=offsets[1:])
     words = pa.Array.from_buffers(
-        pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(data[inside].tobytes())])
+        pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(data[inside[1:-1]])])
+    del inside
     ids, order, rank = _ranks(pa.concat_arrays([words, pa.array(more, pa.binary())]))
-    ranks, extra = rank[ids[:len(words)]], rank[ids[len(words):]]
-    piece = np.cumsum(broken, dtype=np.int32)[starts]
-    begins = np.cumsum([0, *[len(text) + 1 for text, _, _ in parts[:-1]]])
-    part = np.searchsorted(begins, starts, "right") - 1
+    del words
+    ranks, extra = rank[ids[:len(starts)]], rank[ids[len(starts):]]
+    del ids
+    # Places among the words: where pieces begin, and where parts do.
+    piece = np.zeros(len(starts) + 1, np.int32)
+    piece[np.searchsorted(starts, np.flatnonzero(data == 10).astype(np.int32))] = 1
+    piece = np.cumsum(piece[:-1], dtype=np.int32)
+    begins = np.searchsorted(starts, np.cumsum([0, *[len(text) + 1 for text, _, _ in parts]], dtype=np.int32))
+    language = np.repeat(np.array([number for _, number, _ in parts], np.int32), np.diff(begins))
+    del data, edges, starts, ends
     found = np.zeros((MOST_WORDS, len(ranks)), np.int32)
     for i in range(min(MOST_WORDS, len(ranks))):
-        same = piece[i:] == piece[:len(piece) - i]
-        found[i, :len(ranks) - i] = np.where(same, ranks[i:], 0)
-    keep = np.ones(len(ranks), bool)
-    for p in [i for i, (_, _, opened) in enumerate(parts) if opened]:
-        last = np.searchsorted(part, p, "right")
-        keep[last - MOST_WORDS + 1:last] = False
-    language = np.array([number for _, number, _ in parts], np.int32)[part]
-    return language[keep], found[:, keep], order, extra
+        np.multiply(ranks[i:], piece[i:] == piece[:len(piece) - i], out=found[i, :len(ranks) - i])
+    again = [begins[p + 1] - i for p, (_, _, opened) in enumerate(parts) if opened for i in range(1, MOST_WORDS)]
+    if again:
+        keep = np.ones(len(ranks), bool)
+        keep[again] = False
+        language, found = language[keep], found[:, keep]
+    return language, found, order, extra
 
 
 def _ranks(words: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
@@ -116,23 +126,40 @@ def _ranks(words: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
     return coded.indices.to_numpy(), coded.dictionary.take(order), rank
 
 
-def _packed(columns: np.ndarray) -> list[np.ndarray]:
+def _packed(columns: Iterable[np.ndarray]) -> list[np.ndarray]:
     """Two sort keys of four columns, the weightier first."""
-    wide = columns.astype(np.uint64)
-    return [wide[0] << np.uint64(32) | wide[1], wide[2] << np.uint64(32) | wide[3]]
+    columns, keys = iter(columns), []
+    for left, right in zip(columns, columns):
+        key = left.astype(np.uint64)
+        key <<= np.uint64(32)
+        key |= right.astype(np.uint32)
+        keys.append(key)
+    return keys
 
 
-def _united(columns: np.ndarray, weights: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-    """Different windows in order, with the sum of their weights (1 each if there are none)."""
+def _unpacked(high: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """The four columns of two sort keys."""
+    return np.stack([part.astype(np.uint32).view(np.int32) for key in (high, low) for part in (key >> np.uint64(32), key)])
+
+
+def _united(columns: Iterable[np.ndarray], weights: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sort keys of the different windows in order, with the sum of their weights (1 each if there are none)."""
     high, low = _packed(columns)
     order = np.lexsort((low, high))
-    high, low = high[order], low[order]
-    first = np.flatnonzero(np.concatenate(([True], (high[1:] != high[:-1]) | (low[1:] != low[:-1]))))
+    high = high[order]
+    low = low[order]
+    changed = np.ones(len(order), bool)
+    changed[1:] = high[1:] != high[:-1]
+    changed[1:] |= low[1:] != low[:-1]
+    first = np.flatnonzero(changed)
     if weights is None:
         summed = np.diff(np.append(first, len(order)))
     else:
         summed = np.add.reduceat(weights[order], first)
-    return columns[:, order[first]], summed.astype(np.int64)
+    del order
+    high = high[first]
+    low = low[first]
+    return high, low, summed.astype(np.int64, copy=False)
 
 
 def _states(columns: np.ndarray) -> list[np.ndarray]:
@@ -162,8 +189,8 @@ def trie(columns: np.ndarray, weights: np.ndarray, words: pa.Array) -> dict:
     return row
 
 
-def _shard(parts: list[tuple[bytes, int, bool]], langs: list[str], splitters: list[tuple[str, tuple]]) -> pa.RecordBatch:
-    """The trie of one shard, cut at the splitters."""
+def _shard(parts: list[tuple[bytes, int, bool]], langs: list[str], splitters: list[tuple[str, tuple]]) -> Iterator[pa.RecordBatch]:
+    """The trie of one shard, cut at the splitters, some tries at a time."""
     language, found, words, extra = windows(parts, [w for _, cut in splitters for w in cut])
     cuts = np.zeros((MOST_WORDS, len(splitters)), np.int32)
     at = 0
@@ -172,11 +199,11 @@ def _shard(parts: list[tuple[bytes, int, bool]], langs: list[str], splitters: li
         at += len(cut)
     rows = []
     for number in np.unique(language):
-        columns, weights = _united(found[:, language == number], None)
+        of = language == number
+        high, low, weights = _united((column[of] for column in found), None)
         name = langs[number]
         before = sum(lang < name for lang, _ in splitters)
         mine = [i for i, (lang, _) in enumerate(splitters) if lang == name]
-        high, low = _packed(columns)
         places = [0]
         for a, b in zip(*_packed(cuts[:, mine])):
             start, stop = np.searchsorted(high, a, "left"), np.searchsorted(high, a, "right")
@@ -185,17 +212,21 @@ def _shard(parts: list[tuple[bytes, int, bool]], langs: list[str], splitters: li
         for i, (start, stop) in enumerate(zip(places, places[1:])):
             for at in range(start, stop, TRIE_WINDOWS):
                 end = min(at + TRIE_WINDOWS, stop)
-                rows.append({"range": before + i, "lang": name, **trie(columns[:, at:end], weights[at:end], words)})
-    return pa.RecordBatch.from_pylist(rows, BLOCKS)
+                rows.append({"range": before + i, "lang": name, **trie(_unpacked(high[at:end], low[at:end]), weights[at:end], words)})
+                if len(rows) == BATCH_TRIES:
+                    yield pa.RecordBatch.from_pylist(rows, BLOCKS)
+                    rows = []
+    if rows:
+        yield pa.RecordBatch.from_pylist(rows, BLOCKS)
 
 
 def _gathered(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[list, list[str]]]:
     """Slices of whole documents, gathered until they hold about ``size`` bytes."""
     parts, numbers, held = [], {}, 0
     for batch in batches:
-        for text, lang in zip(batch.column("text"), batch.column("lang")):
+        for text, lang in zip(batch.column("text").cast(pa.binary()), batch.column("lang")):
             number = numbers.setdefault(lang.as_py(), len(numbers))
-            for cut, opened in slices(text.as_py().encode().translate(_CLEAN), size):
+            for cut, opened in slices(text.as_py().translate(_CLEAN), size):
                 if held and held + len(cut) > size:
                     yield parts, list(numbers)
                     parts, held = [], 0
@@ -243,11 +274,10 @@ def _decoded(group: pa.Table) -> tuple[np.ndarray, np.ndarray, pa.Array]:
         found = found if isinstance(found, pa.ListArray) else found.chunk(0)
         return found.flatten(), found.value_lengths().to_numpy()
 
-    words = [held.as_py().split(b"\n") for held in group.column("words")]
-    sizes = [len(held) for held in words]
-    ids, order, rank = _ranks(pa.array([w for held in words for w in held], pa.binary()))
+    words = pc.split_pattern(group.column("words").combine_chunks(), b"\n")
+    bases = np.concatenate(([0], np.cumsum(words.value_lengths())[:-1]))
+    ids, order, rank = _ranks(words.flatten())
     ranks = rank[ids]
-    bases = np.concatenate(([0], np.cumsum(sizes)[:-1]))
     columns, weights = [], column("weight")[0].to_numpy().astype(np.int64)
     for i in range(1, MOST_WORDS + 1):
         labels, lengths = column(f"label{i}")
@@ -263,7 +293,8 @@ def _decoded(group: pa.Table) -> tuple[np.ndarray, np.ndarray, pa.Array]:
 def _union(group: pa.Table, least: int) -> pa.Table:
     """Add up the tries of a range; give the states that are frequent or may go on in a neighbouring range."""
     columns, weights, words = _decoded(group)
-    columns, weights = _united(columns, weights)
+    high, low, weights = _united(columns, weights)
+    columns = _unpacked(high, low)
     lang = group.column("lang")[0].as_py()
     rows = [{"lang": lang, "size": 0, "phrase": "", "count": int(weights.sum())}]
     for i, at in enumerate(_states(columns)):
@@ -295,7 +326,7 @@ def phrase_counts(
 
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for parts, langs in _gathered(batches, shard_bytes):
-            yield _shard(parts, langs, cuts)
+            yield from _shard(parts, langs, cuts)
 
     tries = rows.mapInArrow(shards, _BLOCKS_DDL)
     states = tries.groupBy("range", "lang").applyInArrow(lambda group: _union(group, least), _COUNTS_DDL)

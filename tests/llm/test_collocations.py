@@ -2,6 +2,7 @@
 
 import random
 import re
+import tracemalloc
 from collections import Counter
 
 import pyarrow as pa
@@ -93,3 +94,21 @@ def test_products_beyond_64_bits(spark):
 def test_empty_table(spark):
     assert found(spark, []) == []
     assert found(spark, [(1, None, None, None, None)]) == []
+
+
+def test_memory_of_a_shard():
+    draw = random.Random(5)
+    names = [f"w{i:04}" for i in range(3_000)]
+    words = [draw.choice(names).encode() for _ in range(300_000)]
+    text = b" ".join(words)
+    list(collocations._shard([(b"a b", 0, False)], ["en"], []))  # imports
+    tracemalloc.start()
+    sizes = [batch.nbytes for batch in collocations._shard([(text, 0, False)], ["en"], [])]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 14 * len(text)
+    assert len(sizes) > 2 and max(sizes) < 4_000_000
+    tries = pa.Table.from_batches(collocations._shard([(text, 0, False)], ["en"], []))
+    counts = {r["phrase"].encode(): r["count"] for r in collocations._union(tries, 30).to_pylist() if r["size"] < 2}
+    assert counts.pop(b"") == len(words)
+    assert {w: n for w, n in counts.items() if n >= 30} == {w: n for w, n in Counter(words).items() if n >= 30}
